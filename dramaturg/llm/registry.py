@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from dramaturg.llm import exact_dedup, sharding
+from dramaturg.llm import exact_dedup, sharding, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_warc": warc.op5_warc,
 }
 
 SQL = {
     "op4_exact_dedup": exact_dedup.SQL,
+    "op5_warc": warc.SQL,
 }
