@@ -51,3 +51,26 @@ def sub_batches(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
         total += size
     if start < len(sizes):
         yield start, len(sizes)
+
+
+def with_computed(df: DataFrame, column: str, fields: str, compute) -> DataFrame:
+    """``df`` with the columns ``fields`` (DDL) that ``compute`` makes of one column's values.
+
+    ``compute`` gets a list of Python values and returns one list or array per field. Rows pass
+    through in Arrow batches, so that other columns keep their types and nulls.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    extra = StructType.fromDDL(fields)
+    at = df.columns.index(column)
+    arrow = to_arrow_schema(extra)
+
+    def run(batches):
+        for batch in batches:
+            made = compute(batch.column(at).to_pylist())
+            arrays = [pa.array(v, type=f.type, from_pandas=False) for v, f in zip(made, arrow, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *arrow.names])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, *extra.fields]))

@@ -92,8 +92,8 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     if not words.size:
         return words
     if words.size < k:
-        total = (words * _JOIN[: words.size]).sum(dtype=np.uint64) + _JOIN[-1] * np.uint64(words.size)
-        return mix64(np.array([total], np.uint64))
+        total = (words * _JOIN[: words.size]).sum(dtype=np.uint64, keepdims=True)
+        return mix64(total + _JOIN[-1:] * np.uint64(words.size))
     n = words.size - k + 1
     total = np.zeros(n, np.uint64)
     for j in range(k):

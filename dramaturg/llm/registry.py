@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from dramaturg.llm import exact_dedup, sharding, warc
+from dramaturg.llm import decontamination, exact_dedup, near_dedup, sharding, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_warc": warc.op5_warc,
+    "op6_decontamination": decontamination.op6_decontamination,
 }
 
 SQL = {
+    "op3_near_dedup": near_dedup.SQL,
     "op4_exact_dedup": exact_dedup.SQL,
     "op5_warc": warc.SQL,
+    "op6_decontamination": decontamination.SQL,
 }
