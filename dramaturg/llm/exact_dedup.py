@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dramaturg.llm._shared import table
+from dramaturg.llm._shared import cut, table
 
 
 def normalised(text: str = "text"):
@@ -17,12 +17,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Mark every row with the group of equal texts that it belongs to.
 
     Rows are grouped by the MD5 of the normalised text and by the text itself: the hash decides
-    where a group meets and in which order rows are sorted, the bytes are compared only among rows
-    of one hash, so a collision cannot merge two texts. The smallest id of a group stays.
+    where a group meets, the bytes are compared only among rows of one hash, so a collision cannot
+    merge two texts. The smallest id of a group stays. The aggregation combines on the map side
+    first, so a text that a third of all rows share reaches the shuffle once per task.
 
-    The aggregation combines on the map side first, so a text that a third of all rows share
-    reaches the shuffle once per task. The join that brings the decision back to the rows is a
-    plain equi-join, whose hot partitions adaptive execution splits.
+    Hashes of more than one row are cut into the shared folder, without texts. Where such a hash
+    belongs to one text (the comparison just made proves it), it alone leads a row to its group:
+    the second shuffle moves ids and hashes only, and adaptive execution can split its hot
+    partitions. Rows of hashes with several texts, if there are any, are joined by text.
 
     Defined results: null and empty texts form one group; a text of white space only is one space,
     a different group. Rows with a null id take part and sort after all ids; rows repeated with
@@ -34,14 +36,25 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(F.col(id_col).alias("doc_id"), normalised(text_col).alias("norm"))
     rows = rows.withColumn("hash", F.unhex(F.md5(F.col("norm").cast("binary"))))
     groups = rows.groupBy("hash", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    d, g = rows.alias("d"), groups.alias("g")
-    joined = d.join(g, (F.col("d.hash") == F.col("g.hash")) & (F.col("d.norm") == F.col("g.norm")))
-    return joined.select(
-        F.col("d.doc_id").alias("doc_id"),
-        "keep_id",
-        "group_size",
-        F.col("d.doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        F.sha2(F.col("d.norm").cast("binary"), 256).alias("text_sha256"),
+    hashes = groups.groupBy("hash").agg(
+        F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), F.count(F.lit(1)).alias("texts")
+    )
+    hashes = cut(hashes.filter("group_size > 1"))
+    columns = ["doc_id", "keep_id", "group_size", "sha", "lone"]
+    bare = rows.select("doc_id", "hash", F.sha2(F.col("norm").cast("binary"), 256).alias("sha"))
+    found = bare.join(hashes.filter("texts = 1"), "hash", "left").withColumn("lone", F.col("texts").isNull())
+    clashing = hashes.filter("texts > 1").select("hash")
+    if not clashing.isEmpty():
+        exact = rows.join(clashing, "hash", "left_semi").join(groups.join(clashing, "hash", "left_semi"), ["hash", "norm"])
+        exact = exact.withColumn("sha", F.sha2(F.col("norm").cast("binary"), 256)).withColumn("lone", F.lit(False))
+        found = found.join(clashing, "hash", "left_anti").select(columns).unionAll(exact.select(columns))
+    keep = F.when(F.col("lone"), F.col("doc_id")).otherwise(F.col("keep_id"))
+    return found.select(
+        "doc_id",
+        keep.alias("keep_id"),
+        F.when(F.col("lone"), F.lit(1)).otherwise(F.col("group_size")).cast("bigint").alias("group_size"),
+        F.col("doc_id").eqNullSafe(keep).alias("kept"),
+        F.col("sha").alias("text_sha256"),
     )
 
 
