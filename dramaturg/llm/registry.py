@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dramaturg.llm import decontamination, exact_dedup, near_dedup, sharding, warc
+from dramaturg.llm import decontamination, exact_dedup, near_dedup, sharding, token_counts, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_warc": warc.op5_warc,
     "op6_decontamination": decontamination.op6_decontamination,
+    "op7_token_counts": token_counts.op7_token_counts,
 }
 
 SQL = {
