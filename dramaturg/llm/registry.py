@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dramaturg.llm import decontamination, exact_dedup, near_dedup, sharding, token_counts, warc
+from dramaturg.llm import decontamination, exact_dedup, language_id, near_dedup, sharding, token_counts, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_warc": warc.op5_warc,
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_token_counts": token_counts.op7_token_counts,
+    "op9_language_id": language_id.op9_language_id,
 }
 
 SQL = {
