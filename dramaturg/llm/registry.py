@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from dramaturg.llm import decontamination, exact_dedup, language_id, near_dedup, sharding, token_counts, warc
+from dramaturg.llm import decontamination, exact_dedup, language_id, mixing, near_dedup, quality, sharding, token_counts, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_quality": quality.op2_quality,
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_warc": warc.op5_warc,
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_token_counts": token_counts.op7_token_counts,
+    "op8_mixing": mixing.op8_mixing,
     "op9_language_id": language_id.op9_language_id,
 }
 
