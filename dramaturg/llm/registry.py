@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dramaturg.llm import decontamination, exact_dedup, language_id, mixing, near_dedup, quality, sharding, token_counts, warc
+from dramaturg.llm import decontamination, exact_dedup, language_id, line_dedup, mixing, near_dedup, quality, sharding, token_counts, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_mixing": mixing.op8_mixing,
     "op9_language_id": language_id.op9_language_id,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 SQL = {
@@ -21,4 +22,5 @@ SQL = {
     "op4_exact_dedup": exact_dedup.SQL,
     "op5_warc": warc.SQL,
     "op6_decontamination": decontamination.SQL,
+    "op10_line_dedup": line_dedup.SQL,
 }
