@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-SQL: dict = {}
+from dramaturg.plans import samples
+
+FLAGSHIP = "next_utterance_samples"
+QUERIES: dict = {**samples.QUERIES}
+SQL: dict = {**samples.SQL}
