@@ -15,7 +15,7 @@ from dramaturg.llm.components import components
 from dramaturg.llm.sketching import band_keys, fast_sketch, set_fingerprint
 
 BANDS, WIDTH = 32, 5
-#: Coordinates, a byte each, of the longer sketches that choose pairs inside mixed buckets.
+#: Coordinates, four bits each, of the longer sketches that choose pairs inside mixed buckets.
 CODES = 1024
 #: Members of a bucket that are compared in one go; larger buckets are cut into blocks.
 BLOCK = 1024
@@ -70,7 +70,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _coded(sets: DataFrame) -> DataFrame:
-    """``doc_id, code``: a longer sketch of each set, one byte a coordinate."""
+    """``doc_id, code``: a longer sketch of each set, four bits a coordinate."""
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -78,7 +78,9 @@ def _coded(sets: DataFrame) -> DataFrame:
                 elements = [np.frombuffer(batch["set"].iat[i], np.uint64) for i in part]
                 if elements:
                     sketch = fast_sketch(np.concatenate(elements), np.array([e.size for e in elements]), CODES, 99)
-                    yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[part], "code": [c.tobytes() for c in sketch.astype(np.uint8)]})
+                    low = (sketch & np.uint64(15)).astype(np.uint8)
+                    packed = low[:, ::2] << 4 | low[:, 1::2]
+                    yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[part], "code": [c.tobytes() for c in packed]})
 
     return sets.mapInPandas(encode, "doc_id bigint, code binary")
 
@@ -91,11 +93,12 @@ def _chosen(rows: pd.DataFrame, sure: float, cut_: float, percent: int) -> Itera
     # a member of the second block is compared with the first only, and the other way round
     side = rows["block"].to_numpy()
     two = rows["lo"].iat[0] != rows["hi"].iat[0]
-    code = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(m, CODES)
-    bands = np.array(list(rows["bands"]), np.int64)
+    packed = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(m, CODES // 2)
+    code = np.concatenate([packed >> 4, packed & 15], axis=1)
     estimate = np.zeros((m, m), np.float32)
     for i in range(m):
         estimate[i] = (code == code[i]).mean(axis=1)
+    estimate = (estimate - 1 / 16) / (15 / 16)  # of different coordinates one in 16 agrees in four bits
     able = np.minimum(n[:, None], n[None, :]) * 100 >= np.maximum(n[:, None], n[None, :]) * percent
     other = able & (label[:, None] != label[None, :])
     if two:
@@ -117,6 +120,7 @@ def _chosen(rows: pd.DataFrame, sure: float, cut_: float, percent: int) -> Itera
                 if label[i] != label[j]:
                     yield min(rep[i], rep[j]), max(rep[i], rep[j])
     if cut_ < sure:
+        bands = np.array(list(rows["bands"]), np.int64)
         for i, j in zip(*np.nonzero(np.triu(other & (estimate >= cut_) & (tree[:, None] != tree[None, :]), 1)), strict=True):
             same = bands[i] == bands[j]
             if key == bands[i][same].min():  # of the buckets that both are in, only one compares them
@@ -137,7 +141,8 @@ def _block_pairs(members: DataFrame, labels: DataFrame, codes: DataFrame, sure:
     open_ = labelled.join(mixed, "key").join(codes, labelled["rep"] == codes["doc_id"]).drop("doc_id")
     open_ = open_.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     spread = open_.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("key", "rep", "n", "label", "code", "bands", "block", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"))
+    bands = [F.col("bands")] if cut_ < sure else []
+    spread = spread.select("key", "rep", "n", "label", "code", *bands, "block", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_group: list[pd.DataFrame] = []
@@ -172,7 +177,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     2. Each class is linked with the smallest class of its buckets: one candidate pair a class.
        Full sets are compared, and components of the confirmed links are found.
     3. Where classes of one bucket are in several components, longer sketches (1 024 coordinates,
-       standard error 0.0125 at 0.8) choose pairs: first a spanning forest of those estimated at
+       standard error 0.013 at 0.8) choose pairs: first a spanning forest of those estimated at
        the threshold or above; then, with the new components, all pairs that may still be similar
        (estimated up to five standard errors below it). Pairs inside one component can change
        nothing. So large families of near copies cost a few comparisons a copy.
@@ -207,7 +212,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     bands = classes.select(F.col("rep").alias("doc_id"), "bands")
     codes = cut(_coded(sets).join(bands, "doc_id"))
 
-    error = (percent / 100 * (1 - percent / 100) / CODES) ** 0.5
+    agree = percent / 100 + (1 - percent / 100) / 16
+    error = (agree * (1 - agree) / CODES) ** 0.5 * 16 / 15
     for sure, least in ((percent / 100, 1.0), (percent / 100 + 5 * error, percent / 100 - 5 * error)):
         pairs = cut(_block_pairs(members, labels, codes, sure, min(sure, least), percent))
         if not pairs.isEmpty():
