@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from dramaturg.plans import samples
+from dramaturg.plans import evaluation, samples
 
 FLAGSHIP = "next_utterance_samples"
-QUERIES: dict = {**samples.QUERIES}
-SQL: dict = {**samples.SQL}
+QUERIES: dict = {**samples.QUERIES, **evaluation.QUERIES}
+SQL: dict = {**samples.SQL, **evaluation.SQL}

@@ -10,15 +10,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Narrative time of an event: its day counts as the episode, from 1.
-EPISODE = F.dayofmonth("ts")
-
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as evidence: character, episode, significance by value (from 300 high, from 100 medium)."""
+    """Events as evidence: character, day as episode, significance by value (from 300 high, from 100 medium)."""
     e = read(spark, sf_dir, "events")
     level = F.when(F.col("value") >= 300, "high").when(F.col("value") >= 100, "medium").otherwise("low")
-    return e.select("event_id", F.col("user_id").alias("character"), EPISODE.alias("ep"), "event_type", "value", level.alias("significance"))
+    return e.select("event_id", F.col("user_id").alias("character"), F.dayofmonth("ts").alias("ep"), "event_type", "value", level.alias("significance"))
 
 
 EVIDENCE_SQL = """ev AS (
