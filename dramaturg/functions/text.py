@@ -159,7 +159,7 @@ def word_recall(old: Column, new: Column, stop_words: list[str]) -> Column:
 
 def relationship_entries(text: Column) -> Column:
     """``<role> is <Name> (note)`` parts of a comma list as structs; commas in parentheses don't split."""
-    parts = F.filter(F.transform(F.split(text, r",(?![^()]*\))"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text, r",(?![^()]*\))"), lambda x: F.trim(x)), lambda p: p != "")
     pattern = r"^(.+?)\s+(?:is|are)\s+([^(]+?)\s*(?:\(.*\))?$"
     return F.transform(
         parts,

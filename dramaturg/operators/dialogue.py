@@ -91,5 +91,5 @@ def missing_from(rows: DataFrame, key: str, split: str, wanted: str) -> DataFram
 
 def scene_fingerprint(context: Column, lines: int = 2) -> Column:
     """First hex digits of the SHA-1 of the first non-empty context lines."""
-    head = F.slice(F.filter(F.transform(F.split(context, "\n"), F.trim), lambda x: x != ""), 1, lines)
+    head = F.slice(F.filter(F.transform(F.split(context, "\n"), lambda x: F.trim(x)), lambda x: x != ""), 1, lines)
     return F.substring(F.sha1(F.array_join(head, "\n").cast("binary")), 1, 16)

@@ -67,7 +67,7 @@ def checkpoints(episodes: DataFrame, by: str, every: int = 24) -> DataFrame:
     return episodes.withColumns({"place": place, "_last": last}).filter((F.col("place") % every == 0) | (F.col("ep") == F.col("_last"))).drop("_last")
 
 
-def evidence_status(evidence: DataFrame, now: Column, consumed: Column, age: int = 8) -> Column:
+def evidence_status(now: Column, consumed: Column, age: int = 8) -> Column:
     """consumed, expired (medium and older than ``age``) or active; high never expires."""
     return F.when(consumed, "consumed").when((F.col("significance") == "medium") & (now - F.col("ep") > age), "expired").otherwise("active")
 
@@ -76,7 +76,7 @@ def evidence_status(evidence: DataFrame, now: Column, consumed: Column, age: int
 GATES = {"low": (0, 1, 2), "moderate": (3, 0, 3), "core": (16, 6, 16)}
 
 
-def update_gate(proposals: DataFrame) -> Column:
+def update_gate() -> Column:
     """The first reason to reject a proposal, or ``accepted``.
 
     Columns: ``resistance, episodes, high, medium, since_update, old_value, new_value, recall,
@@ -161,7 +161,7 @@ def aligned_tiers(edges: DataFrame) -> DataFrame:
     return edges.join(back, ["a", "b"], "left").withColumn("aligned", F.least("tier", F.coalesce("_t", "tier"))).drop("_t")
 
 
-def decay(claims: DataFrame) -> Column:
+def decay() -> Column:
     """Which rule turns a claim into a former one: ``listed_as_ex``, ``not_returned``, ``forgotten``, or ``keeps``.
 
     Columns: ``role, age, returned, since_mention, other_lists_ex, continuous, main, married``.

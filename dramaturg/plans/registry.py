@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from dramaturg.plans import evaluation, samples
+from dramaturg.plans import evaluation, samples, texts, timeline
 
 FLAGSHIP = "next_utterance_samples"
-QUERIES: dict = {**samples.QUERIES, **evaluation.QUERIES}
-SQL: dict = {**samples.SQL, **evaluation.SQL}
+QUERIES: dict = {**samples.QUERIES, **evaluation.QUERIES, **timeline.QUERIES, **texts.QUERIES}
+SQL: dict = {**samples.SQL, **evaluation.SQL, **timeline.SQL, **texts.SQL}
