@@ -25,8 +25,8 @@ def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = True,
 
 def bad_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The lines that a tolerant read skips."""
-    rows = spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return rows.select(F.col("_bad").alias("line")).filter("line is not null")
+    parsed = F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    return spark.read.text(path).filter(F.trim("value") != "").select(parsed["_bad"].alias("line")).filter("line is not null")
 
 
 def keyed_last(rows: DataFrame, key: str) -> DataFrame:
