@@ -7,10 +7,9 @@ import os
 
 import duckdb
 import pytest
+from helpers import DATA
 from pyspark.sql import SparkSession
 
-DATA = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -34,23 +33,3 @@ def duck():
     for path in glob.glob(f"{DATA}/*.parquet"):
         con.sql(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
     return con
-
-
-def canonical(frame):
-    """Rows as sorted tuples of text, floats at six digits."""
-    import numpy as np
-    import pandas as pd
-
-    def one(v):
-        if isinstance(v, (list, tuple, np.ndarray)):
-            return str([one(x) for x in v])
-        if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and v != v):
-            return "null"
-        if isinstance(v, (bool, np.bool_)):
-            return str(bool(v))
-        if isinstance(v, (int, float, np.number)) or type(v).__name__ == "Decimal":
-            return f"{float(v):.6g}"
-        return str(v)
-
-    frame = frame[sorted(frame.columns)]
-    return sorted(tuple(one(v) for v in row) for row in frame.itertuples(index=False, name=None))

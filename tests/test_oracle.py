@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import DATA, canonical
+from helpers import DATA, canonical
 
 from dramaturg.plans import registry
 
