@@ -169,11 +169,11 @@ def without_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", te
     text has one empty line. Rows with a null id come last in the order of lines. Rows that repeat
     id and text are one document: each keeps the same lines. All columns come back.
     """
-    gone = line_duplicates(docs, percent, id_col=id_col, text_col=text_col)
+    gone = line_duplicates(docs, percent, id_col=id_col, text_col=text_col).toDF("_gone_key", "_gone_hash", "_removed")
     key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST))
     d = docs.withColumns({"_key": key, "_hash": F.xxhash64(text_col)})
-    d = d.join(gone, (F.col("_key") == F.col("key")) & (F.col("_hash") == F.col("hash")), "left").drop("_key", "_hash", "key", "hash")
-    d = d.withColumn("_removed", F.coalesce("removed", F.array().cast("array<int>"))).drop("removed")
+    d = d.join(gone, (F.col("_key") == F.col("_gone_key")) & (F.col("_hash") == F.col("_gone_hash")), "left").drop("_key", "_hash", "_gone_key", "_gone_hash")
+    d = d.withColumn("_removed", F.coalesce("_removed", F.array().cast("array<int>")))
     all_ = F.split(text_col, "\n")
     kept = F.array_join(F.filter(all_, lambda line, i: ~F.array_contains("_removed", i)), "\n")
     return d.withColumn("_lines", F.coalesce(F.size(all_), F.lit(0))).withColumn(text_col, F.when(F.size("_removed") > 0, kept).otherwise(F.col(text_col)))

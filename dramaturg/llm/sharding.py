@@ -72,7 +72,7 @@ def _cut_points(lower: tuple[int, int], upper: tuple[int, int], known: tuple, pa
     """Boundaries that cut a cell evenly within its extent: by hash, or by id where one hash is left."""
     _, _, h0, h1, id0, id1 = known
     if h0 == h1:
-        points = [(h0, id0 + (id1 + 1 - id0) * j // parts) for j in range(parts + 1)]
+        points = [(h0, min(id0 + (id1 + 1 - id0) * j // parts, _HIGH)) for j in range(parts + 1)]
     else:
         points = [(h0 + -(-(h1 + 1 - h0) * j // parts), _LOW) for j in range(parts + 1)]
     return sorted({p for p in points if lower < p < upper})
@@ -170,15 +170,15 @@ def _deal(docs: DataFrame, h: Column, order_id: Column, size: Column, blocks: li
     spark = docs.sparkSession
     bounds = (
         spark.createDataFrame(blocks, "block int, lo_h bigint, lo_id bigint, shard int, base bigint, up_h bigint")
-        .select("*", F.explode(F.sequence(_bucket(F.col("lo_h")), _bucket(F.greatest(F.col("lo_h"), F.col("up_h"))))).alias("bucket"))
-        .groupBy("bucket")
-        .agg(F.sort_array(F.collect_list(F.struct("lo_h", "lo_id", "block", "shard", "base"))).alias("near"))
+        .select("*", F.explode(F.sequence(_bucket(F.col("lo_h")), _bucket(F.greatest(F.col("lo_h"), F.col("up_h"))))).alias("_bucket"))
+        .groupBy("_bucket")
+        .agg(F.sort_array(F.collect_list(F.struct("lo_h", "lo_id", "block", "shard", "base"))).alias("_near"))
     )
     at_or_above = lambda c: (c.lo_h < F.col("_h")) | ((c.lo_h == F.col("_h")) & (c.lo_id <= F.col("_order_id")))
     placed = docs.select("*", h.alias("_h"), order_id.alias("_order_id"), size.alias("_size")).join(
-        F.broadcast(bounds), _bucket(F.col("_h")) == F.col("bucket")
+        F.broadcast(bounds), _bucket(F.col("_h")) == F.col("_bucket")
     )
-    placed = placed.withColumn("_at", F.element_at(F.filter("near", at_or_above), -1)).drop("near", "bucket")
+    placed = placed.withColumn("_at", F.element_at(F.filter("_near", at_or_above), -1)).drop("_near", "_bucket")
     rank = Window.partitionBy("_block").orderBy("_h", "_order_id", "_size")
     return (
         placed.select("*", F.col("_at.block").alias("_block"), F.col("_at.shard").alias("_shard"))
