@@ -2,26 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where that setting is missing (local runs, tests) a temporary folder is made and
-    remembered in the session, so one application uses one folder.
-    """
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("dramaturg.scratch.dir", None)
-    if not place:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        place = tempfile.mkdtemp(prefix="spark-dramaturg-", dir="/tmp")
-        spark.conf.set("dramaturg.scratch.dir", place)
-    return place.rstrip("/")
+from dramaturg.sources.scratch import scratch_dir as shared_dir
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -32,6 +20,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a compressed table in the shared folder, read back."""
+    place = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
+@contextlib.contextmanager
+def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries made inside drop their shuffle files as each of them ends, not when driver garbage goes.
+
+    For operators of many jobs, each of which ends in a table of its own.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

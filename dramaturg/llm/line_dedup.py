@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dramaturg.llm._shared import cut, shared_dir, table
+from dramaturg.llm._shared import cut, table, tidy_shuffles, written
 
 _LAST = 2**63 - 1
 _CHUNK = 12
@@ -66,8 +64,35 @@ def _could(i: Column, n: Column, j: Column, m: Column, percent: int) -> Column:
     return _fits(n, m, percent) & (most * (100 + percent) >= (n + m) * percent)
 
 
+def _alike(a: Column, b: Column, percent: int) -> Column:
+    """Bitmap filter: sets of similarity t differ in at most (1 - t) / (1 + t) (n + m) tokens.
+
+    Bits in which two bitmaps differ are each due to a token that only one set has. ``a`` and ``b``
+    are structs with ``n, b0, b1``.
+    """
+    apart = F.bit_count(a["b0"].bitwiseXOR(b["b0"])) + F.bit_count(a["b1"].bitwiseXOR(b["b1"]))
+    return apart * (100 + percent) <= (a["n"] + b["n"]) * (100 - percent)
+
+
+def _bitmap(half: int) -> Column:
+    """64 bits of ``tokens``: those whose bit 6 is ``half`` set the bit of their low six bits."""
+    return F.expr(f"aggregate(tokens, 0L, (a, t) -> a | if((t >> 6) & 1 = {half}, shiftleft(1L, cast(t & 63 as int)), 0L))")
+
+
+def _joined(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs of an earlier and a later, open line that share a token and pass all filters."""
+    x, y = x.select("token", F.col("e").alias("x")), y.select("token", F.col("e").alias("y"))
+    a, b = F.col("x"), F.col("y")
+    # the last test names both sides, so that both read one exchange of all entries
+    open_ = b["open"] | (a["n"] < 0)
+    before = (a["key"] < b["key"]) | ((a["key"] == b["key"]) & (a["at"] < b["at"]))
+    pairs = x.join(y, "token").filter(before & open_ & _could(a["i"], a["n"], b["i"], b["n"], percent) & _alike(a, b, percent))
+    line = lambda e: F.struct(e["key"].alias("key"), e["at"].alias("at"))
+    return pairs.select(line(a).alias("x"), line(b).alias("y")).distinct()
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``y`` of those pairs ``x, y`` (line ids) whose whole token sets are similar enough."""
+    """``y`` of those pairs ``x, y`` (lines) whose whole token sets are similar enough."""
     one = sets.select(F.col("line").alias("x"), F.col("tokens").alias("a"))
     two = sets.select(F.col("line").alias("y"), F.col("tokens").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
@@ -75,10 +100,10 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.filter(both * 100 >= (F.size("a") + F.size("b") - both) * percent).select("y").distinct()
 
 
-def line_duplicates(docs: DataFrame, percent: int = 80, bits: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_duplicates(docs: DataFrame, percent: int = 80, bits: int = 20, heads: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``key, hash, removed``: for each document with something to remove, the places of its lines.
 
-    Lines are the text between line feeds; the order of lines is that of (id, text hash, place). A
+    Lines are the text between line feeds; the order of lines is that of (id, place, text hash). A
     line is removed if an earlier line, removed or not, has the same token set or a Jaccard
     similarity of at least ``percent`` hundredths.
 
@@ -86,80 +111,70 @@ def line_duplicates(docs: DataFrame, percent: int = 80, bits: int = 20, id_col:
     2. Lines of equal token sets become one, the first of them (combined on the map side).
     3. Each set's tokens are ordered by rarity. Sets of similarity t share one of their first
        n - ceil(t n) + 1 tokens; of these, tokens that occur once cannot be shared and are dropped.
-    4. Each set is first compared with the earliest set of each of its prefix tokens. Most members
-       of a large family of near copies are settled there, with a few comparisons each.
+    4. Each set is first compared with a few early sets (``heads``) of its two rarest shared
+       tokens. Most members of a large family of near copies are settled there.
     5. Sets not yet removed are compared with all earlier sets that share a prefix token and pass
-       the length and positional filters.
+       the length, positional and bitmap filters (all three lose nothing).
     Both comparisons are on whole token sets, read again for the lines concerned only.
     """
+    with tidy_shuffles(docs.sparkSession):
+        return _line_duplicates(docs, percent, bits, heads, id_col, text_col)
+
+
+def _line_duplicates(docs: DataFrame, percent: int, bits: int, heads: int, id_col: str, text_col: str) -> DataFrame:
     key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST))
     rows = docs.select(key.alias("key"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
-    split = F.split("text", "\n")
-    lines = rows.select("key", "hash", F.posexplode(split).alias("place", "line"))
-    lines = lines.select(F.struct("key", "hash", "place").alias("line"), line_tokens(F.col("line")).alias("tokens")).filter(F.size("tokens") > 0)
+    at = F.shiftleft(F.col("place").cast("bigint"), 32).bitwiseOR(F.col("hash").bitwiseAND(F.lit(0xFFFFFFFF)))
+    lines = rows.select("key", "hash", F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    lines = lines.select("key", "hash", "place", at.alias("at"), line_tokens(F.col("line")).alias("tokens")).filter(F.size("tokens") > 0)
     rarity = _rarity(lines, bits)
 
     n = F.size("tokens")
     ordered = F.sort_array(F.transform("tokens", lambda t: F.struct(_level(rarity, t, bits).alias("level"), t.alias("token"))))
     prefix = F.slice("ordered", 1, n - F.ceil(n * percent / 100).cast("int") + 1)
-    once = F.lit(b"\x01")
-    sets = (
-        lines.withColumn("ordered", ordered)
-        .select(
-            "line",
-            n.alias("n"),
-            F.xxhash64("ordered.token").alias("s1"),
-            F.xxhash64(F.lit("second"), F.col("ordered.token")).alias("s2"),
-            F.filter(F.transform(prefix, lambda e, i: F.struct(e.token.alias("token"), i.alias("at"), e.level.alias("level"))), lambda e: e.level > once).alias("kept"),
-        )
-        .select("line", "n", "s1", "s2", F.transform("kept", lambda e: F.struct(e.token.alias("token"), e["at"].alias("at"))).alias("prefix"))
-    )
+    shared = F.filter(F.transform(prefix, lambda e, i: F.struct(e.token.alias("token"), i.alias("i"), e.level.alias("level"))), lambda e: e.level > F.lit(b"\x01"))
+    sets = lines.withColumn("ordered", ordered).select(
+        "key", "hash", "place", "at", n.alias("n"),
+        F.xxhash64("ordered.token").alias("s0"), F.xxhash64(F.lit("second"), F.col("ordered.token")).alias("s1"),
+        _bitmap(0).alias("b0"), _bitmap(1).alias("b1"),
+        F.transform(shared, lambda e: F.struct(e.token.alias("token"), e.i.alias("i"))).alias("prefix"),
+    )
     # a written table: the bytes of the rarity table stay out of all later plans
-    place = f"{shared_dir(docs.sparkSession)}/line-sets-{uuid.uuid4().hex}"
-    sets.write.parquet(place)
-    sets = docs.sparkSession.read.parquet(place)
-    firsts = sets.groupBy("s1", "s2", "n").agg(F.min("line").alias("line"), F.first("prefix").alias("prefix"))
-    # below four tokens only equal sets are similar enough at 0.8; in general, below 1 / (1 - t) - 1
-    least = 1 if percent < 50 else -(-100 // (100 - percent)) - 1 if percent < 100 else _LAST
-    entries = firsts.filter((F.col("n") >= least) & (F.size("prefix") > 0)).select("line", "n", F.explode("prefix").alias("e"))
-    entries = entries.select("line", "n", "e.token", "e.at")
-    heads = entries.groupBy("token").agg(F.min(F.struct("line", "n", "at")).alias("head"), F.count(F.lit(1)).alias("sets")).filter("sets > 1")
-    shared = cut(entries.join(heads, "token").select("token", "line", "n", "at", "head"))
-    near = (
-        shared.filter((F.col("head.line") < F.col("line")) & _could(F.col("head.at"), F.col("head.n"), F.col("at"), F.col("n"), percent))
-        .select(F.col("head.line").alias("x"), F.col("line").alias("y"))
-        .distinct()
+    sets = written(sets, "line-sets")
+    firsts = sets.groupBy("s0", "s1", "n").agg(
+        F.min(F.struct("key", "at")).alias("line"), F.first("b0").alias("b0"), F.first("b1").alias("b1"), F.first("prefix").alias("prefix")
     )
-    e, f = shared.alias("e"), shared.alias("f")
+    firsts = written(firsts, "line-firsts")
+    # below this many tokens only equal sets are similar enough
+    least = 1 if percent < 50 else -(-100 // (100 - percent)) - 1 if percent < 100 else _LAST
+
+    def entries(of: DataFrame, most: int | None = None) -> DataFrame:
+        kept = F.col("prefix") if most is None else F.slice("prefix", 1, most)
+        flat = of.filter(F.col("n") >= least).select("line", "n", "b0", "b1", "open", F.explode(kept).alias("p"))
+        return flat.select(F.col("p.token").alias("token"), F.struct("line.key", "line.at", "n", "p.i", "b0", "b1", "open").alias("e"))
 
     def whole(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("x").alias("line")).unionAll(pairs.select(F.col("y").alias("line")))
-        wanted = ids.groupBy("line.key", "line.hash").agg(F.collect_set("line.place").alias("places"))
-        found = rows.join(wanted, ["key", "hash"]).select("key", "hash", F.split("text", "\n").alias("all"), F.explode("places").alias("place"))
-        return found.groupBy(F.struct("key", "hash", "place").alias("line")).agg(
-            F.first(line_tokens(F.get(F.col("all"), F.col("place")))).alias("tokens")
-        )
-
-    near = cut(near)
-    settled = cut(_confirm(near, whole(near), percent))
-    open_ = f.join(settled, F.col("f.line") == F.col("y"), "left_anti").alias("f")
-    rest = (
-        e.join(
-            open_,
-            (F.col("e.token") == F.col("f.token"))
-            & (F.col("e.line") < F.col("f.line"))
-            & _could(F.col("e.at"), F.col("e.n"), F.col("f.at"), F.col("f.n"), percent),
-        )
-        .select(F.col("e.line").alias("x"), F.col("f.line").alias("y"))
-        .distinct()
-        .join(near, ["x", "y"], "left_anti")
-    )
-    rest = cut(rest)
-    similar = settled.unionAll(_confirm(rest, whole(rest), percent)).withColumn("similar", F.lit(True))
-    decided = firsts.select("s1", "s2", "n", F.col("line").alias("first")).join(similar, F.col("first") == F.col("y"), "left")
-    decided = cut(decided.select("s1", "s2", "n", "first", F.coalesce("similar", F.lit(False)).alias("similar")))
-    gone = sets.select("line", "s1", "s2", "n").join(decided, ["s1", "s2", "n"]).filter(F.col("similar") | (F.col("line") != F.col("first")))
-    return gone.groupBy(F.col("line.key").alias("key"), F.col("line.hash").alias("hash")).agg(F.array_sort(F.collect_set("line.place")).alias("removed"))
+        ids = pairs.select(F.col("x").alias("line")).unionAll(pairs.select(F.col("y").alias("line"))).distinct()
+        wanted = ids.groupBy("line.key").agg(F.collect_set("line.at").alias("ats"))
+        found = rows.join(wanted, "key").select("key", "hash", F.split("text", "\n").alias("all"), F.explode("ats").alias("at"))
+        place = F.shiftright("at", 32).cast("int")
+        own = F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)) == F.col("hash").bitwiseAND(F.lit(0xFFFFFFFF))
+        return found.filter(own).select(F.struct("key", "at").alias("line"), line_tokens(F.get(F.col("all"), place)).alias("tokens"))
+
+    few = entries(firsts.withColumn("open", F.lit(True)), 2)
+    salt = F.pmod(F.xxhash64("e.key", "e.at"), F.lit(heads))
+    early = few.groupBy("token", salt.alias("salt")).agg(F.min("e").alias("e")).select("token", "e")
+    near = cut(_joined(early, few, percent))
+    settled = cut(_confirm(near, cut(whole(near)), percent))
+    marked = firsts.join(settled, firsts["line"] == settled["y"], "left").withColumn("open", F.col("y").isNull()).drop("y")
+    each = entries(marked)
+    rest = cut(_joined(each, each, percent).join(near, ["x", "y"], "left_anti"))
+    similar = settled.unionAll(_confirm(rest, cut(whole(rest)), percent)).withColumn("similar", F.lit(True))
+    decided = firsts.select("s0", "s1", "n", F.col("line").alias("first")).join(similar, F.col("first") == F.col("y"), "left")
+    decided = cut(decided.select("s0", "s1", "n", "first", F.coalesce("similar", F.lit(False)).alias("similar")))
+    line = F.struct("key", "at")
+    gone = sets.select("key", "hash", "place", "at", "s0", "s1", "n").join(decided, ["s0", "s1", "n"]).filter(F.col("similar") | (line != F.col("first")))
+    return gone.groupBy("key", "hash").agg(F.array_sort(F.collect_set("place")).alias("removed"))
 
 
 def without_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -49,10 +49,8 @@ def posteriors(docs: DataFrame, model: DomainModel, text_col: str = "text") -> D
 
     def compute(texts):
         out = [shared.value.posteriors(features(texts[i: i + 512], WORD_TERMS)) for i in range(0, len(texts), 512)]
-        q = np.concatenate(out).astype(np.float64) if out else np.zeros((0, len(model_domains)))
-        return [list(q)]
+        return [[q.astype(np.float64) for part in out for q in part]]
 
-    model_domains = model.domains
     words = F.size(F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
     return with_computed(docs.withColumn("_tokens", words.cast("bigint")), text_col, "_domains array<double>", compute)
 
@@ -116,9 +114,7 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
 
 def with_rates(members: DataFrame, path: list[np.ndarray]) -> DataFrame:
     """``members`` with ``_rate``, and ``_copies``: the rate rounded by a hash of the id, right in the mean."""
-    from dramaturg.llm._shared import with_computed as computed
-
-    out = computed(members, "_domains", "_rate double", lambda q: [rates_of(np.array(q, np.float64).reshape(len(q), -1), path) if q else []])
+    out = with_computed(members, "_domains", "_rate double", lambda q: [rates_of(np.array(q, np.float64).reshape(len(q), -1), path) if q else []])
     draw: Column = F.pmod(F.xxhash64("doc_id", F.lit("mixing")), F.lit(1 << 30)) / float(1 << 30)
     return out.withColumn("_copies", F.floor(F.col("_rate") + draw).cast("int"))
 
