@@ -154,7 +154,7 @@ def distinctive_words(text: Column, stop_words: list[str]) -> Column:
 def word_recall(old: Column, new: Column, stop_words: list[str]) -> Column:
     """Share of the old text's distinctive words that the new one keeps; 1 if there is none."""
     words = distinctive_words(old, stop_words)
-    return F.when(F.size(words) == 0, 1.0).otherwise(F.size(F.array_intersect(words, distinctive_words(new, stop_words))) / F.size(words))
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(words, distinctive_words(new, stop_words))), F.size(words)), F.lit(1.0))
 
 
 def relationship_entries(text: Column) -> Column:

@@ -10,8 +10,8 @@ from dramaturg.operators.evaluate import average_rank
 
 def pearson(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """Correlation; null where a side doesn't vary."""
-    flat = (F.coalesce(F.stddev_pop(x), F.lit(0.0)) == 0) | (F.coalesce(F.stddev_pop(y), F.lit(0.0)) == 0)
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.round(F.when(~flat, F.corr(x, y)), 6).alias("r"))
+    r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.round(r, 6).alias("r"))
 
 
 def spearman(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
@@ -29,7 +29,7 @@ def krippendorff(ratings: DataFrame, unit: str, value: str) -> DataFrame:
     units = ratings.groupBy(unit).agg(F.count(v).alias("_n"), F.var_samp(v).alias("_v"), F.collect_list(v).alias("_all")).filter("_n > 1")
     within = units.agg(F.avg(2 * F.col("_v")).alias("observed"), F.count(F.lit(1)).alias("units"))
     overall = units.select(F.explode("_all").alias("_x")).agg((2 * F.var_samp("_x")).alias("expected"))
-    return within.withColumn("expected", overall.scalar()).select("units", F.round(F.when(F.col("expected") > 0, 1 - F.col("observed") / F.col("expected")), 6).alias("alpha"))
+    return within.withColumn("expected", overall.scalar()).select("units", F.round(1 - F.try_divide("observed", "expected"), 6).alias("alpha"))
 
 
 def cohen_kappa(rows: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
@@ -38,17 +38,17 @@ def cohen_kappa(rows: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     yes_a, yes_b = F.count_if(F.col(a)) / n, F.count_if(F.col(b)) / n
     chance = yes_a * yes_b + (1 - yes_a) * (1 - yes_b)
     same = F.count_if(F.col(a) == F.col(b)) / n
-    return rows.groupBy(*by).agg(n.alias("n"), F.round(same, 6).alias("agreement"), F.round(F.when(chance == 1, 1.0).otherwise((same - chance) / (1 - chance)), 6).alias("kappa"))
+    return rows.groupBy(*by).agg(n.alias("n"), F.round(same, 6).alias("agreement"), F.round(F.when(chance == 1, 1.0).otherwise(F.try_divide(same - chance, 1 - chance)), 6).alias("kappa"))
 
 
 def fleiss_kappa(labels: DataFrame, item: str, label: str) -> DataFrame:
     """Kappa of several raters an item, all items with equally many."""
     counts = labels.groupBy(item, label).agg(F.count(F.lit(1)).alias("_c"))
     items = counts.groupBy(item).agg(F.sum("_c").alias("_n"), F.sum(F.col("_c") * F.col("_c")).alias("_sq"))
-    agreement = items.agg(F.avg((F.col("_sq") - F.col("_n")) / (F.col("_n") * (F.col("_n") - 1))).alias("_p"), F.count(F.lit(1)).alias("items"), F.sum("_n").alias("_all"))
+    agreement = items.agg(F.avg(F.try_divide(F.col("_sq") - F.col("_n"), F.col("_n") * (F.col("_n") - 1))).alias("_p"), F.count(F.lit(1)).alias("items"), F.sum("_n").alias("_all"))
     shares = counts.groupBy(label).agg(F.sum("_c").alias("_t")).agg(F.sum(F.col("_t").cast("double") * F.col("_t")).alias("_s"))
     out = agreement.withColumn("_s", shares.scalar())
-    return out.withColumn("_e", F.col("_s") / (F.col("_all").cast("double") * F.col("_all"))).select("items", F.round(F.when(F.col("_e") == 1, 1.0).otherwise((F.col("_p") - F.col("_e")) / (1 - F.col("_e"))), 6).alias("kappa"))
+    return out.withColumn("_e", F.col("_s") / (F.col("_all").cast("double") * F.col("_all"))).select("items", F.round(F.when(F.col("_e") == 1, 1.0).otherwise(F.try_divide(F.col("_p") - F.col("_e"), 1 - F.col("_e"))), 6).alias("kappa"))
 
 
 def majority(labels: DataFrame, item: str, label: str, tie: str = "partial") -> DataFrame:

@@ -32,7 +32,7 @@ def summary(rows: DataFrame, by: list[str], value: str, digits: int = 4) -> Data
         F.count(value).alias("n"),
         F.round(F.avg(value), digits).alias("mean"),
         F.round(F.coalesce(F.stddev_samp(value), F.lit(0.0)), digits).alias("sd"),
-        F.round(F.coalesce(F.stddev_samp(value) / F.sqrt(F.count(value)), F.lit(0.0)), digits).alias("sem"),
+        F.round(F.coalesce(F.try_divide(F.stddev_samp(value), F.sqrt(F.count(value))), F.lit(0.0)), digits).alias("sem"),
     )
 
 
@@ -49,8 +49,8 @@ def paired_comparison(deltas: DataFrame, method: str, digits: int = 6) -> DataFr
     return deltas.groupBy(method).agg(
         n.alias("n"),
         F.round(mean, digits).alias("delta"),
-        F.round(F.when(sd > 0, mean / sd).otherwise(0.0), digits).alias("cohen_d"),
-        F.round(F.when(sd > 0, mean / (sd / F.sqrt(n))), digits).alias("t"),
+        F.round(F.coalesce(F.try_divide(mean, sd), F.lit(0.0)), digits).alias("cohen_d"),
+        F.round(F.try_divide(mean, sd / F.sqrt(n)), digits).alias("t"),
         F.count_if(F.col("delta") > 0).alias("wins"),
         F.count_if(F.col("delta") == 0).alias("ties"),
         F.count_if(F.col("delta") < 0).alias("losses"),
@@ -77,7 +77,7 @@ def wilcoxon(deltas: DataFrame, method: str) -> DataFrame:
         n.alias("n"),
         plus.alias("w_plus"),
         F.sum(F.when(F.col("delta") < 0, F.col("r")).otherwise(0.0)).alias("w_minus"),
-        F.round(F.when(spread > 0, (plus - n * (n + 1) / 4) / F.sqrt(spread)), 6).alias("z"),
+        F.round(F.try_divide(plus - n * (n + 1) / 4, F.sqrt(spread)), 6).alias("z"),
     )
 
 
@@ -109,7 +109,7 @@ def describe(rows: DataFrame, by: list[str], value: str) -> DataFrame:
 
 def merge_descriptions(stats: DataFrame, by: list[str]) -> DataFrame:
     """Several descriptions as one: means, deviations and medians weighted by n."""
-    weighted = lambda c: F.round(F.sum(F.col(c) * F.col("n")) / F.sum("n"), 3).alias(c)
+    weighted = lambda c: F.round(F.try_divide(F.sum(F.col(c) * F.col("n")), F.sum("n")), 3).alias(c)
     return stats.groupBy(*by).agg(
         F.sum("n").alias("n"), weighted("mean"), weighted("std"), weighted("median"), F.min("min").alias("min"), F.max("max").alias("max"), F.sum("total").alias("total")
     )
@@ -119,7 +119,7 @@ def latency(rows: DataFrame, by: str, seconds: str, count: str) -> DataFrame:
     total, n = F.sum(seconds), F.sum(count)
     return rows.groupBy(by).agg(
         F.round(total, 4).alias("total_seconds"), n.alias("samples"),
-        F.round(total * 1000 / n, 4).alias("ms_per_sample"), F.round(n / total, 4).alias("samples_per_second"),
+        F.round(F.try_divide(total * 1000, n), 4).alias("ms_per_sample"), F.round(F.try_divide(n, total), 4).alias("samples_per_second"),
     ).filter("samples > 0")
 
 

@@ -23,13 +23,13 @@ def norm(a: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """Cosine in double precision; 0 where a vector is zero."""
     size = norm(a) * norm(b)
-    return F.when(size > 0, dot(a, b) / size).otherwise(0.0)
+    return F.coalesce(F.try_divide(dot(a, b), size), F.lit(0.0))
 
 
 def unit(a: Column, scale: float = 1.0) -> Column:
     """The vector at length ``scale``; a zero vector stays."""
     size = norm(a)
-    return F.transform(a, lambda x: F.when(size > 0, x.cast("double") / size * scale).otherwise(x.cast("double")))
+    return F.transform(a, lambda x: F.coalesce(F.try_divide(x.cast("double"), size) * scale, x.cast("double")))
 
 
 def top_k(pool: DataFrame, queries: DataFrame, k: int, exclude: str | None = None, block: int = 4096) -> DataFrame:
