@@ -27,6 +27,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(place)
 
 
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Let Arrow batches to Python hold at most ``most`` bytes (a larger row is alone) from now on.
+
+    A worker keeps several forms of a batch at a time, and two workers share an executor's memory
+    with its JVM. A smaller setting of the session stays.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if now > most or now <= 0:
+        spark.conf.set(key, str(most))
+
+
 @contextlib.contextmanager
 def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
     """Queries made inside drop their shuffle files as each of them ends, not when driver garbage goes.
@@ -73,6 +85,7 @@ def with_computed(df: DataFrame, column: str, fields: str, compute) -> DataFrame
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    small_batches(df.sparkSession)
     extra = StructType.fromDDL(fields)
     at = df.columns.index(column)
     arrow = to_arrow_schema(extra)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dramaturg.llm._shared import cut, table, tidy_shuffles
+from dramaturg.llm._shared import cut, small_batches, table, tidy_shuffles
 from dramaturg.llm._words import shingle_sets
 from dramaturg.llm.components import components
 from dramaturg.llm.sketching import band_keys, fast_sketch, set_fingerprint
@@ -191,6 +191,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     are each reported with the component of their own text. An empty table gives an empty result.
     Returns ``doc_id, n_shingles, component_id, kept``.
     """
+    small_batches(docs.sparkSession)
     with tidy_shuffles(docs.sparkSession):
         return _near_duplicates(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), k, percent)
 
