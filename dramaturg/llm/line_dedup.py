@@ -13,20 +13,24 @@ _CHUNK = 12
 
 def line_tokens(line: Column) -> Column:
     """64-bit hashes of the distinct lower-case tokens of a line."""
-    words = F.split(F.translate(F.lower(line), "\t\x0b\x0c\r", "    "), " ")
-    return F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w)))
+    return F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
 
 
-def _rarity(lines: DataFrame, bits: int) -> bytes:
+def _words(line: Column) -> Column:
+    return F.array_remove(F.split(F.translate(F.lower(line), "\t\x0b\x0c\r", "    "), " "), "")
+
+
+def _rarity(texts: DataFrame, text_col: str, bits: int) -> bytes:
     """How often tokens occur: 2**bits bytes, one for each hash bucket.
 
     A byte is a logarithm of the count of the bucket's most frequent token (0 for none, 1 for
-    once), so a token is never taken to be rarer than it is. The size is fixed by ``bits``; chunks
-    of the table are put together on executors and only its bytes come to the driver.
+    once, at most 127), so a token is never taken to be rarer than it is. The size is fixed by
+    ``bits``; chunks of the table are put together on executors and only its bytes come to the driver.
     """
-    spark = lines.sparkSession
-    counts = lines.select(F.explode("tokens").alias("token")).groupBy("token").count()
-    level = F.least(F.lit(255), F.ceil(F.log(1.1, F.col("count").cast("double"))) + 1).cast("int")
+    spark = texts.sparkSession
+    words = texts.select(F.explode(_words(F.translate(F.col(text_col), "\n", " "))).alias("word"))
+    counts = words.select(F.xxhash64("word").alias("token")).groupBy("token").count()
+    level = F.least(F.lit(127), F.ceil(F.log(1.12, F.col("count").cast("double"))) + 1).cast("int")
     seen = counts.groupBy(_bucket(F.col("token"), bits).alias("bucket")).agg(F.max(level).alias("level"))
     every = spark.range(1 << bits).select(F.col("id").alias("bucket"), F.lit(0).alias("level"))
     byte = F.lpad(F.hex("level"), 2, "0")
@@ -45,9 +49,15 @@ def _bucket(token: Column, bits: int) -> Column:
     return F.shiftrightunsigned(token, 64 - bits)
 
 
-def _level(rarity: bytes, token: Column, bits: int) -> Column:
-    """The token's byte of the rarity table."""
-    return F.substring(F.lit(rarity), (_bucket(token, bits) + 1).cast("int"), F.lit(1))
+def _placed(line: Column, rarity: bytes, bits: int) -> Column:
+    """A line's distinct tokens in order of rarity, as longs: seven bits of level above 56 of hash."""
+
+    def pack(word: Column) -> Column:
+        token = F.xxhash64(word)
+        level = F.ascii(F.substring(F.lit(rarity), (_bucket(token, bits) + 1).cast("int"), F.lit(1)).cast("string"))
+        return F.shiftleft(level.cast("bigint"), 56).bitwiseOR(token.bitwiseAND(F.lit((1 << 56) - 1)))
+
+    return F.sort_array(F.array_distinct(F.transform(_words(line), pack)))
 
 
 def _fits(a: Column, b: Column, percent: int) -> Column:
@@ -75,8 +85,8 @@ def _alike(a: Column, b: Column, percent: int) -> Column:
 
 
 def _bitmap(half: int) -> Column:
-    """64 bits of ``tokens``: those whose bit 6 is ``half`` set the bit of their low six bits."""
-    return F.expr(f"aggregate(tokens, 0L, (a, t) -> a | if((t >> 6) & 1 = {half}, shiftleft(1L, cast(t & 63 as int)), 0L))")
+    """64 bits of ``ordered``: tokens whose bit 6 is ``half`` set the bit of their low six bits."""
+    return F.expr(f"aggregate(ordered, 0L, (a, t) -> a | if((t >> 6) & 1 = {half}, shiftleft(1L, cast(t & 63 as int)), 0L))")
 
 
 def _joined(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
@@ -126,18 +136,13 @@ def _line_duplicates(docs: DataFrame, percent: int, bits: int, heads: int, id_co
     rows = docs.select(key.alias("key"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
     at = F.shiftleft(F.col("place").cast("bigint"), 32).bitwiseOR(F.col("hash").bitwiseAND(F.lit(0xFFFFFFFF)))
     lines = rows.select("key", "hash", F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    lines = lines.select("key", "hash", "place", at.alias("at"), line_tokens(F.col("line")).alias("tokens")).filter(F.size("tokens") > 0)
-    rarity = _rarity(lines, bits)
-
-    n = F.size("tokens")
-    ordered = F.sort_array(F.transform("tokens", lambda t: F.struct(_level(rarity, t, bits).alias("level"), t.alias("token"))))
-    prefix = F.slice("ordered", 1, n - F.ceil(n * percent / 100).cast("int") + 1)
-    shared = F.filter(F.transform(prefix, lambda e, i: F.struct(e.token.alias("token"), i.alias("i"), e.level.alias("level"))), lambda e: e.level > F.lit(b"\x01"))
-    sets = lines.withColumn("ordered", ordered).select(
+    rarity = _rarity(docs, text_col, bits)
+    n = F.size("ordered")
+    lines = lines.select("key", "hash", "place", at.alias("at"), _placed(F.col("line"), rarity, bits).alias("ordered")).filter(n > 0)
+    sets = lines.select(
         "key", "hash", "place", "at", n.alias("n"),
-        F.xxhash64("ordered.token").alias("s0"), F.xxhash64(F.lit("second"), F.col("ordered.token")).alias("s1"),
-        _bitmap(0).alias("b0"), _bitmap(1).alias("b1"),
-        F.transform(shared, lambda e: F.struct(e.token.alias("token"), e.i.alias("i"))).alias("prefix"),
+        F.xxhash64("ordered").alias("s0"), F.xxhash64(F.lit("second"), F.col("ordered")).alias("s1"), _bitmap(0).alias("b0"), _bitmap(1).alias("b1"),
+        F.slice("ordered", 1, n - F.ceil(n * percent / 100).cast("int") + 1).alias("prefix"),
     )
     # a written table: the bytes of the rarity table stay out of all later plans
     sets = written(sets, "line-sets")
@@ -149,9 +154,11 @@ def _line_duplicates(docs: DataFrame, percent: int, bits: int, heads: int, id_co
     least = 1 if percent < 50 else -(-100 // (100 - percent)) - 1 if percent < 100 else _LAST
 
     def entries(of: DataFrame, most: int | None = None) -> DataFrame:
-        kept = F.col("prefix") if most is None else F.slice("prefix", 1, most)
-        flat = of.filter(F.col("n") >= least).select("line", "n", "b0", "b1", "open", F.explode(kept).alias("p"))
-        return flat.select(F.col("p.token").alias("token"), F.struct("line.key", "line.at", "n", "p.i", "b0", "b1", "open").alias("e"))
+        flat = of.filter(F.col("n") >= least).select("line", "n", "b0", "b1", "open", "prefix", F.posexplode("prefix").alias("i", "token"))
+        flat = flat.filter(F.col("token") >= F.lit(2 << 56))  # level 1: once
+        if most is not None:  # of the tokens that occur more than once, the first
+            flat = flat.filter((F.col("i") < most) | (F.get(F.col("prefix"), F.col("i") - most) < F.lit(2 << 56)))
+        return flat.select("token", F.struct("line.key", "line.at", "n", "i", "b0", "b1", "open").alias("e"))
 
     def whole(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("x").alias("line")).unionAll(pairs.select(F.col("y").alias("line"))).distinct()
