@@ -46,7 +46,8 @@ def _hash_block(block: np.ndarray) -> np.ndarray:
     place -= np.repeat(starts, lengths)
     weight = _PLACE[place & 1023]
     if lengths.max() > 1024:
-        weight = weight * mix64((place >> 10).astype(np.uint64) + np.uint64(7))
+        far = np.flatnonzero(place >= 1024)  # nearer bytes keep their weight, whatever else the block holds
+        weight[far] *= mix64((place[far] >> 10).astype(np.uint64) + np.uint64(7))
     weight *= _BYTE[block]
     return mix64(np.add.reduceat(weight, starts))
 

@@ -94,6 +94,17 @@ def test_shingles_equal_brute_force():
     assert set(one) <= set(two)
 
 
+def test_shingles_do_not_depend_on_the_batch():
+    text = "a b c d e f g h i j"
+    alone = shingle_sets([text], 5)[0].tolist()
+    for company in (["y" * 5000], [" " * 5000], [""] * 2000, [None] * 2000, ["x " + "y" * 1500 + " z"]):
+        assert shingle_sets([*company, text], 5)[-1].tolist() == alone
+        assert shingle_sets([text, *company], 5)[0].tolist() == alone
+    long = [text + " " + "y" * n + " " * m + "end" for n in (1023, 1024, 1025, 5000) for m in (1, 3000)]
+    assert [s.tolist() for s in shingle_sets(long, 5)] == [shingle_sets([t], 5)[0].tolist() for t in long]
+    assert len({tuple(shingle_sets(["y" * n], 5)[0].tolist()) for n in range(1000, 5200, 7)}) == 600
+
+
 def test_sketches_estimate_jaccard():
     rng = np.random.default_rng(1)
     pool = rng.integers(1, 2**63, 1500, dtype=np.uint64)
