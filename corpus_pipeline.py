@@ -7,6 +7,7 @@ Every stage takes ``(spark, docs, sf_dir)`` and returns the documents it keeps w
 from __future__ import annotations
 
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,12 +43,17 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its rate says, so that clean and toxic tokens meet the targets."""
+    """Each document as often as its rate says, so that clean and toxic tokens meet the targets.
+
+    Warns of targets that these documents can't meet.
+    """
     label = F.when(F.col("toxic") == 1, "toxic").when(F.col("toxic") == 0, "clean")
     texts = docs.select("doc_id", "text")
     domains = list(TARGETS)
     model = mixing.fit_model(texts, table(spark, sf_dir, "labels").select("doc_id", label.alias("label")), domains)
     path = mixing.fit_rates(cut(mixing.posteriors(texts, model).drop("text", "doc_id")), domains, TARGETS)
+    if path.missed:
+        warnings.warn(f"mixing misses the targets of {path.missed}: {path.have.tolist()} tokens of {domains}, wanted {path.want.tolist()}", stacklevel=2)
     rated = mixing.with_rates(mixing.posteriors(docs, model), path)
     copies = F.explode(F.array_repeat(F.lit(1), F.col("_copies")))
     return rated.withColumn("_copy", copies).select(docs.columns)

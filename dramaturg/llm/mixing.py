@@ -58,7 +58,7 @@ def posteriors(docs: DataFrame, model: DomainModel, text_col: str = "text") -> D
 def _totals(members: DataFrame, path: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
     """Expected tokens of each domain at the present rates, and the matrix of shared membership.
 
-    One pass; each task sends one row of k + k * k sums.
+    The matrix is of the documents whose rate isn't 0. One pass; each task sends one row of k + k * k sums.
     """
 
     def sums(batches):
@@ -70,7 +70,7 @@ def _totals(members: DataFrame, path: list[np.ndarray], k: int) -> tuple[np.ndar
             q = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
             r = rates_of(q, path)
             total[:k] += (n * r) @ q
-            total[k:] += ((n[:, None] * q).T @ q).reshape(-1)
+            total[k:] += (((n * (r > 0))[:, None] * q).T @ q).reshape(-1)
         yield pa.RecordBatch.from_arrays([pa.array([i for i in range(total.size)], pa.int32()), pa.array(total)], names=["i", "x"])
 
     made = members.select("_tokens", "_domains").mapInArrow(sums, "i int, x double").groupBy("i").agg(F.sum("x").alias("x"))
@@ -88,27 +88,56 @@ def rates_of(q: np.ndarray, path: list[np.ndarray]) -> np.ndarray:
     return r
 
 
-def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], total: float | None = None, rounds: int = 80, near: float = 1e-4) -> list[np.ndarray]:
+class Steps(list):
+    """The steps of a fit, with the expected tokens of each domain (``have``), those wanted, and the domains ``missed``."""
+
+    have: np.ndarray
+    want: np.ndarray
+    missed: list[str]
+
+
+def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], total: float | None = None, rounds: int = 80, near: float = 1e-4) -> Steps:
     """Projected gradient descent for rates r >= 0 with sum(r * tokens * posterior) = target tokens.
 
     Minimises sum_k (A_k - T_k)^2 / T_k over the rates, with steps measured by tokens: a document's
     step depends on its posteriors only, so its rate is a function of them and of the k numbers of
     each past step. Nothing is stored per document; each round is one pass with k sums a task.
     ``total`` is the number of tokens wanted (None: as many as there are).
+
+    Steps are implicit ones: the gradient goes through the inverse of the membership matrix of the
+    documents above 0, damped by 1 / ``reach``, so that weak domains move as fast as strong ones. A
+    step that doesn't bring the totals nearer is taken back and damped more, down to the plain step
+    of one over the curvature, which always does. Ends when all targets are met within ``near``,
+    when the totals of a step stop changing, or after ``rounds`` passes; ``missed`` of the result
+    names the domains that aren't met then.
     """
     k = len(domains)
     have, shared = _totals(members, [], k)
     weight = np.array([targets.get(d, 0.0) for d in domains])
     want = weight / max(weight.sum(), 1e-12) * (have.sum() if total is None else total)
-    scale = 1 / np.maximum(want, max(1.0, 1e-6 * have.sum()))
-    root = np.sqrt(scale)
-    step = 1 / max(np.linalg.eigvalsh(root[:, None] * shared * root[None, :]).max(), 1e-12)
-    path: list[np.ndarray] = []
+    size = np.maximum(want, max(1.0, 1e-6 * have.sum()))
+    root = 1 / np.sqrt(size)
+    least = 1 / max(np.linalg.eigvalsh(root[:, None] * shared * root[None, :]).max(), 1e-12)
+    most = reach = 1e8 * least
+    path = Steps()
+    far = np.abs(have - want) > near * np.maximum(want, 1)
     for _ in range(rounds):
-        if (np.abs(have - want) <= near * np.maximum(want, 1)).all():
+        if not far.any():
+            break
+        damped = reach > least
+        step = np.linalg.solve(np.diag(size / reach) + shared, have - want) if damped else least * (have - want) / size
+        now, shared_now = _totals(members, [*path, step], k)
+        if damped and not (((now - want) * root) ** 2).sum() < 0.999 * (((have - want) * root) ** 2).sum():
+            reach /= 3
+            continue
+        path.append(step)
+        still = (np.abs(now - have) <= 0.01 * near * size).all()
+        have, shared = now, shared_now
+        far = np.abs(have - want) > near * np.maximum(want, 1)
+        if still:
             break
-        path.append(step * scale * (have - want))
-        have, _shared = _totals(members, path, k)
+        reach = min(most, 10 * max(reach, least))
+    path.have, path.want, path.missed = have, want, [d for d, f in zip(domains, far, strict=True) if f]
     return path
 
 
@@ -130,6 +159,7 @@ def op8_mixing(spark, sf_dir: str) -> DataFrame:
 
     Defined results: null and empty texts have no tokens, so any rate serves; they get the rate of
     their posteriors. A domain that no document resembles can't be reached; the others are.
+    ``missed`` names, in every row, the domains whose tokens don't meet their target.
     Repeated rows have equal rates and copies. An empty table gives an empty result.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -144,4 +174,5 @@ def op8_mixing(spark, sf_dir: str) -> DataFrame:
         *[F.col("_domains")[i].alias(f"p_{d}") for i, d in enumerate(domains)],
         F.col("_rate").alias("rate"),
         F.col("_copies").alias("copies"),
+        F.lit(path.missed).cast("array<string>").alias("missed"),
     )

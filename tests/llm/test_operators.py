@@ -283,6 +283,35 @@ def test_projected_gradient_stays_nonnegative(spark):
     assert min(rates.values()) >= 0 and rates[2] < 0.05 and rates[1] + 0.5 * rates[3] == pytest.approx(1.0, abs=0.05)
 
 
+def dealt(spark, shares, rows=3000):
+    """Members of three domains, 0.95 to 0.99 sure of their own."""
+    rng = np.random.default_rng(8)
+    own = rng.choice(3, rows, p=shares)
+    sure = rng.uniform(0.95, 0.99, rows)
+    q = np.repeat(((1 - sure) / 2)[:, None], 3, axis=1)
+    q[np.arange(rows), own] = sure
+    tokens = rng.integers(1, 800, rows).tolist()
+    return spark.createDataFrame(list(zip(range(rows), tokens, q.tolist(), strict=True)), "doc_id bigint, _tokens bigint, _domains array<double>").cache()
+
+
+@pytest.mark.parametrize("shares", [(0.34, 0.33, 0.33), (0.65, 0.02, 0.33), (0.99, 0.009, 0.001), (0.33, 0.66, 0.01), (0.01, 0.01, 0.98)])
+def test_mixing_meets_far_targets(spark, shares):
+    members, names = dealt(spark, shares), ["clean", "low", "toxic"]
+    path = mixing.fit_rates(members, names, {"clean": 0.90, "low": 0.06, "toxic": 0.04})
+    rows = mixing.with_rates(members, path).collect()
+    got = sum(r["_rate"] * r["_tokens"] * np.array(r["_domains"]) for r in rows)
+    assert got / sum(r["_tokens"] for r in rows) == pytest.approx([0.90, 0.06, 0.04], rel=2e-4)
+    assert path.missed == [] and min(r["_rate"] for r in rows) >= 0
+
+
+def test_mixing_names_missed_targets(spark):
+    members = dealt(spark, (0.7, 0.3, 0.0)).withColumn("_domains", F.array(F.col("_domains")[0] + F.col("_domains")[2], F.col("_domains")[1], F.lit(0.0)))
+    path = mixing.fit_rates(members, ["clean", "low", "toxic"], {"clean": 0.90, "low": 0.06, "toxic": 0.04})
+    assert path.missed == ["toxic"] and path.have[:2] == pytest.approx(path.want[:2], rel=1e-4)
+    out = registry.QUERIES["op8_mixing"](spark, DATA)
+    assert out.schema["missed"].dataType.simpleString() == "array<string>" and {tuple(r["missed"]) for r in out.collect()} == {()}
+
+
 def test_language(spark, awkward, nothing):
     sf = DATA.replace("0.001", "0.01")
     got = registry.QUERIES["op9_language_id"](spark, sf).toPandas().merge(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").toPandas(), on="doc_id")
