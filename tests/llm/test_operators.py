@@ -390,3 +390,39 @@ def test_pipeline(spark):
     out = P.run(spark, DATA).toPandas()
     assert set(out.doc_id) <= unique & clean | set(out.doc_id) and out.shard.between(0, 23).all()
     assert out.groupby("shard").slot.apply(lambda s: sorted(s) == list(range(len(s)))).all()
+
+
+def test_pipeline_keeps_what_its_stages_decide(spark):
+    """Rows of the whole run, with multiplicity, against each stage's decisions on its own input."""
+    import corpus_pipeline as P
+
+    from dramaturg.llm._features import features
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    voters = quality.fit(docs, quality.labelled_quality(spark, DATA))
+    ids = [i for i, s in zip(texts, voters.scores(features(list(texts.values()))), strict=True) if s >= 0.5]
+    sets = {i: shingle_set(texts[i], 5) for i in ids}
+    label = {i: i for i in ids}
+    for i in ids:
+        for j in ids:
+            if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = label[i], label[j]
+                label = {k: min(a, b) if v in (a, b) else v for k, v in label.items()}
+    items = [shingle_set(r["text"], 5) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    ids = [i for i in ids if label[i] == i and not any(s and 100 * len(s & sets[i]) >= 80 * len(s) for s in items)]
+    left = docs.filter(F.col("doc_id").isin(ids)).select("doc_id", "text")
+    toxic = spark.read.parquet(f"{DATA}/labels.parquet").select("doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("toxic") == 0, "clean").alias("label"))
+    model = mixing.fit_model(left, toxic, ["clean", "toxic"])
+    q = model.posteriors(features([texts[i] for i in ids], mixing.WORD_TERMS)).astype(np.float64)
+    n = np.array([len(words(texts[i])) for i in ids])
+    path = mixing.fit_rates(mixing.posteriors(left, model), ["clean", "toxic"], P.TARGETS)
+    rates = mixing.rates_of(q, path)
+    assert (n * rates) @ q == pytest.approx(np.array([0.98, 0.02]) * n.sum(), rel=1e-3)
+    draws = {r["doc_id"]: r["d"] for r in left.select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit("mixing")), F.lit(1 << 30)) / (1 << 30)).alias("d")).collect()}
+    copies = collections.Counter({i: int(r + draws[i]) for i, r in zip(ids, rates, strict=True)})
+    out = P.run(spark, DATA).toPandas()
+    assert len(texts) == docs.count() and collections.Counter(out.doc_id.tolist()) == +copies
+    assert out.shard.between(0, 23).all() and all(texts[r.doc_id] == r.text for r in out.itertuples())
+    by = [sum(len((r.text or "").encode()) + 8 for r in out[out.shard == s].itertuples()) for s in range(24)]
+    assert max(by) - min(by) <= 2 * max(len((t or "").encode()) + 8 for t in texts.values())
