@@ -20,13 +20,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """``df`` as a compressed table in the shared folder, read back."""
     place = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(place)
+    df.write.options(**(options or {})).parquet(place)
     return df.sparkSession.read.schema(df.schema).parquet(place)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has, in upper or lower case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def replaced(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without the columns of these names, in upper or lower case, which an operator will add."""
+    own = {n.lower() for n in names}
+    return df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in own]) if own & {c.lower() for c in df.columns} else df
+
+
 def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     """Let Arrow batches to Python hold at most ``most`` bytes (a larger row is alone) from now on.
 
@@ -79,7 +98,8 @@ def with_computed(df: DataFrame, column: str, fields: str, compute) -> DataFrame
     """``df`` with the columns ``fields`` (DDL) that ``compute`` makes of one column's values.
 
     ``compute`` gets a list of Python values and returns one list or array per field. Rows pass
-    through in Arrow batches, so that other columns keep their types and nulls.
+    through in Arrow batches, so that other columns keep their types and nulls. Columns of ``df``
+    with the names of the new ones are replaced.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -87,6 +107,7 @@ def with_computed(df: DataFrame, column: str, fields: str, compute) -> DataFrame
 
     small_batches(df.sparkSession)
     extra = StructType.fromDDL(fields)
+    df = replaced(df, *extra.names)
     at = df.columns.index(column)
     arrow = to_arrow_schema(extra)
 

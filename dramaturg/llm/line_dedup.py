@@ -2,37 +2,48 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dramaturg.llm._shared import cut, table, tidy_shuffles, written
+from dramaturg.llm._shared import cut, fresh, replaced, table, tidy_shuffles, written
 
 _LAST = 2**63 - 1
 _CHUNK = 12
+#: Tokens that hold at least one of 2**_OFTEN of all occurrences are frequent: at most 2**_OFTEN of them.
+_OFTEN = 15
+#: Lines that a broadcast may name (16 bytes each) before their token sets are shuffled instead.
+_NAMED = 500_000
 
 
 def line_tokens(line: Column) -> Column:
-    """64-bit hashes of the distinct lower-case tokens of a line."""
-    return F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
+    """Sorted 64-bit hashes of the distinct lower-case tokens of a line (white space: see :func:`_plain`)."""
+    hashed = F.transform(F.split(F.lower(line), " "), lambda w: F.xxhash64(w))
+    return F.array_remove(F.sort_array(F.array_distinct(hashed)), F.xxhash64(F.lit("")))
 
 
-def _words(line: Column) -> Column:
-    return F.array_remove(F.split(F.translate(F.lower(line), "\t\x0b\x0c\r", "    "), " "), "")
+def _plain(text: Column) -> Column:
+    """The text with every white space but the line feed as a space."""
+    for sign in "\t\x0b\x0c\r":
+        text = F.replace(text, F.lit(sign), F.lit(" "))
+    return text
 
 
-def _rarity(texts: DataFrame, text_col: str, bits: int) -> bytes:
-    """How often tokens occur: 2**bits bytes, one for each hash bucket.
+def _rarity(lines: DataFrame, bits: int) -> tuple[bytes, list[int]]:
+    """How often tokens occur in lines: 2**bits bytes, one for each hash bucket, and the frequent tokens.
 
     A byte is a logarithm of the count of the bucket's most frequent token (0 for none, 1 for
-    once, at most 127), so a token is never taken to be rarer than it is. The size is fixed by
-    ``bits``; chunks of the table are put together on executors and only its bytes come to the driver.
+    once, at most 127), so a token is never taken to be rarer than it is. Both results have a bound
+    that doesn't depend on the data; the table's chunks are put together on executors.
     """
-    spark = texts.sparkSession
-    words = texts.select(F.explode(_words(F.translate(F.col(text_col), "\n", " "))).alias("word"))
-    counts = words.select(F.xxhash64("word").alias("token")).groupBy("token").count()
+    spark = lines.sparkSession
+    counts = cut(lines.select(F.explode("tokens").alias("token")).groupBy("token").count().filter("count > 1"))
+    total = lines.agg(F.sum("n").alias("n")).first()["n"] or 0
+    often = [r["token"] for r in counts.filter(F.col("count") * (1 << _OFTEN) >= total).select("token").collect()]
     level = F.least(F.lit(127), F.ceil(F.log(1.12, F.col("count").cast("double"))) + 1).cast("int")
     seen = counts.groupBy(_bucket(F.col("token"), bits).alias("bucket")).agg(F.max(level).alias("level"))
-    every = spark.range(1 << bits).select(F.col("id").alias("bucket"), F.lit(0).alias("level"))
+    every = spark.range(1 << bits).select(F.col("id").alias("bucket"), F.lit(1).alias("level"))
     byte = F.lpad(F.hex("level"), 2, "0")
     chunks = (
         seen.unionAll(every)
@@ -42,69 +53,79 @@ def _rarity(texts: DataFrame, text_col: str, bits: int) -> bytes:
         .agg(F.sort_array(F.collect_list(F.struct("bucket", byte.alias("byte")))).alias("bytes"))
         .select("chunk", F.unhex(F.array_join(F.col("bytes.byte"), "")).alias("bytes"))
     )
-    return b"".join(bytes(r["bytes"]) for r in sorted(chunks.collect(), key=lambda r: r["chunk"]))
+    return b"".join(bytes(r["bytes"]) for r in sorted(chunks.collect(), key=lambda r: r["chunk"])), sorted(often)
 
 
 def _bucket(token: Column, bits: int) -> Column:
     return F.shiftrightunsigned(token, 64 - bits)
 
 
-def _placed(line: Column, rarity: bytes, bits: int) -> Column:
-    """A line's distinct tokens in order of rarity, as longs: seven bits of level above 56 of hash."""
-
-    def pack(word: Column) -> Column:
-        token = F.xxhash64(word)
-        level = F.ascii(F.substring(F.lit(rarity), (_bucket(token, bits) + 1).cast("int"), F.lit(1)).cast("string"))
-        return F.shiftleft(level.cast("bigint"), 56).bitwiseOR(token.bitwiseAND(F.lit((1 << 56) - 1)))
-
-    return F.sort_array(F.array_distinct(F.transform(_words(line), pack)))
-
-
-def _fits(a: Column, b: Column, percent: int) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def _level(count: int) -> int:
+    """The least packed token of a bucket whose level says ``count`` or more."""
+    return (math.ceil(math.log(count, 1.12)) + 1) << 56
 
 
-def _could(i: Column, n: Column, j: Column, m: Column, percent: int) -> Column:
-    """Length and positional filter: enough can still be shared, given one shared token's places.
+def _with_prefix(lines: DataFrame, rarity: bytes, often: list[int], bits: int, percent: int) -> DataFrame:
+    """``lines`` with ``prefix``: the first tokens of each line in order of rarity, as longs.
 
-    Of the tokens before the shared one at most min(i, j) are shared, and after it at most as many
-    as the shorter rest has.
+    A token is packed as seven bits of level above 56 of hash. Tokens that aren't frequent come
+    first, by level; frequent ones follow, by level. Only lines that are short of the former look
+    the latter up.
     """
-    most = F.least(i, j) + 1 + F.least(n - i, m - j) - 1
-    return _fits(n, m, percent) & (most * (100 + percent) >= (n + m) * percent)
-
 
-def _alike(a: Column, b: Column, percent: int) -> Column:
-    """Bitmap filter: sets of similarity t differ in at most (1 - t) / (1 + t) (n + m) tokens.
+    def pack(token: Column) -> Column:
+        level = F.ascii(F.substring(F.lit(rarity), (_bucket(token, bits) + 1).cast("int"), F.lit(1)).cast("string"))
+        return F.shiftleft(level.cast("bigint"), 56).bitwiseOR(token.bitwiseAND(F.lit((1 << 56) - 1)))
 
-    Bits in which two bitmaps differ are each due to a token that only one set has. ``a`` and ``b``
-    are structs with ``n, b0, b1``.
-    """
-    apart = F.bit_count(a["b0"].bitwiseXOR(b["b0"])) + F.bit_count(a["b1"].bitwiseXOR(b["b1"]))
-    return apart * (100 + percent) <= (a["n"] + b["n"]) * (100 - percent)
+    placed = lambda tokens: F.sort_array(F.transform(tokens, pack))
+    frequent = (lambda t: t.isin(often)) if often else (lambda t: F.lit(False))
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
+    parted = lines.withColumn("rare", F.filter("tokens", lambda t: ~frequent(t)))
+    packed = F.when(F.size("rare") >= length, placed(F.col("rare"))).otherwise(F.concat(placed(F.col("rare")), placed(F.filter("tokens", frequent))))
+    return parted.withColumn("prefix", F.slice(packed, F.lit(1), length)).drop("rare")
 
 
 def _bitmap(half: int) -> Column:
-    """64 bits of ``ordered``: tokens whose bit 6 is ``half`` set the bit of their low six bits."""
-    return F.expr(f"aggregate(ordered, 0L, (a, t) -> a | if((t >> 6) & 1 = {half}, shiftleft(1L, cast(t & 63 as int)), 0L))")
+    """64 bits of ``tokens``: a token whose bit 6 is ``half`` flips the bit that its low six bits name."""
+    return F.expr(f"aggregate(tokens, 0L, (a, t) -> if((t & 64) = {64 * half}, a ^ shiftleft(1L, cast(t & 63 as int)), a))")
 
 
 def _joined(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of an earlier and a later, open line that share a token and pass all filters."""
-    x, y = x.select("token", F.col("e").alias("x")), y.select("token", F.col("e").alias("y"))
-    a, b = F.col("x"), F.col("y")
-    # the last test names both sides, so that both read one exchange of all entries
-    open_ = b["open"] | (a["n"] < 0)
-    before = (a["key"] < b["key"]) | ((a["key"] == b["key"]) & (a["at"] < b["at"]))
-    pairs = x.join(y, "token").filter(before & open_ & _could(a["i"], a["n"], b["i"], b["n"], percent) & _alike(a, b, percent))
-    line = lambda e: F.struct(e["key"].alias("key"), e["at"].alias("at"))
-    return pairs.select(line(a).alias("x"), line(b).alias("y")).distinct()
-
-
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``y`` of those pairs ``x, y`` (lines) whose whole token sets are similar enough."""
-    one = sets.select(F.col("line").alias("x"), F.col("tokens").alias("a"))
-    two = sets.select(F.col("line").alias("y"), F.col("tokens").alias("b"))
+    """Distinct pairs of an earlier and a later, open line that share a token and pass all filters.
+
+    Length and positional filter: of the tokens before the shared one at most min(i, j) are shared,
+    and after it at most as many as the shorter rest has; that must be enough. Bitmap filter: sets
+    of similarity t differ in at most (1 - t) / (1 + t) (n + m) tokens, and each bit in which two
+    bitmaps differ is due to a token of its own that only one set has.
+    """
+    names = ["key", "at", "m", "b0", "b1"]
+    x, y = x.select("token", *[F.col(c).alias(f"x_{c}") for c in names]), y.select("token", *[F.col(c).alias(f"y_{c}") for c in names])
+    place = lambda side: F.shiftright(F.col(f"{side}_m").bitwiseAND(F.lit(0xFFFFFFFF)), 1)
+    n, m = F.shiftright("x_m", 32), F.shiftright("y_m", 32)
+    i, j = place("x"), place("y")
+    # the order of the tests is that of their cost and power
+    before = (F.col("x_key") < F.col("y_key")) | ((F.col("x_key") == F.col("y_key")) & (F.col("x_at") < F.col("y_at")))
+    open_ = (F.col("y_m").bitwiseAND(F.lit(1)) == 1) | (F.col("x_m") < 0)
+    fits = F.least(n, m) * 100 >= F.greatest(n, m) * percent
+    could = (F.least(i, j) + F.least(n - i, m - j)) * (100 + percent) >= (n + m) * percent
+    apart = lambda b: F.bit_count(F.col(f"x_{b}").bitwiseXOR(F.col(f"y_{b}")))
+    alike = (apart("b0") + apart("b1")) * (100 + percent) <= (n + m) * (100 - percent)
+    pairs = x.join(y, "token").filter(before & open_ & fits & could & alike)
+    line = lambda side: F.struct(F.col(f"{side}_key").alias("key"), F.col(f"{side}_at").alias("at"))
+    return pairs.select(line("x").alias("x"), line("y").alias("y")).distinct()
+
+
+def _confirm(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """``y`` of those pairs ``x, y`` (lines) whose whole token sets are similar enough.
+
+    The lines concerned are named by a broadcast up to a bound, so that no other set is shuffled.
+    """
+    named = pairs.select(F.col("x").alias("line")).unionAll(pairs.select(F.col("y").alias("line"))).distinct().select("line.key", "line.at")
+    named = cut(named)
+    few = named.count() <= _NAMED
+    sets = cut(lines.select("key", "at", "tokens").join(F.broadcast(named) if few else named, ["key", "at"]).dropDuplicates(["key", "at"]))
+    one = sets.select(F.struct("key", "at").alias("x"), F.col("tokens").alias("a"))
+    two = sets.select(F.struct("key", "at").alias("y"), F.col("tokens").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
     joined = pairs.join(one, "x").join(two, "y")
     return joined.filter(both * 100 >= (F.size("a") + F.size("b") - both) * percent).select("y").distinct()
@@ -117,13 +138,14 @@ def line_duplicates(docs: DataFrame, percent: int = 80, bits: int = 20, heads: i
     line is removed if an earlier line, removed or not, has the same token set or a Jaccard
     similarity of at least ``percent`` hundredths.
 
-    1. All tokens are counted; a table of fixed size gives each token's frequency.
-    2. Lines of equal token sets become one, the first of them (combined on the map side).
-    3. Each set's tokens are ordered by rarity. Sets of similarity t share one of their first
-       n - ceil(t n) + 1 tokens; of these, tokens that occur once cannot be shared and are dropped.
-    4. Each set is first compared with a few early sets (``heads``) of its two rarest shared
-       tokens. Most members of a large family of near copies are settled there.
-    5. Sets not yet removed are compared with all earlier sets that share a prefix token and pass
+    1. Texts are tokenised once, to a table of lines with their hashed token sets.
+    2. All tokens are counted; a table of fixed size and a bounded list give each token's frequency.
+    3. Sets of similarity t share one of their first n - ceil(t n) + 1 tokens in order of rarity.
+    4. Lines of equal token sets become one, the first of them (combined on the map side).
+    5. Each set is first compared with a few early sets (``heads``) of the rarest and of the most
+       frequent token of its prefix that many lines may share. Most members of a large family of
+       near copies are settled there.
+    6. Sets not yet removed are compared with all earlier sets that share a prefix token and pass
        the length, positional and bitmap filters (all three lose nothing).
     Both comparisons are on whole token sets, read again for the lines concerned only.
     """
@@ -133,54 +155,45 @@ def line_duplicates(docs: DataFrame, percent: int = 80, bits: int = 20, heads: i
 
 def _line_duplicates(docs: DataFrame, percent: int, bits: int, heads: int, id_col: str, text_col: str) -> DataFrame:
     key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST))
-    rows = docs.select(key.alias("key"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
+    rows = docs.select(key.alias("key"), _plain(F.col(text_col)).alias("text"), F.xxhash64(text_col).alias("hash"))
+    lines = rows.select("key", "hash", F.posexplode(F.split("text", "\n")).alias("place", "line")).select("key", "hash", "place", line_tokens(F.col("line")).alias("tokens"))
+    lines = lines.select("*", F.size("tokens").alias("n"), F.xxhash64("tokens").alias("s0"), F.xxhash64(F.lit("second"), F.col("tokens")).alias("s1"))
+    # few tokens make most occurrences: with a dictionary for each file a token takes two or three bytes
+    lines = written(lines, "line-tokens", {"parquet.dictionary.page.size": str(32 << 20)})
     at = F.shiftleft(F.col("place").cast("bigint"), 32).bitwiseOR(F.col("hash").bitwiseAND(F.lit(0xFFFFFFFF)))
-    lines = rows.select("key", "hash", F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    rarity = _rarity(docs, text_col, bits)
-    n = F.size("ordered")
-    lines = lines.select("key", "hash", "place", at.alias("at"), _placed(F.col("line"), rarity, bits).alias("ordered")).filter(n > 0)
-    sets = lines.select(
-        "key", "hash", "place", "at", n.alias("n"),
-        F.xxhash64("ordered").alias("s0"), F.xxhash64(F.lit("second"), F.col("ordered")).alias("s1"), _bitmap(0).alias("b0"), _bitmap(1).alias("b1"),
-        F.slice("ordered", 1, n - F.ceil(n * percent / 100).cast("int") + 1).alias("prefix"),
-    )
-    # a written table: the bytes of the rarity table stay out of all later plans
-    sets = written(sets, "line-sets")
-    firsts = sets.groupBy("s0", "s1", "n").agg(
+    lines = lines.filter("n > 0").withColumn("at", at)
+    rarity, often = _rarity(lines, bits)
+    # below this many tokens only equal sets are similar enough
+    least = 1 if percent < 50 else -(-100 // (100 - percent)) - 1 if percent < 100 else _LAST
+    prefixed = _with_prefix(lines, rarity, often, bits, percent)
+    firsts = prefixed.select("key", "at", "s0", "s1", "n", _bitmap(0).alias("b0"), _bitmap(1).alias("b1"), "prefix")
+    firsts = firsts.groupBy("s0", "s1", "n").agg(
         F.min(F.struct("key", "at")).alias("line"), F.first("b0").alias("b0"), F.first("b1").alias("b1"), F.first("prefix").alias("prefix")
     )
+    # a written table: the bytes of the rarity table stay out of all later plans
     firsts = written(firsts, "line-firsts")
-    # below this many tokens only equal sets are similar enough
-    least = 1 if percent < 50 else -(-100 // (100 - percent)) - 1 if percent < 100 else _LAST
 
-    def entries(of: DataFrame, most: int | None = None) -> DataFrame:
-        flat = of.filter(F.col("n") >= least).select("line", "n", "b0", "b1", "open", "prefix", F.posexplode("prefix").alias("i", "token"))
-        flat = flat.filter(F.col("token") >= F.lit(2 << 56))  # level 1: once
-        if most is not None:  # of the tokens that occur more than once, the first
-            flat = flat.filter((F.col("i") < most) | (F.get(F.col("prefix"), F.col("i") - most) < F.lit(2 << 56)))
-        return flat.select("token", F.struct("line.key", "line.at", "n", "i", "b0", "b1", "open").alias("e"))
-
-    def whole(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("x").alias("line")).unionAll(pairs.select(F.col("y").alias("line"))).distinct()
-        wanted = ids.groupBy("line.key").agg(F.collect_set("line.at").alias("ats"))
-        found = rows.join(wanted, "key").select("key", "hash", F.split("text", "\n").alias("all"), F.explode("ats").alias("at"))
-        place = F.shiftright("at", 32).cast("int")
-        own = F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)) == F.col("hash").bitwiseAND(F.lit(0xFFFFFFFF))
-        return found.filter(own).select(F.struct("key", "at").alias("line"), line_tokens(F.get(F.col("all"), place)).alias("tokens"))
-
-    few = entries(firsts.withColumn("open", F.lit(True)), 2)
-    salt = F.pmod(F.xxhash64("e.key", "e.at"), F.lit(heads))
-    early = few.groupBy("token", salt.alias("salt")).agg(F.min("e").alias("e")).select("token", "e")
+    def entries(of: DataFrame) -> DataFrame:
+        """One row for each ``i, token`` of ``of``; ``m`` is n, i and whether the line is open in one long."""
+        m = F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.shiftleft(F.col("i").cast("bigint"), 1)).bitwiseOR(F.col("open").cast("bigint"))
+        return of.select("token", F.col("line.key").alias("key"), F.col("line.at").alias("at"), m.alias("m"), "b0", "b1")
+
+    able = firsts.filter(F.col("n") >= least).withColumn("open", F.lit(True))
+    crowded = able.withColumn("crowded", F.filter("prefix", lambda t: t >= F.lit(_level(2 * heads)))).filter(F.size("crowded") > 0)
+    ends = F.explode(F.array_distinct(F.array(F.element_at("crowded", 1), F.element_at("crowded", -1))))
+    few = entries(crowded.withColumn("token", ends).withColumn("i", F.array_position("prefix", F.col("token")) - 1))
+    salt = F.pmod(F.xxhash64("key", "at"), F.lit(heads))
+    early = few.groupBy("token", salt.alias("salt")).agg(F.min(F.struct("key", "at", "m", "b0", "b1")).alias("e")).select("token", "e.*")
     near = cut(_joined(early, few, percent))
-    settled = cut(_confirm(near, cut(whole(near)), percent))
-    marked = firsts.join(settled, firsts["line"] == settled["y"], "left").withColumn("open", F.col("y").isNull()).drop("y")
-    each = entries(marked)
+    settled = cut(_confirm(near, lines, percent))
+    marked = able.drop("open").join(settled, F.col("line") == F.col("y"), "left").withColumn("open", F.col("y").isNull()).drop("y")
+    each = entries(marked.select("line", "n", "b0", "b1", "open", F.posexplode("prefix").alias("i", "token")).filter(F.col("token") >= F.lit(2 << 56)))
     rest = cut(_joined(each, each, percent).join(near, ["x", "y"], "left_anti"))
-    similar = settled.unionAll(_confirm(rest, cut(whole(rest)), percent)).withColumn("similar", F.lit(True))
+    similar = settled.unionAll(_confirm(rest, lines, percent)).withColumn("similar", F.lit(True))
     decided = firsts.select("s0", "s1", "n", F.col("line").alias("first")).join(similar, F.col("first") == F.col("y"), "left")
     decided = cut(decided.select("s0", "s1", "n", "first", F.coalesce("similar", F.lit(False)).alias("similar")))
     line = F.struct("key", "at")
-    gone = sets.select("key", "hash", "place", "at", "s0", "s1", "n").join(decided, ["s0", "s1", "n"]).filter(F.col("similar") | (line != F.col("first")))
+    gone = lines.select("key", "hash", "place", "at", "s0", "s1", "n").join(decided, ["s0", "s1", "n"]).filter(F.col("similar") | (line != F.col("first")))
     return gone.groupBy("key", "hash").agg(F.array_sort(F.collect_set("place")).alias("removed"))
 
 
@@ -189,12 +202,15 @@ def without_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", te
 
     Defined results: null texts have no lines; lines without a token are never removed; an empty
     text has one empty line. Rows with a null id come last in the order of lines. Rows that repeat
-    id and text are one document: each keeps the same lines. All columns come back.
+    id and text are one document: each keeps the same lines. All columns come back; columns of
+    ``docs`` that are named ``_lines`` or ``_removed`` are replaced.
     """
-    gone = line_duplicates(docs, percent, id_col=id_col, text_col=text_col).toDF("_gone_key", "_gone_hash", "_removed")
+    docs = replaced(docs, "_lines", "_removed")
+    key_, hash_, gone_key, gone_hash = fresh(docs, "key", "hash", "gone_key", "gone_hash")
+    gone = line_duplicates(docs, percent, id_col=id_col, text_col=text_col).toDF(gone_key, gone_hash, "_removed")
     key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST))
-    d = docs.withColumns({"_key": key, "_hash": F.xxhash64(text_col)})
-    d = d.join(gone, (F.col("_key") == F.col("_gone_key")) & (F.col("_hash") == F.col("_gone_hash")), "left").drop("_key", "_hash", "_gone_key", "_gone_hash")
+    d = docs.withColumns({key_: key, hash_: F.xxhash64(text_col)})
+    d = d.join(gone, (F.col(key_) == F.col(gone_key)) & (F.col(hash_) == F.col(gone_hash)), "left").drop(key_, hash_, gone_key, gone_hash)
     d = d.withColumn("_removed", F.coalesce("_removed", F.array().cast("array<int>")))
     all_ = F.split(text_col, "\n")
     kept = F.array_join(F.filter(all_, lambda line, i: ~F.array_contains("_removed", i)), "\n")
