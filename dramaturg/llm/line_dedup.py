@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 from dramaturg.llm._shared import cut, fresh, replaced, table, tidy_shuffles, written
 
 _LAST = 2**63 - 1
-_CHUNK = 12
-#: Tokens that hold at least one of 2**_OFTEN of all occurrences are frequent: at most 2**_OFTEN of them.
-_OFTEN = 15
-#: Lines that a broadcast may name (16 bytes each) before their token sets are shuffled instead.
+#: Classes of frequency: a token is in class c if it holds at least one of 2**_SHARES[c] of all
+#: occurrences, so that a class lists at most 2**_SHARES[c] tokens. The other tokens are the rarest.
+_SHARES = (17, 15, 13, 11)
+#: Lines with one token from which on they may be too many to be compared with each other.
+_CROWD = 512
+#: Rows (a few longs each) that a broadcast may have.
 _NAMED = 500_000
+#: Lines of more tokens carry a second bitmap.
+_LONG = 80
 
 
 def line_tokens(line: Column) -> Column:
@@ -30,108 +34,87 @@ def _plain(text: Column) -> Column:
     return text
 
 
-def _rarity(lines: DataFrame, bits: int) -> tuple[bytes, list[int]]:
-    """How often tokens occur in lines: 2**bits bytes, one for each hash bucket, and the frequent tokens.
-
-    A byte is a logarithm of the count of the bucket's most frequent token (0 for none, 1 for
-    once, at most 127), so a token is never taken to be rarer than it is. Both results have a bound
-    that doesn't depend on the data; the table's chunks are put together on executors.
-    """
-    spark = lines.sparkSession
-    counts = cut(lines.select(F.explode("tokens").alias("token")).groupBy("token").count().filter("count > 1"))
+def _frequent(lines: DataFrame) -> list[list[int]]:
+    """The tokens of each class of frequency, the largest class first; all tokens are counted."""
+    counts = lines.select(F.explode("tokens").alias("token")).groupBy("token").count()
     total = lines.agg(F.sum("n").alias("n")).first()["n"] or 0
-    often = [r["token"] for r in counts.filter(F.col("count") * (1 << _OFTEN) >= total).select("token").collect()]
-    level = F.least(F.lit(127), F.ceil(F.log(1.12, F.col("count").cast("double"))) + 1).cast("int")
-    seen = counts.groupBy(_bucket(F.col("token"), bits).alias("bucket")).agg(F.max(level).alias("level"))
-    every = spark.range(1 << bits).select(F.col("id").alias("bucket"), F.lit(1).alias("level"))
-    byte = F.lpad(F.hex("level"), 2, "0")
-    chunks = (
-        seen.unionAll(every)
-        .groupBy("bucket")
-        .agg(F.max("level").alias("level"))
-        .groupBy(F.shiftright("bucket", _CHUNK).alias("chunk"))
-        .agg(F.sort_array(F.collect_list(F.struct("bucket", byte.alias("byte")))).alias("bytes"))
-        .select("chunk", F.unhex(F.array_join(F.col("bytes.byte"), "")).alias("bytes"))
-    )
-    return b"".join(bytes(r["bytes"]) for r in sorted(chunks.collect(), key=lambda r: r["chunk"])), sorted(often)
-
-
-def _bucket(token: Column, bits: int) -> Column:
-    return F.shiftrightunsigned(token, 64 - bits)
-
-
-def _level(count: int) -> int:
-    """The least packed token of a bucket whose level says ``count`` or more."""
-    return (math.ceil(math.log(count, 1.12)) + 1) << 56
+    often = counts.filter((F.col("count") > 1) & (F.col("count") * (1 << _SHARES[0]) >= total)).collect()
+    return [sorted(r["token"] for r in often if r["count"] << share >= total) for share in _SHARES]
 
 
-def _with_prefix(lines: DataFrame, rarity: bytes, often: list[int], bits: int, percent: int) -> DataFrame:
-    """``lines`` with ``prefix``: the first tokens of each line in order of rarity, as longs.
+def _with_prefix(lines: DataFrame, frequent: list[list[int]], percent: int) -> DataFrame:
+    """``lines`` with ``prefix``: the first tokens of each line in order of rarity.
 
-    A token is packed as seven bits of level above 56 of hash. Tokens that aren't frequent come
-    first, by level; frequent ones follow, by level. Only lines that are short of the former look
-    the latter up.
+    Tokens in no class come first, then those of each class that aren't in the next one. Inside a
+    class the order is that of hashes, in which ``tokens`` are already. Only lines that are short
+    of rarer tokens look for frequent ones.
     """
-
-    def pack(token: Column) -> Column:
-        level = F.ascii(F.substring(F.lit(rarity), (_bucket(token, bits) + 1).cast("int"), F.lit(1)).cast("string"))
-        return F.shiftleft(level.cast("bigint"), 56).bitwiseOR(token.bitwiseAND(F.lit((1 << 56) - 1)))
-
-    placed = lambda tokens: F.sort_array(F.transform(tokens, pack))
-    frequent = (lambda t: t.isin(often)) if often else (lambda t: F.lit(False))
     length = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
-    parted = lines.withColumn("rare", F.filter("tokens", lambda t: ~frequent(t)))
-    packed = F.when(F.size("rare") >= length, placed(F.col("rare"))).otherwise(F.concat(placed(F.col("rare")), placed(F.filter("tokens", frequent))))
-    return parted.withColumn("prefix", F.slice(packed, F.lit(1), length)).drop("rare")
+    frequent = [f for f in frequent if f]
+    if not frequent:
+        return lines.withColumn("prefix", F.slice("tokens", F.lit(1), length))
+    # as text: a column for each of some ten thousand literals would take the driver seconds
+    listed = [f"t IN ({', '.join(f'{t}L' for t in f)})" for f in frequent]
+    parted = lines.withColumn("rare", F.expr(f"filter(tokens, t -> NOT {listed[0]})"))
+    classes = [F.expr(f"filter(tokens, t -> {own} AND NOT {but})") for own, but in zip(listed, [*listed[1:], "false"], strict=True)]
+    ordered = F.when(F.size("rare") >= length, F.col("rare")).otherwise(F.concat("rare", *classes))
+    return parted.withColumn("prefix", F.slice(ordered, F.lit(1), length)).drop("rare")
 
 
-def _bitmap(half: int) -> Column:
-    """64 bits of ``tokens``: a token whose bit 6 is ``half`` flips the bit that its low six bits name."""
-    return F.expr(f"aggregate(tokens, 0L, (a, t) -> if((t & 64) = {64 * half}, a ^ shiftleft(1L, cast(t & 63 as int)), a))")
+def _bitmaps() -> list[Column]:
+    """``b``: 64 bits of ``tokens``, each token flips the bit that its low six bits name; ``c``: of long lines, those whose bit 6 is set."""
+    flip = "a ^ shiftleft(1L, cast(t & 63 as int))"
+    second = F.expr(f"aggregate(tokens, 0L, (a, t) -> if((t & 64) = 64, {flip}, a))")
+    return [F.expr(f"aggregate(tokens, 0L, (a, t) -> {flip})").alias("b"), F.when(F.col("n") > _LONG, second).otherwise(F.lit(0)).alias("c")]
 
 
 def _joined(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of an earlier and a later, open line that share a token and pass all filters.
+    """Distinct pairs ``x, y`` of lines that share a token and pass all filters; of two settled lines none.
 
     Length and positional filter: of the tokens before the shared one at most min(i, j) are shared,
     and after it at most as many as the shorter rest has; that must be enough. Bitmap filter: sets
     of similarity t differ in at most (1 - t) / (1 + t) (n + m) tokens, and each bit in which two
-    bitmaps differ is due to a token of its own that only one set has.
+    bitmaps differ is due to a token of its own that only one set has. Bitmaps of two long lines
+    are compared by halves.
     """
-    names = ["key", "at", "m", "b0", "b1"]
+    names = ["r", "m", "b", "c"]
     x, y = x.select("token", *[F.col(c).alias(f"x_{c}") for c in names]), y.select("token", *[F.col(c).alias(f"y_{c}") for c in names])
     place = lambda side: F.shiftright(F.col(f"{side}_m").bitwiseAND(F.lit(0xFFFFFFFF)), 1)
     n, m = F.shiftright("x_m", 32), F.shiftright("y_m", 32)
     i, j = place("x"), place("y")
     # the order of the tests is that of their cost and power
-    before = (F.col("x_key") < F.col("y_key")) | ((F.col("x_key") == F.col("y_key")) & (F.col("x_at") < F.col("y_at")))
-    open_ = (F.col("y_m").bitwiseAND(F.lit(1)) == 1) | (F.col("x_m") < 0)
+    open_ = F.col("x_m").bitwiseOR(F.col("y_m")).bitwiseAND(F.lit(1)) == 1
     fits = F.least(n, m) * 100 >= F.greatest(n, m) * percent
     could = (F.least(i, j) + F.least(n - i, m - j)) * (100 + percent) >= (n + m) * percent
-    apart = lambda b: F.bit_count(F.col(f"x_{b}").bitwiseXOR(F.col(f"y_{b}")))
-    alike = (apart("b0") + apart("b1")) * (100 + percent) <= (n + m) * (100 - percent)
-    pairs = x.join(y, "token").filter(before & open_ & fits & could & alike)
-    line = lambda side: F.struct(F.col(f"{side}_key").alias("key"), F.col(f"{side}_at").alias("at"))
-    return pairs.select(line("x").alias("x"), line("y").alias("y")).distinct()
+    whole, second = F.col("x_b").bitwiseXOR(F.col("y_b")), F.col("x_c").bitwiseXOR(F.col("y_c"))
+    few = lambda bits: bits * (100 + percent) <= (n + m) * (100 - percent)
+    halves = (n <= _LONG) | (m <= _LONG) | few(F.bit_count(second) + F.bit_count(whole.bitwiseXOR(second)))
+    pairs = x.join(y, "token").filter((F.col("x_r") < F.col("y_r")) & fits & could & few(F.bit_count(whole)) & halves & open_)
+    return pairs.select(F.col("x_r").alias("x"), F.col("y_r").alias("y")).distinct()
+
+
+def _named(named: DataFrame) -> DataFrame:
+    """``named`` for a join: broadcast if it is small enough (rows of a few longs), else shuffled."""
+    named = cut(named)
+    return F.broadcast(named) if named.count() <= _NAMED else named
 
 
-def _confirm(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """``y`` of those pairs ``x, y`` (lines) whose whole token sets are similar enough.
+def _confirm(pairs: DataFrame, firsts: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """The later lines ``r`` of those pairs ``x, y`` whose whole token sets are similar enough.
 
     The lines concerned are named by a broadcast up to a bound, so that no other set is shuffled.
     """
-    named = pairs.select(F.col("x").alias("line")).unionAll(pairs.select(F.col("y").alias("line"))).distinct().select("line.key", "line.at")
-    named = cut(named)
-    few = named.count() <= _NAMED
-    sets = cut(lines.select("key", "at", "tokens").join(F.broadcast(named) if few else named, ["key", "at"]).dropDuplicates(["key", "at"]))
-    one = sets.select(F.struct("key", "at").alias("x"), F.col("tokens").alias("a"))
-    two = sets.select(F.struct("key", "at").alias("y"), F.col("tokens").alias("b"))
+    ids = pairs.select(F.col("x").alias("r")).unionAll(pairs.select(F.col("y").alias("r"))).distinct()
+    named = _named(firsts.select("r", "line.key", "line.at").join(_named(ids), "r"))
+    sets = cut(lines.select("key", "at", "tokens").join(named, ["key", "at"]).dropDuplicates(["r"]))
+    one = sets.select(F.col("r").alias("x"), F.struct("key", "at").alias("x_line"), F.col("tokens").alias("a"))
+    two = sets.select(F.col("r").alias("y"), F.struct("key", "at").alias("y_line"), F.col("tokens").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
-    joined = pairs.join(one, "x").join(two, "y")
-    return joined.filter(both * 100 >= (F.size("a") + F.size("b") - both) * percent).select("y").distinct()
+    alike = pairs.join(one, "x").join(two, "y").filter(both * 100 >= (F.size("a") + F.size("b") - both) * percent)
+    return alike.select(F.when(F.col("x_line") < F.col("y_line"), F.col("y")).otherwise(F.col("x")).alias("r")).distinct()
 
 
-def line_duplicates(docs: DataFrame, percent: int = 80, bits: int = 20, heads: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_duplicates(docs: DataFrame, percent: int = 80, heads: int = 16, slices: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``key, hash, removed``: for each document with something to remove, the places of its lines.
 
     Lines are the text between line feeds; the order of lines is that of (id, place, text hash). A
@@ -139,21 +122,22 @@ def line_duplicates(docs: DataFrame, percent: int = 80, bits: int = 20, heads: i
     similarity of at least ``percent`` hundredths.
 
     1. Texts are tokenised once, to a table of lines with their hashed token sets.
-    2. All tokens are counted; a table of fixed size and a bounded list give each token's frequency.
+    2. All tokens are counted; bounded lists say which hold a large share of all occurrences.
     3. Sets of similarity t share one of their first n - ceil(t n) + 1 tokens in order of rarity.
     4. Lines of equal token sets become one, the first of them (combined on the map side).
-    5. Each set is first compared with a few early sets (``heads``) of the rarest and of the most
-       frequent token of its prefix that many lines may share. Most members of a large family of
+    5. Where the first or last token of many prefixes is the same, each of these sets is first
+       compared with a few early ones of them (``heads``). Most members of a large family of
        near copies are settled there.
-    6. Sets not yet removed are compared with all earlier sets that share a prefix token and pass
-       the length, positional and bitmap filters (all three lose nothing).
+    6. Sets not yet removed are compared with all sets that share a prefix token and pass the
+       length, positional and bitmap filters (all three lose nothing). The index is made and joined
+       in ``slices`` of its tokens, one after the other, so that only a part of it is on disk.
     Both comparisons are on whole token sets, read again for the lines concerned only.
     """
     with tidy_shuffles(docs.sparkSession):
-        return _line_duplicates(docs, percent, bits, heads, id_col, text_col)
+        return _line_duplicates(docs, percent, heads, slices, id_col, text_col)
 
 
-def _line_duplicates(docs: DataFrame, percent: int, bits: int, heads: int, id_col: str, text_col: str) -> DataFrame:
+def _line_duplicates(docs: DataFrame, percent: int, heads: int, slices: int, id_col: str, text_col: str) -> DataFrame:
     key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST))
     rows = docs.select(key.alias("key"), _plain(F.col(text_col)).alias("text"), F.xxhash64(text_col).alias("hash"))
     lines = rows.select("key", "hash", F.posexplode(F.split("text", "\n")).alias("place", "line")).select("key", "hash", "place", line_tokens(F.col("line")).alias("tokens"))
@@ -162,35 +146,38 @@ def _line_duplicates(docs: DataFrame, percent: int, bits: int, heads: int, id_co
     lines = written(lines, "line-tokens", {"parquet.dictionary.page.size": str(32 << 20)})
     at = F.shiftleft(F.col("place").cast("bigint"), 32).bitwiseOR(F.col("hash").bitwiseAND(F.lit(0xFFFFFFFF)))
     lines = lines.filter("n > 0").withColumn("at", at)
-    rarity, often = _rarity(lines, bits)
     # below this many tokens only equal sets are similar enough
     least = 1 if percent < 50 else -(-100 // (100 - percent)) - 1 if percent < 100 else _LAST
-    prefixed = _with_prefix(lines, rarity, often, bits, percent)
-    firsts = prefixed.select("key", "at", "s0", "s1", "n", _bitmap(0).alias("b0"), _bitmap(1).alias("b1"), "prefix")
-    firsts = firsts.groupBy("s0", "s1", "n").agg(
-        F.min(F.struct("key", "at")).alias("line"), F.first("b0").alias("b0"), F.first("b1").alias("b1"), F.first("prefix").alias("prefix")
+    prefixed = _with_prefix(lines, _frequent(lines), percent)
+    firsts = prefixed.select("key", "at", "s0", "s1", "n", *_bitmaps(), "prefix").groupBy("s0", "s1", "n").agg(
+        F.min(F.struct("key", "at")).alias("line"), F.first("b").alias("b"), F.first("c").alias("c"), F.first("prefix").alias("prefix")
     )
-    # a written table: the bytes of the rarity table stay out of all later plans
-    firsts = written(firsts, "line-firsts")
+    # a written table: the lists of tokens stay out of all later plans, and the numbers of its rows are fixed
+    firsts = written(firsts.withColumn("r", F.monotonically_increasing_id()), "line-firsts")
 
-    def entries(of: DataFrame) -> DataFrame:
+    def entries(of: DataFrame, *more: str) -> DataFrame:
         """One row for each ``i, token`` of ``of``; ``m`` is n, i and whether the line is open in one long."""
         m = F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.shiftleft(F.col("i").cast("bigint"), 1)).bitwiseOR(F.col("open").cast("bigint"))
-        return of.select("token", F.col("line.key").alias("key"), F.col("line.at").alias("at"), m.alias("m"), "b0", "b1")
-
-    able = firsts.filter(F.col("n") >= least).withColumn("open", F.lit(True))
-    crowded = able.withColumn("crowded", F.filter("prefix", lambda t: t >= F.lit(_level(2 * heads)))).filter(F.size("crowded") > 0)
-    ends = F.explode(F.array_distinct(F.array(F.element_at("crowded", 1), F.element_at("crowded", -1))))
-    few = entries(crowded.withColumn("token", ends).withColumn("i", F.array_position("prefix", F.col("token")) - 1))
-    salt = F.pmod(F.xxhash64("key", "at"), F.lit(heads))
-    early = few.groupBy("token", salt.alias("salt")).agg(F.min(F.struct("key", "at", "m", "b0", "b1")).alias("e")).select("token", "e.*")
-    near = cut(_joined(early, few, percent))
-    settled = cut(_confirm(near, lines, percent))
-    marked = able.drop("open").join(settled, F.col("line") == F.col("y"), "left").withColumn("open", F.col("y").isNull()).drop("y")
-    each = entries(marked.select("line", "n", "b0", "b1", "open", F.posexplode("prefix").alias("i", "token")).filter(F.col("token") >= F.lit(2 << 56)))
-    rest = cut(_joined(each, each, percent).join(near, ["x", "y"], "left_anti"))
-    similar = settled.unionAll(_confirm(rest, lines, percent)).withColumn("similar", F.lit(True))
-    decided = firsts.select("s0", "s1", "n", F.col("line").alias("first")).join(similar, F.col("first") == F.col("y"), "left")
+        return of.select("token", "r", m.alias("m"), "b", "c", *more)
+
+    able = firsts.filter(F.col("n") >= least)
+    ends = able.withColumn("token", F.explode(F.array_distinct(F.array(F.element_at("prefix", 1), F.element_at("prefix", -1)))))
+    crowded = ends.groupBy("token").agg(F.count(F.lit(1)).alias("lines")).filter(F.col("lines") >= _CROWD).select("token")
+    few = ends.withColumns({"i": F.array_position("prefix", F.col("token")) - 1, "open": F.lit(True)}).join(_named(crowded), "token")
+    few = entries(few, "line")
+    salt = F.pmod(F.xxhash64("r"), F.lit(heads))
+    early = few.groupBy("token", salt.alias("salt")).agg(F.min(F.struct("line", "r", "m", "b", "c")).alias("e")).select("token", "e.*")
+    near = cut(_joined(early, few, percent).unionAll(_joined(few, early, percent)).distinct())
+    settled = cut(_confirm(near, firsts, lines, percent))
+    marked = able.join(_named(settled.withColumn("settled", F.lit(True))), "r", "left").withColumn("open", F.col("settled").isNull())
+    each = entries(marked.select("r", "n", "b", "c", "open", F.posexplode("prefix").alias("i", "token")))
+    pairs = []
+    for part in range(slices):
+        some = each.filter(F.pmod("token", F.lit(slices)) == part)
+        pairs.append(cut(_joined(some, some, percent)))
+    rest = cut(reduce(DataFrame.unionAll, pairs).distinct().join(near, ["x", "y"], "left_anti"))
+    similar = settled.unionAll(_confirm(rest, firsts, lines, percent)).distinct().withColumn("similar", F.lit(True))
+    decided = firsts.select("r", "s0", "s1", "n", F.col("line").alias("first")).join(similar, "r", "left")
     decided = cut(decided.select("s0", "s1", "n", "first", F.coalesce("similar", F.lit(False)).alias("similar")))
     line = F.struct("key", "at")
     gone = lines.select("key", "hash", "place", "at", "s0", "s1", "n").join(decided, ["s0", "s1", "n"]).filter(F.col("similar") | (line != F.col("first")))
