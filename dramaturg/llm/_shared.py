@@ -27,6 +27,16 @@ def written(df: DataFrame, name: str, options: dict[str, str] | None = None) ->
     return df.sparkSession.read.schema(df.schema).parquet(place)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`written` that no later result depends on."""
+    for df in tables:
+        spark = df.sparkSession
+        files = df.inputFiles()
+        if files:
+            path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names for helper columns that no column of ``df`` has, in upper or lower case."""
     taken = {c.lower() for c in df.columns}

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dramaturg.llm._shared import cut, fresh, replaced, table, tidy_shuffles, written
+from dramaturg.llm._shared import cut, dropped, fresh, replaced, table, tidy_shuffles, written
 
 _LAST = 2**63 - 1
 #: Classes of frequency: a token is in class c if it holds at least one of 2**_SHARES[c] of all
@@ -34,12 +34,16 @@ def _plain(text: Column) -> Column:
     return text
 
 
-def _frequent(lines: DataFrame) -> list[list[int]]:
-    """The tokens of each class of frequency, the largest class first; all tokens are counted."""
+def _frequent(lines: DataFrame) -> tuple[list[list[int]], DataFrame]:
+    """The tokens of each class of frequency, the largest class first, and all of ``_CROWD`` lines or more.
+
+    All tokens of all lines are counted. The classes are bounded; the crowded tokens stay a table.
+    """
     counts = lines.select(F.explode("tokens").alias("token")).groupBy("token").count()
+    counts = cut(counts.filter(F.col("count") > 1))
     total = lines.agg(F.sum("n").alias("n")).first()["n"] or 0
-    often = counts.filter((F.col("count") > 1) & (F.col("count") * (1 << _SHARES[0]) >= total)).collect()
-    return [sorted(r["token"] for r in often if r["count"] << share >= total) for share in _SHARES]
+    often = counts.filter(F.col("count") * (1 << _SHARES[0]) >= total).collect()
+    return [sorted(r["token"] for r in often if r["count"] << share >= total) for share in _SHARES], counts.filter(F.col("count") >= _CROWD).select("token")
 
 
 def _with_prefix(lines: DataFrame, frequent: list[list[int]], percent: int) -> DataFrame:
@@ -68,7 +72,7 @@ def _bitmaps() -> list[Column]:
     return [F.expr(f"aggregate(tokens, 0L, (a, t) -> {flip})").alias("b"), F.when(F.col("n") > _LONG, second).otherwise(F.lit(0)).alias("c")]
 
 
-def _joined(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
+def _joined(x: DataFrame, y: DataFrame, percent: int, order: Column) -> DataFrame:
     """Distinct pairs ``x, y`` of lines that share a token and pass all filters; of two settled lines none.
 
     Length and positional filter: of the tokens before the shared one at most min(i, j) are shared,
@@ -89,8 +93,8 @@ def _joined(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
     whole, second = F.col("x_b").bitwiseXOR(F.col("y_b")), F.col("x_c").bitwiseXOR(F.col("y_c"))
     few = lambda bits: bits * (100 + percent) <= (n + m) * (100 - percent)
     halves = (n <= _LONG) | (m <= _LONG) | few(F.bit_count(second) + F.bit_count(whole.bitwiseXOR(second)))
-    pairs = x.join(y, "token").filter((F.col("x_r") < F.col("y_r")) & fits & could & few(F.bit_count(whole)) & halves & open_)
-    return pairs.select(F.col("x_r").alias("x"), F.col("y_r").alias("y")).distinct()
+    pairs = x.join(y, "token").filter(order & fits & could & few(F.bit_count(whole)) & halves & open_)
+    return pairs.select(F.least("x_r", "y_r").alias("x"), F.greatest("x_r", "y_r").alias("y")).distinct()
 
 
 def _named(named: DataFrame) -> DataFrame:
@@ -114,7 +118,7 @@ def _confirm(pairs: DataFrame, firsts: DataFrame, lines: DataFrame, percent: int
     return alike.select(F.when(F.col("x_line") < F.col("y_line"), F.col("y")).otherwise(F.col("x")).alias("r")).distinct()
 
 
-def line_duplicates(docs: DataFrame, percent: int = 80, heads: int = 16, slices: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_duplicates(docs: DataFrame, percent: int = 80, heads: int = 4, slices: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``key, hash, removed``: for each document with something to remove, the places of its lines.
 
     Lines are the text between line feeds; the order of lines is that of (id, place, text hash). A
@@ -125,9 +129,8 @@ def line_duplicates(docs: DataFrame, percent: int = 80, heads: int = 16, slices:
     2. All tokens are counted; bounded lists say which hold a large share of all occurrences.
     3. Sets of similarity t share one of their first n - ceil(t n) + 1 tokens in order of rarity.
     4. Lines of equal token sets become one, the first of them (combined on the map side).
-    5. Where the first or last token of many prefixes is the same, each of these sets is first
-       compared with a few early ones of them (``heads``). Most members of a large family of
-       near copies are settled there.
+    5. Sets of which a prefix token is that of many lines are first compared with a few early ones
+       of them (``heads`` a token). Most members of a large family of near copies are settled there.
     6. Sets not yet removed are compared with all sets that share a prefix token and pass the
        length, positional and bitmap filters (all three lose nothing). The index is made and joined
        in ``slices`` of its tokens, one after the other, so that only a part of it is on disk.
@@ -143,17 +146,18 @@ def _line_duplicates(docs: DataFrame, percent: int, heads: int, slices: int, id_
     lines = rows.select("key", "hash", F.posexplode(F.split("text", "\n")).alias("place", "line")).select("key", "hash", "place", line_tokens(F.col("line")).alias("tokens"))
     lines = lines.select("*", F.size("tokens").alias("n"), F.xxhash64("tokens").alias("s0"), F.xxhash64(F.lit("second"), F.col("tokens")).alias("s1"))
     # few tokens make most occurrences: with a dictionary for each file a token takes two or three bytes
-    lines = written(lines, "line-tokens", {"parquet.dictionary.page.size": str(32 << 20)})
+    lines = lines_table = written(lines, "line-tokens", {"parquet.dictionary.page.size": str(32 << 20)})
     at = F.shiftleft(F.col("place").cast("bigint"), 32).bitwiseOR(F.col("hash").bitwiseAND(F.lit(0xFFFFFFFF)))
     lines = lines.filter("n > 0").withColumn("at", at)
     # below this many tokens only equal sets are similar enough
     least = 1 if percent < 50 else -(-100 // (100 - percent)) - 1 if percent < 100 else _LAST
-    prefixed = _with_prefix(lines, _frequent(lines), percent)
+    frequent, crowded = _frequent(lines)
+    prefixed = _with_prefix(lines, frequent, percent)
     firsts = prefixed.select("key", "at", "s0", "s1", "n", *_bitmaps(), "prefix").groupBy("s0", "s1", "n").agg(
         F.min(F.struct("key", "at")).alias("line"), F.first("b").alias("b"), F.first("c").alias("c"), F.first("prefix").alias("prefix")
     )
     # a written table: the lists of tokens stay out of all later plans, and the numbers of its rows are fixed
-    firsts = written(firsts.withColumn("r", F.monotonically_increasing_id()), "line-firsts")
+    firsts = firsts_table = written(firsts.withColumn("r", F.monotonically_increasing_id()), "line-firsts")
 
     def entries(of: DataFrame, *more: str) -> DataFrame:
         """One row for each ``i, token`` of ``of``; ``m`` is n, i and whether the line is open in one long."""
@@ -161,27 +165,27 @@ def _line_duplicates(docs: DataFrame, percent: int, heads: int, slices: int, id_
         return of.select("token", "r", m.alias("m"), "b", "c", *more)
 
     able = firsts.filter(F.col("n") >= least)
-    ends = able.withColumn("token", F.explode(F.array_distinct(F.array(F.element_at("prefix", 1), F.element_at("prefix", -1)))))
-    crowded = ends.groupBy("token").agg(F.count(F.lit(1)).alias("lines")).filter(F.col("lines") >= _CROWD).select("token")
-    few = ends.withColumns({"i": F.array_position("prefix", F.col("token")) - 1, "open": F.lit(True)}).join(_named(crowded), "token")
+    few = able.select("line", "r", "n", "b", "c", F.lit(True).alias("open"), F.posexplode("prefix").alias("i", "token")).join(_named(crowded), "token")
     few = entries(few, "line")
     salt = F.pmod(F.xxhash64("r"), F.lit(heads))
     early = few.groupBy("token", salt.alias("salt")).agg(F.min(F.struct("line", "r", "m", "b", "c")).alias("e")).select("token", "e.*")
-    near = cut(_joined(early, few, percent).unionAll(_joined(few, early, percent)).distinct())
+    near = cut(_joined(early, few, percent, F.col("x_r") != F.col("y_r")))
     settled = cut(_confirm(near, firsts, lines, percent))
     marked = able.join(_named(settled.withColumn("settled", F.lit(True))), "r", "left").withColumn("open", F.col("settled").isNull())
     each = entries(marked.select("r", "n", "b", "c", "open", F.posexplode("prefix").alias("i", "token")))
     pairs = []
     for part in range(slices):
         some = each.filter(F.pmod("token", F.lit(slices)) == part)
-        pairs.append(cut(_joined(some, some, percent)))
+        pairs.append(cut(_joined(some, some, percent, F.col("x_r") < F.col("y_r"))))
     rest = cut(reduce(DataFrame.unionAll, pairs).distinct().join(near, ["x", "y"], "left_anti"))
     similar = settled.unionAll(_confirm(rest, firsts, lines, percent)).distinct().withColumn("similar", F.lit(True))
     decided = firsts.select("r", "s0", "s1", "n", F.col("line").alias("first")).join(similar, "r", "left")
     decided = cut(decided.select("s0", "s1", "n", "first", F.coalesce("similar", F.lit(False)).alias("similar")))
     line = F.struct("key", "at")
     gone = lines.select("key", "hash", "place", "at", "s0", "s1", "n").join(decided, ["s0", "s1", "n"]).filter(F.col("similar") | (line != F.col("first")))
-    return gone.groupBy("key", "hash").agg(F.array_sort(F.collect_set("place")).alias("removed"))
+    removed = cut(gone.groupBy("key", "hash").agg(F.array_sort(F.collect_set("place")).alias("removed")))
+    dropped(lines_table, firsts_table)
+    return removed
 
 
 def without_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,7 +205,8 @@ def without_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", te
     d = d.withColumn("_removed", F.coalesce("_removed", F.array().cast("array<int>")))
     all_ = F.split(text_col, "\n")
     kept = F.array_join(F.filter(all_, lambda line, i: ~F.array_contains("_removed", i)), "\n")
-    return d.withColumn("_lines", F.coalesce(F.size(all_), F.lit(0))).withColumn(text_col, F.when(F.size("_removed") > 0, kept).otherwise(F.col(text_col)))
+    n_lines = F.length(text_col) - F.length(F.replace(text_col, F.lit("\n"), F.lit(""))) + 1
+    return d.withColumn("_lines", F.coalesce(n_lines, F.lit(0))).withColumn(text_col, F.when(F.size("_removed") > 0, kept).otherwise(F.col(text_col)))
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
