@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dramaturg.operators.evaluate import average_rank
+from dramaturg.operators.evaluate import with_average_rank
 
 
 def pearson(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
@@ -15,8 +15,9 @@ def pearson(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
 
 
 def spearman(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """Correlation of average ranks."""
-    ranked = rows.withColumns({"_x": average_rank(by, x), "_y": average_rank(by, y)})
+    """Correlation of average ranks; rows where a side is null are left out."""
+    whole = rows.select(*by, x, y).dropna(subset=[x, y])
+    ranked = with_average_rank(with_average_rank(whole, by, x, "_x"), by, y, "_y")
     return pearson(ranked, by, "_x", "_y").withColumnRenamed("r", "rho")
 
 
@@ -26,10 +27,13 @@ def krippendorff(ratings: DataFrame, unit: str, value: str) -> DataFrame:
     The mean squared difference of ordered pairs is twice the sample variance, so no pairs are made.
     """
     v = F.col(value).cast("double")
-    units = ratings.groupBy(unit).agg(F.count(v).alias("_n"), F.var_samp(v).alias("_v"), F.collect_list(v).alias("_all")).filter("_n > 1")
-    within = units.agg(F.avg(2 * F.col("_v")).alias("observed"), F.count(F.lit(1)).alias("units"))
-    overall = units.select(F.explode("_all").alias("_x")).agg((2 * F.var_samp("_x")).alias("expected"))
-    return within.withColumn("expected", overall.scalar()).select("units", F.round(1 - F.try_divide("observed", "expected"), 6).alias("alpha"))
+    units = ratings.groupBy(unit).agg(F.count(v).alias("_n"), F.var_samp(v).alias("_v"), F.avg(v).alias("_m")).filter("_n > 1")
+    # the variance over all ratings, from each unit's count, mean and variance
+    centre = F.sum(F.col("_n") * F.col("_m")) / F.sum("_n")
+    sizes = units.agg(F.avg(2 * F.col("_v")).alias("observed"), F.count(F.lit(1)).alias("units"), F.sum("_n").alias("_all"), centre.alias("_centre"))
+    away = F.col("_m") - sizes.select("_centre").scalar()
+    spread = units.select(((F.col("_n") - 1) * F.col("_v") + F.col("_n") * away * away).alias("_s")).agg(F.sum("_s").alias("_ss"))
+    return sizes.withColumn("expected", 2 * F.try_divide(spread.scalar(), F.col("_all") - 1)).select("units", F.round(1 - F.try_divide("observed", "expected"), 6).alias("alpha"))
 
 
 def cohen_kappa(rows: DataFrame, by: list[str], a: str, b: str) -> DataFrame:

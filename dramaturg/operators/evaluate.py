@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from dramaturg.sources.scratch import cut
+
 
 def attach_left(rows: DataFrame, lookup: DataFrame, key: str, value: str, default: str = "") -> DataFrame:
     """Left join with a default where nothing is found, and ``found`` to count misses by."""
@@ -58,17 +60,27 @@ def paired_comparison(deltas: DataFrame, method: str, digits: int = 6) -> DataFr
     )
 
 
-def average_rank(by: list[str], order: Column | str) -> Column:
-    """Rank with ties at the mean of their places."""
-    part = Window.partitionBy(*by)
-    order = F.col(order) if isinstance(order, str) else order
-    return F.rank().over(part.orderBy(order)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, order)) - 1) / 2.0
+def with_average_rank(rows: DataFrame, by: list[str], value: str, rank: str, ties: str | None = None) -> DataFrame:
+    """``rows`` with the rank of ``value`` in its group, ties at the mean of their places (and how many tie).
+
+    Distinct values are counted first and dealt to ranges; a range's place in its group is the sum
+    of the ranges before it, so a large group is ranked by many tasks.
+    """
+    counts = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c")).repartitionByRange(*by, value)
+    # ranges are drawn anew each time a plan runs, so the dealt counts are fixed first
+    dealt = cut(counts.withColumn("_p", F.spark_partition_id()))
+    upto = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(*by, "_p").agg(F.sum("_c").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(upto), F.lit(0))).drop("_n")
+    inside = Window.partitionBy(*by, "_p").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn("_before", F.coalesce(F.sum("_c").over(inside), F.lit(0))).join(starts, [*by, "_p"])
+    ranks = placed.select(*by, value, (F.col("_start") + F.col("_before") + (F.col("_c") + 1) / 2.0).alias(rank), *([F.col("_c").alias(ties)] if ties else []))
+    return rows.join(ranks, [*by, value])
 
 
 def wilcoxon(deltas: DataFrame, method: str) -> DataFrame:
     """Signed-rank sums without zero differences, with the normal approximation corrected for ties."""
     nonzero = deltas.filter("delta <> 0").withColumn("_size", F.abs("delta"))
-    ranked = nonzero.withColumn("r", average_rank([method], "_size")).withColumn("_ties", F.count(F.lit(1)).over(Window.partitionBy(method, "_size")))
+    ranked = with_average_rank(nonzero, [method], "_size", "r", "_ties")
     n = F.count(F.lit(1))
     # each of t tied rows adds (t * t - 1), so a tie group adds t^3 - t
     spread = n * (n + 1) * (2 * n + 1) / 24 - F.sum(F.col("_ties") * F.col("_ties") - 1) / 48

@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from dramaturg.functions.text import relationship_entries
-
-# Roles by strength; the first in the list wins over later ones.
-ROLE_ORDER = ["wife", "husband", "fiancée", "fiancé", "girlfriend", "boyfriend", "sister", "brother", "mother", "father", "friend", "colleague"]
+from dramaturg.operators.relations import is_former, role_priority
 
 
 def edges(rows: DataFrame, key: str, relationships: str) -> DataFrame:
@@ -25,9 +23,8 @@ def legacy_role(role: Column) -> Column:
 
 
 def strongest(edges_: DataFrame, key: str) -> DataFrame:
-    """One entry for each name, the strongest role; ``ex-`` wins over all, place breaks ties."""
-    rank = F.when(F.col("role").startswith("ex-"), 0).otherwise(F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, ROLE_ORDER)), F.col("role")), F.lit(0)), F.lit(99)))
-    order = Window.partitionBy(key, "name").orderBy(rank, "place")
+    """One entry for each name: a former role if there is one, else the role of the highest priority; place breaks ties."""
+    order = Window.partitionBy(key, "name").orderBy(is_former(F.col("role")).desc(), role_priority(F.col("role")).desc(), "place")
     return edges_.withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from dramaturg.sources.scratch import cut
+
 
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -116,10 +118,10 @@ def isolation(centres: DataFrame, cluster: str) -> DataFrame:
     return gaps.groupBy(cluster, "size").agg(F.round(F.avg("_d") / (1 + F.first("size")), 6).alias("isolation"))
 
 
-def furthest_members(rows: DataFrame, centres: DataFrame, cluster: str, vector: str, n: int) -> DataFrame:
+def furthest_members(rows: DataFrame, centres: DataFrame, cluster: str, vector: str, n: int, key: str = "vec_id") -> DataFrame:
     far = rows.join(centres, cluster).withColumn("distance", F.round(distance(F.col(vector), F.col("centroid")), 6))
-    rank = Window.partitionBy(cluster).orderBy(F.desc("distance"), "vec_id")
-    return far.withColumn("place", F.row_number().over(rank)).filter(F.col("place") <= n).select(cluster, "vec_id", "distance", "place")
+    rank = Window.partitionBy(cluster).orderBy(F.desc("distance"), key)
+    return far.withColumn("place", F.row_number().over(rank)).filter(F.col("place") <= n).select(cluster, key, "distance", "place")
 
 
 def mean_difference(rows: DataFrame, by: str, side: Column, vector: str) -> DataFrame:
@@ -129,3 +131,58 @@ def mean_difference(rows: DataFrame, by: str, side: Column, vector: str) -> Data
         F.round(F.avg(F.when(F.col("_side"), F.col("_x").cast("double"))) - F.avg(F.when(~F.col("_side"), F.col("_x").cast("double"))), 6).alias("delta"),
         F.round(F.stddev_samp(F.col("_x").cast("double")), 6).alias("spread"),
     )
+
+
+def clustered(rows: DataFrame, key: str, vector: str, most: int, seed: int = 42) -> tuple[DataFrame, int, float]:
+    """``rows`` with ``cluster``, the number of clusters and its silhouette.
+
+    k-means is fitted for each k from 3 below ``most`` (and below the number of rows); the first k
+    of the best silhouette is kept. The number of fits doesn't depend on the data.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.functions import array_to_vector
+
+    made = rows.withColumn("features", array_to_vector(F.col(vector))).repartition(key).sortWithinPartitions(key)
+    score, best, chosen = ClusteringEvaluator(metricName="silhouette", distanceMeasure="squaredEuclidean"), None, (3, -1.0)
+    for k in range(3, max(4, min(most, rows.count()))):
+        model = KMeans(k=k, seed=seed, maxIter=20).fit(made)
+        found = score.evaluate(model.transform(made)) if len(model.clusterCenters()) > 1 else -1.0
+        if best is None or found > chosen[1]:
+            best, chosen = model, (k, found)
+    return best.transform(made).drop("features").withColumnRenamed("prediction", "cluster"), *chosen
+
+
+def three_way_split(rows: DataFrame, key: str, cluster: str, vector: str, n_ood: int, n_random: int, groups: int = 5, seed: int = 42) -> DataFrame:
+    """``rows`` with ``split``: the most isolated clusters are ``ood``, a diverse sample ``random``, the rest ``train``.
+
+    Clusters are taken whole in order of isolation until ``n_ood``; of the one that doesn't fit the
+    members furthest from its centre are taken. What remains is clustered anew into ``groups``; each
+    gives its rounded share of ``n_random`` (one more for the largest while some are missing).
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    centres = centroids(rows, cluster, vector)
+    left, take = n_ood, {}
+    for r in isolation(centres, cluster).orderBy(F.desc("isolation"), cluster).collect():  # one row a cluster
+        take[r[cluster]] = min(left, r["size"])
+        left -= take[r[cluster]]
+    far = furthest_members(rows, centres, cluster, vector, n_ood, key)
+    wanted = F.create_map(*[F.lit(x) for pair in take.items() for x in pair])
+    ood = cut(far.filter(F.col("place") <= wanted[F.col(cluster)]).select(key))
+    rest = rows.join(ood, key, "left_anti").withColumn("features", array_to_vector(F.col(vector))).repartition(key).sortWithinPartitions(key)
+    n_rest = rest.count()
+    if n_rest > n_random and min(groups, n_rest) >= 2:
+        grouped = KMeans(k=min(groups, n_rest), seed=seed, maxIter=20).fit(rest).transform(rest).select(key, F.col("prediction").alias("group"))
+        counts = {r["group"]: r["count"] for r in grouped.groupBy("group").count().collect()}
+        share = {g: round(c / n_rest * n_random) for g, c in counts.items()}
+        for g in sorted(counts, key=lambda g: (-counts[g], g))[: max(0, n_random - sum(share.values()))]:
+            share[g] += 1
+    else:
+        grouped, share = rest.select(key, F.lit(0).alias("group")), {0: min(n_random, n_rest)}
+    quota = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])
+    order = Window.partitionBy("group").orderBy(F.xxhash64(key, F.lit(seed)), key)
+    chosen = grouped.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= quota[F.col("group")]).select(key, F.lit("random").alias("_random"))
+    named = rows.join(ood.withColumn("_ood", F.lit("ood")), key, "left").join(chosen, key, "left")
+    return named.withColumn("split", F.coalesce("_ood", "_random", F.lit("train"))).drop("_ood", "_random")

@@ -19,26 +19,21 @@ def proportional_quotas(counts: DataFrame, group: str, n: str, total: int) -> Da
     """At least one row a group, ``total`` in all, as near to proportion as whole numbers allow.
 
     ``counts`` has one row a group. Fractions are rounded down; the largest remainders get one more.
+    Sums over groups are scalars; the remainders that get one more are the first by a limit.
     """
-    groups = Window.partitionBy(F.lit(1))
-    share = F.col(n) * F.lit(total) / F.sum(n).over(groups)
+    share = F.col(n) * F.lit(total) / counts.agg(F.sum(n)).scalar()
     floors = counts.withColumn("_share", share).withColumns({"_floor": F.greatest(F.floor("_share"), F.lit(1)), "_rest": F.col("_share") - F.floor("_share")})
-    spare = F.lit(total) - F.sum("_floor").over(groups)
-    place = F.row_number().over(groups.orderBy(F.desc("_rest"), group))
-    return floors.withColumn("quota", F.least(F.col(n), F.col("_floor") + F.when(place <= spare, 1).otherwise(0))).select(group, n, "quota")
+    spare = total - (floors.agg(F.sum("_floor").alias("f")).first()["f"] or 0)
+    lucky = floors.orderBy(F.desc("_rest"), group).limit(max(spare, 0)).select(group, F.lit(1).alias("_more"))
+    return floors.join(lucky, group, "left").withColumn("quota", F.least(F.col(n), F.col("_floor") + F.coalesce("_more", F.lit(0)))).select(group, n, "quota")
 
 
 def mixture_weights(counts: DataFrame, group: str, n: str, floor: float = 0.1) -> DataFrame:
     """Uniform, size, root and inverse weights, none below ``floor`` of the largest; each adds to 1."""
-    def normed(raw: Column, name: str) -> Column:
-        raised = F.greatest(raw, F.lit(floor) * F.max(raw).over(Window.partitionBy(F.lit(1))))
-        return F.round(raised, 9).alias(name)
-
-    raw = counts.select(
-        group, normed(F.lit(1.0), "uniform"), normed(F.col(n).cast("double"), "size"), normed(F.sqrt(n), "root"), normed(1.0 / F.col(n), "inverse")
-    )
-    names = ["uniform", "size", "root", "inverse"]
-    return raw.select(group, *[F.round(F.col(c) / F.sum(c).over(Window.partitionBy(F.lit(1))), 6).alias(c) for c in names])
+    names = {"uniform": F.lit(1.0), "size": F.col(n).cast("double"), "root": F.sqrt(n), "inverse": 1.0 / F.col(n)}
+    raw = counts.select(group, *[w.alias(name) for name, w in names.items()])
+    raised = raw.select(group, *[F.round(F.greatest(F.col(c), F.lit(floor) * raw.agg(F.max(c)).scalar()), 9).alias(c) for c in names])
+    return raised.select(group, *[F.round(F.col(c) / raised.agg(F.sum(c)).scalar(), 6).alias(c) for c in names])
 
 
 def round_robin(rows: DataFrame, key: str, shards: int) -> DataFrame:

@@ -85,7 +85,7 @@ def update_gate() -> Column:
     r = F.col("resistance")
     bound = lambda i: F.when(r == "core", GATES["core"][i]).when(r == "moderate", GATES["moderate"][i]).otherwise(GATES["low"][i])
     enough = F.when(r == "low", (F.col("high") >= 1) | (F.col("medium") >= 2)).otherwise((F.col("episodes") >= bound(0)) & (F.col("high") >= bound(1)))
-    merge = F.col("merge_type") != "replacement"
+    merge = (F.col("merge_type") != "replacement") & (F.coalesce("old_value", F.lit("")) != "")
     return (
         F.when(~F.col("field_exists"), "no_field")
         .when(~enough, "threshold")
@@ -93,7 +93,7 @@ def update_gate() -> Column:
         .when(F.trim("new_value") == "", "empty")
         .when(merge & (F.length("new_value") < 0.8 * F.length("old_value")), "too_short")
         .when(merge & (F.col("recall") < 0.5), "forgets")
-        .when(F.col("new_value") == F.col("old_value"), "no_change")
+        .when(F.trim("new_value") == F.trim("old_value"), "no_change")
         .otherwise("accepted")
     )
 
@@ -181,22 +181,3 @@ def cumulative_evidence(evidence: DataFrame, by: str, order: list[str], text: st
     """The texts up to and with each row, a line each."""
     up_to = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return evidence.withColumn("so_far", F.array_join(F.collect_list(text).over(up_to), "\n"))
-
-
-def fold_episodes(events: DataFrame, by: str, schema: str, step, start) -> DataFrame:
-    """An ordered fold for each ``by``: ``step(state, row)`` returns the state and a row or None.
-
-    ``by`` is the data set when characters read each other's state within an episode. Only for
-    rules that windows can't say; groups are as large as a data set's own timeline.
-    """
-    import pandas as pd
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        state, out = start(), []
-        for row in group.sort_values(["ep", "seq"]).itertuples(index=False):
-            state, made = step(state, row)
-            if made is not None:
-                out.append(made)
-        return pd.DataFrame(out, columns=[c.strip().split(" ")[0] for c in schema.split(",")])
-
-    return events.groupBy(by).applyInPandas(run, schema)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from dramaturg.plans import corrections, evaluation, samples, texts, timeline
+from dramaturg.plans import corrections, evaluation, prompts, relations, reports, samples, texts, timeline
 
 FLAGSHIP = "next_utterance_samples"
-QUERIES: dict = {**samples.QUERIES, **evaluation.QUERIES, **timeline.QUERIES, **texts.QUERIES, **corrections.QUERIES}
-SQL: dict = {**samples.SQL, **evaluation.SQL, **timeline.SQL, **texts.SQL, **corrections.SQL}
+QUERIES: dict = {**samples.QUERIES, **evaluation.QUERIES, **timeline.QUERIES, **texts.QUERIES, **corrections.QUERIES, **relations.QUERIES, **prompts.QUERIES, **reports.QUERIES}
+SQL: dict = {**samples.SQL, **evaluation.SQL, **timeline.SQL, **texts.SQL, **corrections.SQL, **relations.SQL, **prompts.SQL, **reports.SQL}

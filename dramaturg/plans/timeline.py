@@ -84,19 +84,11 @@ def scaled_unit_vectors(spark, sf_dir):
 
 @query()
 def kmeans_three_way_split(spark, sf_dir):
-    """Clusters of vectors; the most isolated ones up to a fifth of the rows are ood_test."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    rows = read(spark, sf_dir, "embeddings").withColumn("features", array_to_vector(F.col("embedding")))
-    clustered = KMeans(k=8, seed=42, maxIter=20).fit(rows).transform(rows).select("vec_id", "embedding", F.col("prediction").alias("cluster"))
-    isolation = R.isolation(R.centroids(clustered, "cluster", "embedding"), "cluster")
-    running = F.sum("size").over(Window.partitionBy(F.lit(1)).orderBy(F.desc("isolation"), "cluster"))
-    chosen = isolation.withColumn("_run", running).withColumn("ood", F.col("_run") <= 0.2 * F.sum("size").over(Window.partitionBy(F.lit(1))))
-    from dramaturg.operators.dialogue import hash_share
-
-    out = clustered.join(chosen.select("cluster", "ood"), "cluster")
-    return out.select("vec_id", "cluster", F.when(F.col("ood"), "ood_test").when(hash_share("vec_id") < 0.2, "random_test").otherwise("train").alias("split"))
+    """Vectors clustered with the best silhouette of 3 to 9 clusters; a fifth of the rows each to ood and random."""
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    made, _, _ = R.clustered(rows, "vec_id", "embedding", 10)
+    n = rows.count() // 5
+    return R.three_way_split(made, "vec_id", "cluster", "embedding", n, n).select("vec_id", "cluster", "split")
 
 
 _SNAPS = "snap AS (SELECT user_id, epoch_us(ts) AS t, event_type AS state FROM events WHERE event_type IN ('signup', 'purchase')), smp AS (SELECT event_id, user_id, epoch_us(ts) AS t FROM events WHERE event_type = 'view')"
@@ -154,15 +146,15 @@ def evidence_status(spark, sf_dir):
 
 _PROPOSALS = f"""{EVIDENCE_SQL}, s AS (SELECT "character", count(DISTINCT ep) AS episodes, count(*) FILTER (significance = 'high') AS high, count(*) FILTER (significance = 'medium') AS medium FROM ev GROUP BY 1),
 p AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'moderate' ELSE 'core' END AS resistance, episodes, high, medium, CAST(event_id % 20 AS INT) AS since_update,
-  repeat('x', CAST(event_id % 7 AS INT)) AS new_value, repeat('x', CAST(event_id % 5 AS INT)) AS old_value, (event_id % 10) / 10.0 AS recall, CASE event_id % 4 WHEN 0 THEN 'replacement' ELSE 'merge' END AS merge_type,
+  repeat('x', CAST(event_id % 7 AS INT)) || CASE WHEN event_id % 2 = 0 THEN ' ' ELSE '' END AS new_value, repeat('x', CAST(event_id % 5 AS INT)) AS old_value, (event_id % 10) / 10.0 AS recall, CASE event_id % 4 WHEN 0 THEN 'replacement' ELSE 'merge' END AS merge_type,
   event_id % 11 <> 0 AS field_exists FROM ev JOIN s USING ("character"))"""
 
 
 @query(f"""WITH {_PROPOSALS} SELECT event_id, CASE WHEN NOT field_exists THEN 'no_field'
   WHEN NOT CASE resistance WHEN 'low' THEN high >= 1 OR medium >= 2 WHEN 'moderate' THEN episodes >= 3 ELSE episodes >= 16 AND high >= 6 END THEN 'threshold'
-  WHEN since_update < CASE resistance WHEN 'low' THEN 2 WHEN 'moderate' THEN 3 ELSE 16 END THEN 'cooldown' WHEN new_value = '' THEN 'empty'
-  WHEN merge_type <> 'replacement' AND length(new_value) < 0.8 * length(old_value) THEN 'too_short' WHEN merge_type <> 'replacement' AND recall < 0.5 THEN 'forgets'
-  WHEN new_value = old_value THEN 'no_change' ELSE 'accepted' END AS decision FROM p""")
+  WHEN since_update < CASE resistance WHEN 'low' THEN 2 WHEN 'moderate' THEN 3 ELSE 16 END THEN 'cooldown' WHEN trim(new_value) = '' THEN 'empty'
+  WHEN merge_type <> 'replacement' AND old_value <> '' AND length(new_value) < 0.8 * length(old_value) THEN 'too_short' WHEN merge_type <> 'replacement' AND old_value <> '' AND recall < 0.5 THEN 'forgets'
+  WHEN trim(new_value) = trim(old_value) THEN 'no_change' ELSE 'accepted' END AS decision FROM p""")
 def update_gate(spark, sf_dir):
     ev = evidence(spark, sf_dir)
     stats = ev.groupBy("character").agg(
@@ -172,7 +164,7 @@ def update_gate(spark, sf_dir):
     x = lambda n: F.expr(f"repeat('x', cast(event_id % {n} as int))")
     p = ev.join(stats, "character").select(
         "event_id", "episodes", "high", "medium", F.when(i % 3 == 0, "low").when(i % 3 == 1, "moderate").otherwise("core").alias("resistance"), (i % 20).alias("since_update"),
-        x(7).alias("new_value"), x(5).alias("old_value"), ((i % 10) / 10.0).alias("recall"), F.when(i % 4 == 0, "replacement").otherwise("merge").alias("merge_type"), (i % 11 != 0).alias("field_exists"),
+        F.concat(x(7), F.when(i % 2 == 0, " ").otherwise("")).alias("new_value"), x(5).alias("old_value"), ((i % 10) / 10.0).alias("recall"), F.when(i % 4 == 0, "replacement").otherwise("merge").alias("merge_type"), (i % 11 != 0).alias("field_exists"),
     )
     return p.select("event_id", S.update_gate().alias("decision"))
 
@@ -285,16 +277,48 @@ def time_bucket_and_stratum(spark, sf_dir):
 
 
 @query()
-def episode_fold(spark, sf_dir):
+def versions_by_evidence(spark, sf_dir):
     """A character's version rises with every third high event, in order; a window, as no rule reads other characters."""
     order = Window.partitionBy("character").orderBy(F.asc_nulls_last("ep"), F.asc_nulls_last("event_id"))
     high = evidence(spark, sf_dir).filter("significance = 'high'").withColumn("n", F.row_number().over(order)).filter("n % 3 = 0")
     return high.select((F.col("character") % 4).alias("dataset"), "character", "ep", F.floor(F.col("n") / 3).cast("int").alias("version"))
 
 
-SQL["episode_fold"] = f"""WITH {EVIDENCE_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY "character" ORDER BY ep, event_id) AS n FROM ev WHERE significance = 'high')
+SQL["versions_by_evidence"] = f"""WITH {EVIDENCE_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY "character" ORDER BY ep, event_id) AS n FROM ev WHERE significance = 'high')
 SELECT "character" % 4 AS dataset, "character", ep, CAST(n // 3 AS INT) AS version FROM r WHERE n % 3 = 0"""
 
+_WORDS = ["calm", "loyal", "witty", "stubborn", "gentle", "curious", "proud", "restless"]
+
+
+@query()
+def episode_fold(spark, sf_dir):
+    """The fold of all rules over data sets of four characters: events are evidence, every second one also proposes an update.
+
+    SQL can't say it: an update changes what later ones of its own and of other characters may do.
+    """
+    from dramaturg.operators.fold import fold
+
+    e = read(spark, sf_dir, "events")
+    user, event = F.col("user_id"), F.col("event_id")
+    kind, partner, dataset = F.col("event_type"), user.bitwiseXOR(1 + event % 3), F.floor(user / 4)
+    told = e.select(
+        dataset.alias("dataset"), user.alias("character"), F.dayofmonth("ts").alias("ep"), "event_id",
+        F.when(F.col("value") >= 60, "high").when(F.col("value") >= 20, "medium").otherwise("low").alias("significance"), partner.alias("partner"),
+        F.when(kind == "error", "breakup").when(kind == "view", "romance").when(kind == "signup", "reconciliation").otherwise("other").alias("happening"),
+    )
+    field = F.when(kind == "click", "hobby").when(kind == "purchase", "style").when(kind == "signup", "traits").otherwise("relationships")
+    resistance = F.when(field == "style", "moderate").when(field == "traits", "core").otherwise("low")
+    pool = F.array(*map(F.lit, _WORDS))
+    wordy = F.array_join(F.transform(F.sequence(F.lit(1), (2 + event % 5).cast("int")), lambda i: F.element_at(pool, ((i * (1 + (event / 3).cast("int") % 2)) % 8 + 1).cast("int"))), ", ")
+    name = lambda c: F.concat(F.lit("U"), c.cast("string"))
+    bonds = F.concat(F.when(kind == "error", "ex-girlfriend is ").otherwise("girlfriend is "), name(partner), F.lit(", friend is "), name(user.bitwiseXOR(1 + (event + 1) % 3)))
+    before = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-19, 0)
+    asked = e.withColumn("cited", F.collect_list("event_id").over(before)).filter(event % 2 == 0).select(
+        dataset.alias("dataset"), user.alias("character"), F.dayofmonth("ts").alias("ep"), event.alias("proposal_id"), field.alias("field"), resistance.alias("resistance"),
+        F.when(field == "relationships", bonds).otherwise(wordy).alias("new_value"), F.when(event % 4 == 0, "replacement").otherwise("incremental").alias("merge_type"), "cited",
+    )
+    return fold(told, asked)
+
 
 @query()
 def resume_stream(spark, sf_dir):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -16,3 +16,11 @@ def scratch_dir(spark: SparkSession) -> str:
         place = tempfile.mkdtemp(prefix="spark-dramaturg-", dir="/tmp")
         spark.conf.set("dramaturg.scratch.dir", place)
     return place.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder and forget how it was made."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(scratch_dir(df.sparkSession))
+    return df.checkpoint(eager=True)

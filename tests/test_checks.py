@@ -95,20 +95,3 @@ def test_rater_mismatch(spark):
 def test_sessions(spark):
     e = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:10:00"), (1, "2024-01-01 02:00:00")], "u int, t string").withColumn("t", F.to_timestamp("t"))
     assert sorted(r["n"] for r in sessions(e, "u", "t").collect()) == [1, 2]
-
-
-def test_episode_fold_is_dealt_by_character(spark):
-    from dramaturg.plans.tables import evidence
-    from dramaturg.plans.timeline import episode_fold
-
-    got = episode_fold(spark, DATA)
-    plan = got._jdf.queryExecution().executedPlan().toString()
-    assert "Pandas" not in plan and "Python" not in plan and "hashpartitioning(character" in plan
-
-    def step(so_far, row):
-        n = so_far[row.character] = so_far.get(row.character, 0) + 1
-        return so_far, ((row.dataset, row.character, row.ep, n // 3) if n % 3 == 0 else None)
-
-    ev = evidence(spark, DATA).withColumns({"dataset": F.col("character") % 4, "seq": F.col("event_id")}).filter("significance = 'high'")
-    folded = state.fold_episodes(ev, "dataset", "dataset bigint, character bigint, ep int, version int", step, dict)
-    assert got.dtypes == folded.dtypes and sorted(got.collect()) == sorted(folded.collect())
