@@ -94,8 +94,12 @@ class BiGRU:
                 second[k] = 0.99 * second[k] + 0.01 * g * g
                 self.p[k] -= (pace * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
 
-    def position_logits(self, data: np.ndarray) -> np.ndarray:
-        """Logits [T, B, C] for bytes [T, B]; the same sums as in training, without keeping steps."""
+    def position_logits(self, data: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
+        """Logits [T, B, C] for bytes [T, B]; the same sums as in training, without keeping steps.
+
+        Lane b holds ``lengths[b]`` bytes from the top (None: all T). Bytes below them are never
+        read by real positions: the backward direction starts at each lane's last byte.
+        """
         steps, lanes = data.shape
         out = np.empty((steps, lanes, self.p["c"].size), np.float32)
         out[:] = self.p["c"]
@@ -104,9 +108,9 @@ class BiGRU:
             # a logistic unit is half a tanh of half its input, and half
             xz, uz = p[d + "xz"] / 2, p[d + "uz"] / 2
             xr, ur = p[d + "xr"] / 2, p[d + "ur"] / 2
-            xn, un, v = p[d + "xn"], p[d + "un"], p[d + "v"]
+            xn, un, v = p[d + "xn"], p[d + "un"] / 2, p[d + "v"]
             h = np.zeros((lanes, self.hidden), np.float32)
-            z, r, n, a = (np.empty_like(h) for _ in range(4))
+            z, r, a = (np.empty_like(h) for _ in range(3))
             for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
                 x = data[t]
                 np.matmul(h, uz, out=z)
@@ -118,49 +122,62 @@ class BiGRU:
                 r += 1
                 np.matmul(h, un, out=a)
                 a *= r
-                a *= 0.5
                 a += xn[x]
-                np.tanh(a, out=n)
+                np.tanh(a, out=a)
                 # h = z' h + (1 - z') n with z' = (1 + z) / 2
-                h -= n
+                h -= a
                 z += 1
                 h *= z
                 h *= 0.5
-                h += n
+                h += a
+                if lengths is not None and d == "b":
+                    h *= (t < lengths)[:, None]
                 out[t] += h @ v
         return out
 
     def pooled(self, texts: list[bytes], window: int, lanes: int = 8192) -> np.ndarray:
         """Mean log-probabilities of every text over all its bytes, normalised to probabilities."""
-        sums, counts = np.zeros((len(texts), self.p["c"].size)), np.zeros(len(texts))
-        for a, b in sub_batches([len(t) for t in texts], window * lanes):
-            for i, j, data, owner, real in _windows(texts, a, b, window, lanes):
-                logits = self.position_logits(data)
+        sums, counts = np.zeros((len(texts), self.p["c"].size)), np.array([len(t) for t in texts])
+        for a, b in sub_batches(counts.tolist(), window * lanes):
+            for data, owner, skip, lengths in _windows(texts, a, b, window, lanes):
+                logits = self.position_logits(data, lengths)
                 logits -= logits.max(axis=2, keepdims=True)
                 logits -= np.log(np.exp(logits).sum(axis=2, keepdims=True))
-                logits *= real[:, :, None]
+                at = np.arange(len(data))[:, None]
+                if lengths is not None:
+                    logits *= (at < lengths)[:, :, None]
+                partly = np.flatnonzero(skip)
+                logits[:, partly] *= (at >= skip[partly])[:, :, None]
                 np.add.at(sums, owner, logits.sum(axis=0))
-                np.add.at(counts, owner, real.sum(axis=0))
         mean = sums / np.maximum(counts, 1)[:, None]
         q = np.exp(mean - mean.max(axis=1, keepdims=True))
         return q / q.sum(axis=1, keepdims=True)
 
 
 def _windows(texts: list[bytes], a: int, b: int, window: int, lanes: int):
-    """Texts a..b cut into windows, ``lanes`` at a time: bytes and which are real [T, B], owners [B]."""
-    per = np.array([-(-len(t) // window) for t in texts[a:b]])
-    owner = np.repeat(np.arange(a, b), per)
-    joined = np.zeros(int(per.sum()) * window, np.uint8)
-    real = np.zeros(joined.size, bool)
-    at = 0
-    for t, n in zip(texts[a:b], per.tolist(), strict=True):
-        joined[at: at + len(t)] = np.frombuffer(t, np.uint8)
-        real[at: at + len(t)] = True
-        at += n * window
-    joined, real = joined.reshape(-1, window), real.reshape(-1, window)
-    for i in range(0, len(owner), lanes):
-        j = min(len(owner), i + lanes)
-        yield i, j, np.ascontiguousarray(joined[i:j].T), owner[i:j], np.ascontiguousarray(real[i:j].T)
+    """Texts a..b as windows, ``lanes`` at a time: bytes [T, B], owners, how many bytes on top were read before, lengths.
+
+    The last window of a text ends at its last byte and overlaps the one before. Texts shorter than
+    a window come apart, sorted by length, with their lengths (None: all lanes are full).
+    """
+    sizes = np.array([len(t) for t in texts[a:b]])
+    begins = np.cumsum(sizes) - sizes
+    joined = np.frombuffer(b"".join(texts[a:b]), np.uint8)
+    full = np.flatnonzero(sizes >= window)
+    per = -(-sizes[full] // window)
+    owner = np.repeat(full, per)
+    place = (np.arange(owner.size) - np.repeat(np.cumsum(per) - per, per)) * window
+    start = np.minimum(place, sizes[owner] - window)
+    for i in range(0, owner.size, lanes):
+        part = slice(i, i + lanes)
+        first = begins[owner[part]] + start[part]
+        yield joined[np.arange(window)[:, None] + first], a + owner[part], place[part] - start[part], None
+    short = np.flatnonzero((sizes < window) & (sizes > 0))
+    short = short[np.argsort(sizes[short], kind="stable")]
+    for i in range(0, short.size, lanes):
+        own = short[i: i + lanes]
+        at = np.arange(sizes[own].max())[:, None] + begins[own]
+        yield joined[np.minimum(at, joined.size - 1)], a + own, np.zeros(own.size, np.int64), sizes[own]
 
 
 def training_windows(docs: DataFrame, languages: dict[str, int], per_language: int, windows: int, width: int) -> DataFrame:
@@ -201,7 +218,8 @@ def identify(docs: DataFrame, model: BiGRU, names: list[str], text_col: str = "t
 
     Defined results: a null text, a text without a letter, and every text if no language was
     learned get ``und`` with score 0. Ties go to the first language in order of names. Other
-    columns and repeated rows pass through.
+    columns and repeated rows pass through; columns named ``_lang`` or ``_score`` are replaced.
+    The network starts anew every ``window`` bytes.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model, names))
 

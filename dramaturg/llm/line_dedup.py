@@ -14,7 +14,7 @@ _LAST = 2**63 - 1
 #: occurrences, so that a class lists at most 2**_SHARES[c] tokens. The other tokens are the rarest.
 _SHARES = (17, 15, 13, 11)
 #: Lines with one token from which on they may be too many to be compared with each other.
-_CROWD = 512
+_CROWD = 128
 #: Rows (a few longs each) that a broadcast may have.
 _NAMED = 500_000
 #: Lines of more tokens carry a second bitmap.
@@ -118,7 +118,7 @@ def _confirm(pairs: DataFrame, firsts: DataFrame, lines: DataFrame, percent: int
     return alike.select(F.when(F.col("x_line") < F.col("y_line"), F.col("y")).otherwise(F.col("x")).alias("r")).distinct()
 
 
-def line_duplicates(docs: DataFrame, percent: int = 80, heads: int = 4, slices: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_duplicates(docs: DataFrame, percent: int = 80, heads: int = 2, slices: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``key, hash, removed``: for each document with something to remove, the places of its lines.
 
     Lines are the text between line feeds; the order of lines is that of (id, place, text hash). A

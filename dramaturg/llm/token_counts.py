@@ -3,7 +3,8 @@
 The vocabulary's merges are compiled to a deterministic transducer over bytes. Reading a byte moves
 to a state and emits by how much the number of tokens of the text so far changes, so the sum of
 what is emitted is the number of tokens. States are made when first reached and numbered in a dense
-table; the table starts anew when it outgrows its bound.
+table; the table starts anew when it outgrows its bound. Chunks of a text are maps from state to
+state, held for the states that reach them, and compose by a parallel prefix scan.
 
 A state holds the bytes that a later token may still cover, and for each place in them where such a
 token could begin: the token that ends there and the number of tokens up to there, relative to now.
@@ -120,11 +121,14 @@ class Transducer:
         for t, i in self.tokens.items():
             for n in range(len(t)):
                 self.longer.setdefault(t[:n], []).append(i)
+        self._forget()
+        self.most_states = most_states
+        self._restart()
+
+    def _forget(self) -> None:
         self._same: dict[tuple[bytes, int], int] = {}
         self._first: dict[tuple[bytes, tuple], int] = {}
         self._apart: dict[tuple[int, int], bool] = {}
-        self.most_states = most_states
-        self._restart()
 
     def _restart(self) -> None:
         self.keys: list[tuple] = [(b"", ((0, -1, 0),))]
@@ -221,11 +225,14 @@ class Transducer:
             if number is None:
                 number = self.number[key] = len(self.keys)
                 self.keys.append(key)
-                if number * self.width >= self.table.size:
-                    more = np.full(max(1024, number // 4) * self.width, _UNKNOWN, np.int32)
-                    self.table = np.concatenate([self.table, more])
+                self._room(number)
             self.table[cell] = (number << _EMIT_BITS) | (emit + _EMIT_ZERO)
 
+    def _room(self, number: int) -> None:
+        if number * self.width >= self.table.size:
+            more = np.full(max(1024, number // 4) * self.width, _UNKNOWN, np.int32)
+            self.table = np.concatenate([self.table, more])
+
     def step(self, states: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The next state and what is emitted, for many independent readers."""
         cells = states * self.width + columns
@@ -236,50 +243,141 @@ class Transducer:
             moved = self.table[cells]
         return moved >> _EMIT_BITS, (moved & (2 * _EMIT_ZERO - 1)) - _EMIT_ZERO
 
-    def emitted(self, data: np.ndarray, starts: np.ndarray, lanes: int = 4096) -> np.ndarray:
+    def emitted(self, data: np.ndarray, starts: np.ndarray, lanes: int = 4096, block: int = 1 << 19) -> np.ndarray:
         """What is emitted at each byte; the state is the first one again where a piece starts.
 
-        The bytes are cut into chunks that are read side by side. A chunk's map from the state
-        before it to the state after it is: read the head (up to its first piece start) from the
-        state given; what follows doesn't depend on it. Bodies are read for all chunks at once,
-        then maps are composed from left to right: each head from its predecessor's last state. A
-        chunk without a piece start is all head and waits for its predecessor.
+        Blocks of bytes are read one after the other, so that the tables can start anew between
+        them; see :meth:`_read` for what happens inside one.
         """
-        if len(self.keys) > self.most_states:
-            self._restart()
         self._grow(np.flatnonzero(np.bincount(data, minlength=256)))
+        out, key = np.empty(data.size, np.int8), self.keys[0]
+        for at in range(0, data.size, block):
+            if len(self.keys) > self.most_states:
+                self._restart()
+            if len(self._apart) + len(self._same) + len(self._first) > 8 * self.most_states:
+                self._forget()
+            part = slice(at, at + block)
+            out[part], last = self._read(data[part], starts[part], self._number(key), lanes)
+            key = self.keys[last]
+        return out
+
+    def _number(self, key: tuple) -> int:
+        number = self.number.get(key)
+        if number is None:
+            number = self.number[key] = len(self.keys)
+            self.keys.append(key)
+            self._room(number)
+        return number
+
+    def _read(self, data: np.ndarray, starts: np.ndarray, first: int, lanes: int, most_rounds: int = 48) -> tuple[np.ndarray, int]:
+        """Emissions at each byte and the state at the end, from the state ``first``.
+
+        The bytes are cut into chunks that are read side by side, each from a guessed state. What a
+        chunk does is a map from the state before it to the state after it; a chunk in which a piece
+        starts maps every state to the same one. Maps are composed over all chunks by a parallel
+        prefix scan. Chunks whose true state before isn't in their map yet (or isn't known yet: then
+        a state after the chunk before) are read again from it, all at once, until the scan knows
+        the state before every chunk. A chunk is read again only as far as its states differ from
+        those read before, mostly a few bytes. Maps hold at most ``most_rounds`` states; what isn't
+        known by then is read from left to right.
+        """
         lanes = int(max(1, min(lanes, data.size // 64)))
         length = -(-data.size // lanes)
         pad = lanes * length - data.size
-        columns = np.concatenate([self.column[data], np.zeros(pad, np.int32)]).reshape(lanes, length)
+        columns = np.concatenate([self.column[data], np.full(pad, self.column[data[0]], np.int32)]).reshape(lanes, length)
         fresh = np.concatenate([starts, np.ones(pad, bool)]).reshape(lanes, length)
-        if pad:  # bytes beyond the end are never counted; any known byte will do
-            columns.reshape(-1)[data.size:] = self.column[data[0]]
-        has = fresh.any(axis=1)
-        head = np.where(has, fresh.argmax(axis=1), length)
+        constant = fresh.any(axis=1)
+        head = np.where(constant, fresh.argmax(axis=1), length)
         by_step, going = np.ascontiguousarray(columns.T), np.ascontiguousarray(~fresh.T)
-        out = np.zeros((length, lanes), np.int8)
+        out, path = np.zeros((length, lanes), np.int8), np.empty((length, lanes), np.int32)
         states = np.zeros(lanes, np.int64)
-        for j in range(int(head.min()), length):
-            states *= going[j]
-            states, emit = self.step(states, by_step[j])
-            inside = j >= head
-            states *= inside
-            out[j] = emit * inside
-        last, known = states, has.copy()
-        todo = np.flatnonzero(head > 0)
-        while todo.size:
-            ready = todo[(todo == 0) | known[np.maximum(todo - 1, 0)]]
-            current = np.where(ready == 0, 0, last[np.maximum(ready - 1, 0)])
-            for j in range(int(head[ready].max())):
-                reading = head[ready] > j
-                lane = ready[reading]
-                current[reading], out[j, lane] = self.step(current[reading], by_step[j, lane])
-            whole = ~has[ready]
-            last[ready[whole]] = current[whole]
-            known[ready] = True
-            todo = np.setdiff1d(todo, ready, assume_unique=True)
-        return out.T.reshape(-1)[: data.size]
+        states[0] = first
+        entries, current = [states.copy()], states.copy()
+        for j in range(length):
+            states = states * going[j]
+            states, out[j] = self.step(states, by_step[j])
+            path[j] = states
+        exits = [states.copy()]
+
+        def again(lane: np.ndarray, state: np.ndarray) -> None:
+            """Read the heads of these chunks from other states, until they meet what was read before."""
+            current[lane] = state
+            for j in range(int(head[lane].max())):
+                more = head[lane] > j
+                lane, state = lane[more], state[more]
+                state, out[j, lane] = self.step(state, by_step[j, lane])
+                apart = path[j, lane] != state
+                path[j, lane] = state
+                lane, state = lane[apart], state[apart]
+                if not lane.size:
+                    break
+
+        while True:
+            known, made = np.array(entries), np.array(exits)
+            before = np.concatenate([[first], _composed(known, made, constant)[:-1]])
+            # states after the chunk before, of which this one's map doesn't tell yet
+            prior = np.concatenate([np.full((len(made), 1), first), made[:, :-1]], axis=1)
+            untold = ~(prior[:, None] == known[None]).any(axis=1)
+            sure = (before >= 0) & ~(known == before).any(axis=0)
+            wanted = np.where(sure, before, prior[untold.argmax(axis=0), np.arange(lanes)])
+            new = (head > 0) & (sure | ((before < 0) & untold.any(axis=0)))
+            # chunks with nothing to read try states that often come after others: periodic texts have few
+            states, often = np.unique(made, return_counts=True)
+            pool = states[np.argsort(-often)[:32]]
+            untried = ~(pool[:, None, None] == known[None]).any(axis=1)
+            idle = (head > 0) & (before < 0) & ~new & untried.any(axis=0)
+            wanted = np.where(idle, pool[untried.argmax(axis=0)], wanted)
+            new |= idle
+            # the leftmost chunk that isn't told by the scan follows one that can be read now
+            if not new.any():
+                break
+            if len(entries) > most_rounds:  # maps of too many states: the rest is read from left to right
+                state = first
+                for i in range(lanes):
+                    before[i] = state
+                    if head[i] and current[i] != state:
+                        again(np.array([i]), np.array([state]))
+                    state = int(path[length - 1, i])
+                break
+            lane, entry, exit_ = np.flatnonzero(new), entries[-1].copy(), exits[-1].copy()
+            again(lane, wanted[lane].astype(np.int64))
+            entry[lane], exit_[lane] = wanted[lane], path[length - 1, lane]
+            entries.append(entry)
+            exits.append(exit_)
+        lane = np.flatnonzero((head > 0) & (current != before))
+        if lane.size:
+            again(lane, before[lane].astype(np.int64))
+        lane, j = divmod(data.size - 1, length)
+        return out.T.reshape(-1)[: data.size], int(path[j, lane])
+
+
+def _composed(entries: np.ndarray, exits: np.ndarray, constant: np.ndarray) -> np.ndarray:
+    """The state after each chunk, by a prefix scan over chunk maps; -1 where the maps don't tell.
+
+    Map i sends ``entries[:, i]`` to ``exits[:, i]``, or everything to one state if ``constant[i]``.
+    In the first map ``entries[0]`` is the state before all chunks.
+    """
+    n = constant.size
+    domain, image, constant = entries.copy(), exits.astype(np.int64), constant.copy()
+    image[:, constant] = image[-1, constant]
+
+    def looked_up(state: np.ndarray, right: np.ndarray) -> np.ndarray:
+        hit = domain[:, right] == state
+        found = np.take_along_axis(image[:, right], hit.argmax(axis=0)[None], axis=0)[0]
+        return np.where(hit.any(axis=0) & (state >= 0), found, -1)
+
+    stride = 1
+    while stride < n:
+        right = np.arange(stride, n)
+        left = right - stride
+        made = np.stack([looked_up(image[k, left], right) for k in range(len(image))])
+        made = np.where(constant[right], image[:, right], made)
+        new_domain = domain[:, left]
+        constant = np.concatenate([constant[:stride], constant[right] | constant[left]])
+        domain = np.concatenate([domain[:, :stride], new_domain], axis=1)
+        image = np.concatenate([image[:, :stride], made], axis=1)
+        stride *= 2
+    return image[0]
 
 
 class Counter:

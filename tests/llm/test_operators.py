@@ -233,6 +233,42 @@ def test_token_counts_equal_the_library(spark, awkward, nothing):
     assert counter.counts(texts[:300])[1].tolist() == [count(t) for t in texts[:300]]
 
 
+def test_chunk_maps_compose_to_the_library_counts():
+    """Texts of one piece, read in chunks that only the scan ties together; periodic ones never forget where they began."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    content = open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read()
+    library = Tokenizer.from_str(content)
+    rng = np.random.default_rng(9)
+    random = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 60_000))
+    texts = [random, "a" * 20_011, "ab" * 9_000 + "c", "-=" * 7_000, " " * 9_000, random[:7_000] + " " + random[:6_999], "ing" * 5_000]
+    want = [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    counter = token_counts.Counter(content, token_counts.char_classes(content))
+    assert counter.counts(texts)[1].tolist() == want
+    machine = counter.transducer
+    machine.most_states = 100
+    data = np.frombuffer(random.encode(), np.uint8)
+    starts = np.zeros(data.size, bool)
+    starts[0] = True
+    assert machine.emitted(data, starts, block=5_000).sum() == want[0]  # in blocks, with fresh tables at each
+    assert len(machine.keys) < 12_000 and len(machine._apart) + len(machine._same) + len(machine._first) < 60_000
+
+
+def test_prefix_scan_equals_reading_on():
+    rng = np.random.default_rng(10)
+    maps = rng.integers(0, 3, (3, 37))
+    entries = np.repeat(np.arange(3)[:, None], 37, axis=1)
+    constant = rng.random(37) < 0.1
+    maps[:, constant] = maps[2, constant]
+    state, want = 0, []
+    for i in range(37):
+        state = maps[state, i]
+        want.append(state)
+    assert token_counts._composed(entries, maps, constant).tolist() == want
+    assert (token_counts._composed(entries[:1], maps[:1], np.zeros(37, bool))[:1] == maps[0, 0]).all()
+
+
 def test_quality(spark, awkward, nothing):
     sf = DATA.replace("0.001", "0.01")
     got = registry.QUERIES["op2_quality"](spark, sf).toPandas().merge(spark.read.parquet(f"{sf}/labels.parquet").toPandas(), on="doc_id")
@@ -355,6 +391,48 @@ def test_network_gradients():
         assert grads[name][where] == pytest.approx((up - down) / (2 * step), rel=0.05, abs=2e-5)
 
 
+def test_inference_equals_the_trained_network():
+    """Texts of any length, alone and in company, against the forward pass of training on exactly their bytes."""
+    rng = np.random.default_rng(11)
+    model = language_id.BiGRU(3, hidden=8)
+    texts = [bytes(rng.integers(0, 256, n).astype(np.uint8)) for n in (1, 2, 30, 63, 64, 65, 127, 128, 200, 7, 500)]
+
+    def logits(data):
+        data = np.frombuffer(data, np.uint8)[:, None]
+        return (model._forward("f", data)[0] @ model.p["fv"] + model._forward("b", data)[0] @ model.p["bv"] + model.p["c"])[:, 0]
+
+    ragged = np.zeros((65, 6), np.uint8)
+    for i, t in enumerate(texts[:6]):
+        ragged[: len(t), i] = np.frombuffer(t, np.uint8)
+        ragged[len(t) :, i] = 77
+    got = model.position_logits(ragged, np.array([len(t) for t in texts[:6]]))
+    for i, t in enumerate(texts[:6]):
+        assert got[: len(t), i] == pytest.approx(logits(t), abs=1e-5)
+    window = 64
+    want = []
+    for t in texts:
+        starts = [0] if len(t) < window else [min(a, len(t) - window) for a in range(0, len(t), window)]
+        total, seen = np.zeros(3), 0
+        for a in starts:
+            x = logits(t[a : a + window])
+            x = x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+            total += x[seen - a :].sum(axis=0)
+            seen = min(len(t), a + window)
+        mean = np.exp(total / len(t))
+        want.append(mean / mean.sum())
+    assert model.pooled(texts, window, lanes=3) == pytest.approx(np.array(want), abs=1e-5)
+
+
+def test_short_texts_keep_their_language(spark):
+    sf = DATA.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    model, names = language_id.fit(docs.filter("crc32(cast(cast(doc_id as string) as binary)) % 5 != 0"))
+    held = [(r["text"], r["lang"]) for r in docs.filter("crc32(cast(cast(doc_id as string) as binary)) % 5 = 0 and lang is not null and length(text) > 200").collect()]
+    for size, least in ((63, 0.95), (40, 0.93), (30, 0.9)):
+        q = model.pooled([t.encode()[:size] for t, _ in held], 64)
+        assert np.mean([names[k] == lang for k, (_, lang) in zip(q.argmax(axis=1), held, strict=True)]) >= least
+
+
 def test_line_dedup_of_awkward_rows(awkward, nothing):
     got = {r["doc_id"]: r for r in line_dedup.without_lines(awkward).collect()}
     assert got[11]["_removed"] == [1] and got[11]["_lines"] == 5
