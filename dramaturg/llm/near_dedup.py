@@ -187,8 +187,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     classes only that share a bucket.
 
     Defined results: null texts and texts without words have no shingles and link with nothing.
-    Rows with a null id are left out of links (component null, not kept). Rows that repeat an id
-    are each reported with the component of their own text. An empty table gives an empty result.
+    Rows with a null id are left out of links (component null, not kept). An id is one
+    document: rows that repeat an id are all reported, and if their texts differ, what either
+    links with is one component. An empty table gives an empty result.
     Returns ``doc_id, n_shingles, component_id, kept``.
     """
     small_batches(docs.sparkSession)

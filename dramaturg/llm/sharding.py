@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dramaturg.llm._shared import cut, table
+from dramaturg.llm._shared import cut, fresh, replaced, table
 
 _LOW, _HIGH = -(2**63), 2**63 - 1
 
@@ -102,7 +102,8 @@ def shard(
     Defined results: a null text has size 8 and its own hash place; a null id sorts as the
     smallest. Rows that repeat both text and id stay in one shard, with slots of their own. An
     empty table gives an empty result. All columns of ``docs`` are returned, with ``size, shard,
-    slot`` and the hash ``h`` added under the names ``_size, _shard, _slot, _h``.
+    slot`` and the hash ``h`` added under the names ``_size, _shard, _slot, _h`` (columns so named
+    are replaced).
     """
     order_id = F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LOW + 1))
     hashed = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
@@ -168,22 +169,22 @@ def shard(
 def _deal(docs: DataFrame, h: Column, order_id: Column, size: Column, blocks: list[tuple]) -> DataFrame:
     """The one exchange: look the block up by the top bits, rank rows inside it, add its offset."""
     spark = docs.sparkSession
+    docs = replaced(docs, "_size", "_shard", "_slot", "_h")
+    place, near, bucket, at, block = fresh(docs, "order_id", "near", "bucket", "at", "block")
     bounds = (
         spark.createDataFrame(blocks, "block int, lo_h bigint, lo_id bigint, shard int, base bigint, up_h bigint")
-        .select("*", F.explode(F.sequence(_bucket(F.col("lo_h")), _bucket(F.greatest(F.col("lo_h"), F.col("up_h"))))).alias("_bucket"))
-        .groupBy("_bucket")
-        .agg(F.sort_array(F.collect_list(F.struct("lo_h", "lo_id", "block", "shard", "base"))).alias("_near"))
+        .select("*", F.explode(F.sequence(_bucket(F.col("lo_h")), _bucket(F.greatest(F.col("lo_h"), F.col("up_h"))))).alias(bucket))
+        .groupBy(bucket)
+        .agg(F.sort_array(F.collect_list(F.struct("lo_h", "lo_id", "block", "shard", "base"))).alias(near))
     )
-    at_or_above = lambda c: (c.lo_h < F.col("_h")) | ((c.lo_h == F.col("_h")) & (c.lo_id <= F.col("_order_id")))
-    placed = docs.select("*", h.alias("_h"), order_id.alias("_order_id"), size.alias("_size")).join(
-        F.broadcast(bounds), _bucket(F.col("_h")) == F.col("_bucket")
-    )
-    placed = placed.withColumn("_at", F.element_at(F.filter("_near", at_or_above), -1)).drop("_near", "_bucket")
-    rank = Window.partitionBy("_block").orderBy("_h", "_order_id", "_size")
+    at_or_above = lambda c: (c.lo_h < F.col("_h")) | ((c.lo_h == F.col("_h")) & (c.lo_id <= F.col(place)))
+    placed = docs.select("*", h.alias("_h"), order_id.alias(place), size.alias("_size")).join(F.broadcast(bounds), _bucket(F.col("_h")) == F.col(bucket))
+    placed = placed.withColumn(at, F.element_at(F.filter(near, at_or_above), -1)).drop(near, bucket)
+    rank = Window.partitionBy(block).orderBy("_h", place, "_size")
     return (
-        placed.select("*", F.col("_at.block").alias("_block"), F.col("_at.shard").alias("_shard"))
-        .withColumn("_slot", F.col("_at.base") + F.row_number().over(rank) - 1)
-        .drop("_at", "_block", "_order_id")
+        placed.select("*", F.col(at)["block"].alias(block), F.col(at)["shard"].alias("_shard"))
+        .withColumn("_slot", F.col(at)["base"] + F.row_number().over(rank) - 1)
+        .drop(at, block, place)
     )
 
 

@@ -442,6 +442,32 @@ def test_line_dedup_of_awkward_rows(awkward, nothing):
     assert len(line_dedup.without_lines(awkward).collect()) == awkward.count() and line_dedup.without_lines(nothing).count() == 0
 
 
+def test_clashing_column_names(spark):
+    """Columns of the input with names of helpers or results: helpers leave them alone, results replace them."""
+    names = ["_key", "_hash", "_gone_key", "_h", "_bucket", "_at", "_near", "_block", "_order_id", "_tokens", "_domains", "_items", "_lang", "_Score", "_removed", "_slot"]
+    docs = spark.range(30).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words of line "), F.col("id") % 3).alias("text"), *[F.lit("x").alias(n) for n in names])
+    sharded = sharding.shard(docs, 3)
+    assert len(check_shards(sharded.collect(), 3)) == 3 and sharded.columns.count("_slot") == 1 and "_bucket" in sharded.columns and "_at" in sharded.columns
+    lines = line_dedup.without_lines(docs)
+    assert {r["_key"] for r in lines.collect()} == {"x"} and sorted(len(r["_removed"]) for r in lines.collect()) == [0] * 3 + [1] * 27
+    items = spark.createDataFrame([(1, "some words of line 1")], "item_id bigint, text string")
+    for block in (1 << 20, 4):
+        found = decontamination.contamination(docs, items, block_bytes=block)
+        assert sum(len(r["_items"]) for r in found.collect()) == 10 and found.columns.count("_items") == 1
+    none = language_id.BiGRU(1), []
+    named = language_id.identify(docs, *none)
+    assert {r["_lang"] for r in named.collect()} == {"und"} and [c.lower() for c in named.columns].count("_score") == 1
+    labels = spark.createDataFrame([(1, 1.0)], "doc_id bigint, label double")
+    assert quality.score(docs, quality.fit(docs, labels.limit(0))).count() == 30
+    assert near_dedup.near_duplicates(docs).filter("kept").count() == 3 and exact_dedup.exact_dedup(docs).filter("kept").count() == 3
+
+
+def test_ids_with_several_texts_are_one_document(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    docs = spark.createDataFrame([(7, a), (7, b), (1, a + " z"), (2, b + " z")], "doc_id bigint, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(docs).collect()} == {(7, 1), (1, 1), (2, 1)}
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 
@@ -466,7 +492,8 @@ def test_pipeline(spark):
     mixed = stages["mixing"](spark, frame, DATA)
     assert mixed.columns == docs.columns and mixed.count() > 0.8 * len(sets)
     out = P.run(spark, DATA).toPandas()
-    assert set(out.doc_id) <= unique & clean | set(out.doc_id) and out.shard.between(0, 23).all()
+    # stages see only what their predecessors kept, so a document of a group whose smallest went earlier may stay
+    assert set(out.doc_id) <= clean and len(set(out.doc_id) & unique) > 0.9 * len(set(out.doc_id)) and out.shard.between(0, 23).all()
     assert out.groupby("shard").slot.apply(lambda s: sorted(s) == list(range(len(s)))).all()
 
 
