@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dramaturg.llm._shared import cut, table, with_computed
+from dramaturg.llm._shared import cut, fresh, replaced, table, with_computed
 from dramaturg.llm._words import mix64, shingle_sets
 
 FIELDS = "_n_shingles bigint, _items array<bigint>, _containment double"
@@ -109,13 +109,17 @@ def contamination(
     Defined results: null texts and texts without words hold nothing; texts of fewer than k words
     have their whole sequence as one shingle; an empty item matches nothing. Items with equal
     texts are all reported, items with a null id as null. Without items every list is empty.
-    All columns and rows of ``docs`` come back, with ``_n_shingles, _items, _containment``.
+    All columns and rows of ``docs`` come back, with ``_n_shingles, _items, _containment``
+    (columns so named are replaced).
     """
     spark = docs.sparkSession
+    own = ("_n_shingles", "_items", "_containment")
+    docs = replaced(docs, *own)
     chosen = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).alias("text"))
     size = chosen.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("bytes")).first()["bytes"] or 0
     blocks = max(1, -(-size // block_bytes))
     columns = docs.columns
+    before = fresh(docs, "n_before", "items_before", "containment_before")
     for b in range(blocks):
         # equal texts of a block are kept: the hash deals out by text and id
         part = chosen if blocks == 1 else chosen.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
@@ -130,14 +134,14 @@ def contamination(
             return [s.size for s in sets], [f[0] for f in found], [f[1] for f in found]
 
         if b:
-            docs = cut(docs.withColumnsRenamed({c: f"{c}_before" for c in ("_n_shingles", "_items", "_containment")}))
+            docs = cut(docs.withColumnsRenamed(dict(zip(own, before, strict=True))))
         docs = with_computed(docs, text_col, FIELDS, search)
         if b:
             docs = docs.select(
                 *columns,
                 "_n_shingles",
-                F.concat("_items_before", "_items").alias("_items"),
-                F.greatest("_containment_before", "_containment").alias("_containment"),
+                F.concat(before[1], "_items").alias("_items"),
+                F.greatest(before[2], "_containment").alias("_containment"),
             )
     return docs
 
