@@ -202,3 +202,20 @@ def legacy_entries(spark, sf_dir):
         .otherwise(F.concat(F.lit(" boss is "), a, F.lit(" (of "), b, F.lit(")")))
     )
     return read(spark, sf_dir, "part").select("p_partkey", R.normalised_entry(text).alias("entries"))
+
+
+def _steps(spark, sf_dir):
+    from dramaturg.operators.steps import correction_steps
+
+    kind = F.col("event_type")
+    return correction_steps(_events(spark, sf_dir), kind == "error", kind == "signup", kind == "click", kind == "purchase", kind == "view")
+
+
+@query()
+def correction_pipeline(spark, sf_dir):
+    """All corrections in their order: the claims that they changed."""
+    from dramaturg.operators.steps import changed, run_steps
+    from dramaturg.sources.scratch import cut
+
+    before = claims(spark, sf_dir)
+    return changed(before, run_steps(before, _steps(spark, sf_dir), cut)[0])

@@ -17,7 +17,7 @@ def test_equals_sql(spark, duck, name):
 
 
 WITHOUT_SQL = {
-    "method_summary_ci": "method", "paired_p_values": "method", "kmeans_three_way_split": "vec_id", "weighted_draws": "draw", "episode_fold": "seq",
+    "method_summary_ci": "method", "paired_p_values": "method", "kmeans_three_way_split": "vec_id", "weighted_draws": "draw", "episode_fold": "seq", "correction_pipeline": "owner",
 }
 
 
