@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from dramaturg.sources.scratch import scratch_dir as shared_dir
 
@@ -104,6 +105,11 @@ def sub_batches(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
+def extended(df: DataFrame, fields: str) -> StructType:
+    """The schema of ``df`` with the columns ``fields`` (DDL) at its end."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(fields).fields])
+
+
 def with_computed(df: DataFrame, column: str, fields: str, compute) -> DataFrame:
     """``df`` with the columns ``fields`` (DDL) that ``compute`` makes of one column's values.
 
@@ -113,7 +119,6 @@ def with_computed(df: DataFrame, column: str, fields: str, compute) -> DataFrame
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
     small_batches(df.sparkSession)
     extra = StructType.fromDDL(fields)
