@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dramaturg.llm import decontamination, exact_dedup, language_id, line_dedup, merkle, mixing, near_dedup, packing, quality, sharding, token_counts, warc
+from dramaturg.llm import decontamination, exact_dedup, hard_negatives, language_id, line_dedup, merkle, mixing, near_dedup, packing, quality, sharding, token_counts, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_language_id": language_id.op9_language_id,
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "op13_packing": packing.op13_packing,
 }
 
@@ -26,4 +27,5 @@ SQL = {
     "op6_decontamination": decontamination.SQL,
     "op10_line_dedup": line_dedup.SQL,
     "op11_merkle_manifest": merkle.SQL,
+    "op12_hard_negatives": hard_negatives.SQL,
 }
