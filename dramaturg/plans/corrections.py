@@ -78,7 +78,7 @@ def _entries(spark, sf_dir, where):
 
 @query(f"""WITH b AS ({_ENT} WHERE l_linenumber = 1), a AS ({_ENT} WHERE l_linenumber = 2), x AS ({_ENT} WHERE l_quantity = 50)
 SELECT owner, name, role FROM b WHERE (owner, name) NOT IN (SELECT (owner, name) FROM a) AND (role = 'sister' OR (owner, name) NOT IN (SELECT (owner, name) FROM x))""")
-def core_role_restore(spark, sf_dir):
+def lost_roles_restored(spark, sf_dir):
     return C.lost_roles(_entries(spark, sf_dir, "l_linenumber = 1"), _entries(spark, sf_dir, "l_linenumber = 2"), _entries(spark, sf_dir, "l_quantity = 50"), ["sister"])
 
 

@@ -2,8 +2,20 @@
 
 from __future__ import annotations
 
-from dramaturg.plans import corrections, evaluation, prompts, relations, reports, samples, texts, timeline
+from dramaturg.plans import corrections, evaluation, prompts, relations, reports, samples, streams, texts, timeline
 
 FLAGSHIP = "next_utterance_samples"
-QUERIES: dict = {**samples.QUERIES, **evaluation.QUERIES, **timeline.QUERIES, **texts.QUERIES, **corrections.QUERIES, **relations.QUERIES, **prompts.QUERIES, **reports.QUERIES}
-SQL: dict = {**samples.SQL, **evaluation.SQL, **timeline.SQL, **texts.SQL, **corrections.SQL, **relations.SQL, **prompts.SQL, **reports.SQL}
+
+
+def merged(which: str) -> dict:
+    """The dictionaries of all modules as one; a name may be given once."""
+    out: dict = {}
+    for module in (samples, evaluation, timeline, texts, corrections, relations, prompts, reports, streams):
+        own = getattr(module, which)
+        if out.keys() & own.keys():
+            raise ValueError(f"{module.__name__} repeats {sorted(out.keys() & own.keys())}")
+        out |= own
+    return out
+
+
+QUERIES, SQL = merged("QUERIES"), merged("SQL")

@@ -153,7 +153,7 @@ def word_recall(spark, sf_dir):
 
 @query("""WITH h AS (SELECT source, doc_id, md5(CAST(doc_id AS VARCHAR)) AS h FROM documents)
 SELECT source, doc_id, place FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id) AS place FROM h) WHERE place <= 8""")
-def quota_sample(spark, sf_dir):
+def stratified_sample(spark, sf_dir):
     from dramaturg.operators.sampling import stratified
 
     return stratified(read(spark, sf_dir, "documents"), "source", "doc_id", 8).select("source", "doc_id", "place")

@@ -30,12 +30,3 @@ def run_resume(spark: SparkSession, path: str, done: DataFrame, columns: list[st
     stream.writeStream.foreachBatch(save).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema.add("batch", "integer")).parquet(f"{place}/out").select(columns).distinct()
 
-
-def deduplicated(stream: DataFrame, key: str, time: str, late: str = "1 day") -> DataFrame:
-    """One row a key within the watermark."""
-    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
-
-
-def sessions(stream: DataFrame, by: str, time: str, gap: str = "30 minutes", late: str = "1 day") -> DataFrame:
-    """Scene-like sessions: start, end and size of each run of events without a longer gap."""
-    return stream.withWatermark(time, late).groupBy(by, F.session_window(time, gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(by, "w.start", "w.end", "n")

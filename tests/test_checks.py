@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dramaturg.functions import parsers as P
 from dramaturg.operators import agreement, checks, dialogue, evaluate, profiles, retrieval, sampling, state
-from dramaturg.streaming.resume import sessions
+from dramaturg.streaming.windows import sessions
 
 
 def one(spark, column):
