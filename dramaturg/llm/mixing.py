@@ -96,13 +96,14 @@ class Steps(list):
     missed: list[str]
 
 
-def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], total: float | None = None, rounds: int = 80, near: float = 1e-4) -> Steps:
+def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], total: float | None = None, rounds: int = 80, near: float = 1e-4, kept: str | None = None) -> Steps:
     """Projected gradient descent for rates r >= 0 with sum(r * tokens * posterior) = target tokens.
 
     Minimises sum_k (A_k - T_k)^2 / T_k over the rates, with steps measured by tokens: a document's
     step depends on its posteriors only, so its rate is a function of them and of the k numbers of
     each past step. Nothing is stored per document; each round is one pass with k sums a task.
-    ``total`` is the number of tokens wanted (None: as many as there are).
+    ``total`` is the number of tokens wanted (None: as many as there are, or with ``kept`` as many as
+    leave that domain the tokens that it has).
 
     Steps are implicit ones: the gradient goes through the inverse of the membership matrix of the
     documents above 0, damped by 1 / ``reach``, so that weak domains move as fast as strong ones. A
@@ -114,7 +115,9 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
     k = len(domains)
     have, shared = _totals(members, [], k)
     weight = np.array([targets.get(d, 0.0) for d in domains])
-    want = weight / max(weight.sum(), 1e-12) * (have.sum() if total is None else total)
+    if total is None:
+        total = have[domains.index(kept)] * weight.sum() / targets[kept] if kept else have.sum()
+    want = weight / max(weight.sum(), 1e-12) * total
     size = np.maximum(want, max(1.0, 1e-6 * have.sum()))
     root = 1 / np.sqrt(size)
     least = 1 / max(np.linalg.eigvalsh(root[:, None] * shared * root[None, :]).max(), 1e-12)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dramaturg.llm._shared import cut, fresh, replaced, table
+from dramaturg.llm._shared import cut, fresh, replaced, table, written
 
 _LOW, _HIGH = -(2**63), 2**63 - 1
 
@@ -87,6 +87,7 @@ def shard(
     parts: int = 128,
     rounds: int = 40,
     hot: float = 4.0,
+    most_rows: int = 1 << 20,
 ) -> DataFrame:
     """Deal all rows into ``shards`` contiguous key ranges of near-equal bytes.
 
@@ -94,14 +95,16 @@ def shard(
     cells of the hash range; later rounds cut only the cells that hold a splitter (or more than
     ``hot`` 4 096ths of all rows) into ``parts``. A splitter is settled once the bytes below it are
     within ``tolerance`` of a shard's share, or one key is left; then the nearer side is taken.
+    ``rounds`` is far above what 128 bits of key need; should they not do, that is an error.
     Equal texts share a hash and lie side by side; ids split a hot text further, so a group that
     holds a third of all rows fills several shards. All counted boundaries also serve as blocks:
     rows are exchanged once by block, ranked inside their block and offset by the exact number of
-    rows below it, so no block holds more than ``hot`` 4 096ths of the rows (or 500).
+    rows below it, so no block holds more than ``hot`` 4 096ths of the rows (at least 500, at most
+    ``most_rows``). Where more rows than that repeat both text and id, all rows are written once
+    with a number of their own, which takes the place of the id in their order.
 
     Defined results: a null text has size 8 and its own hash place; a null id sorts as the
-    smallest. Rows that repeat both text and id stay in one shard, with slots of their own. An
-    empty table gives an empty result. All columns of ``docs`` are returned, with ``size, shard,
+    smallest. Rows that repeat both text and id have slots of their own. An empty table gives an empty result. All columns of ``docs`` are returned, with ``size, shard,
     slot`` and the hash ``h`` added under the names ``_size, _shard, _slot, _h`` (columns so named
     are replaced).
     """
@@ -125,6 +128,7 @@ def shard(
 
     goals = [bytes_all * j / shards for j in range(1, shards)]
     slack = tolerance * bytes_all / shards
+    limit = min(max(hot * rows_all / 4096, 500), most_rows)
     stuck: set[tuple[int, int]] = set()
     for _ in range(rounds):
         order = sorted(below)
@@ -135,7 +139,7 @@ def shard(
             if min(goal - counts[i], counts[i + 1] - goal) > slack and order[i] not in stuck:
                 todo[order[i]] = order[i + 1]
         for a, b in zip(order, order[1:], strict=False):
-            if below[b][1] - below[a][1] > max(hot * rows_all / 4096, 500) and a not in stuck:
+            if below[b][1] - below[a][1] > limit and a not in stuck:
                 todo[a] = b
         cells: list[tuple[tuple[int, int], tuple[int, int]]] = []
         for a in sorted(todo):
@@ -149,6 +153,13 @@ def shard(
         for (a, b), cell in zip(cells, _count_below(keys, cells), strict=True):
             known[a] = cell
             below[b] = (below[a][0] + cell[0], below[a][1] + cell[1])
+    else:
+        raise RuntimeError(f"splitters aren't settled after {rounds} rounds")
+
+    if any(known[a][1] > limit for a in stuck):
+        (row,) = fresh(docs, "row")
+        numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+        return shard(numbered, shards, row, text_col, tolerance, parts, rounds, hot, most_rows).drop(row)
 
     order = sorted(below)
     counts = [below[e][0] for e in order]
