@@ -29,6 +29,17 @@ ROLE_INVERSE = {
 # Couple roles by tier.
 TIERS = {1: ["boyfriend", "girlfriend", "partner", "dating"], 2: ["fiancé", "fiancée", "fiance", "fiancee"], 3: ["wife", "husband", "spouse"]}
 FAMILY = ["mother", "father", "son", "daughter", "brother", "sister", "twin brother", "twin sister", "grandmother", "grandfather"]
+# Roles that fade without evidence, those of them that need no return, those that fade to "former", and roles that never fade.
+TRANSIENT = [
+    "boyfriend", "girlfriend", "partner", "lover", "romantic interest", "date", "dating", "love interest", "secret romantic encounter", "secret girlfriend", "secret boyfriend", "one-time encounter",
+    "former one-time encounter", "on-off girlfriend", "on-off boyfriend", "friend with romantic tension", "ex-romantic interest", "crush", "affair", "fling", "hookup", "seeing", "romantic partner",
+]
+ONE_SIDED = [
+    "friend with romantic tension", "secret romantic encounter", "secret girlfriend", "secret boyfriend", "one-time encounter", "former one-time encounter", "crush", "affair", "fling", "hookup",
+]
+FADES_TO_FORMER = ["secret romantic encounter", "one-time encounter", "friend with romantic tension"]
+PROTECTED = ["husband", "wife", "spouse", "fiancé", "fiance", "fiancée", "fiancee", "wife-to-be", "husband-to-be", "co-parent", "baby's father", "baby's mother"]
+DOWNGRADED = ["girlfriend", "boyfriend", "partner", "fiancé", "fiancee", "fiance", "wife", "husband", "lover", "spouse"]
 KEY = ["dataset", "owner", "ep", "partner"]
 
 
@@ -103,34 +114,78 @@ def _latest(claims: DataFrame, events: DataFrame, kinds: dict[str, Column]) -> D
     return seen.filter("_claim = 1").select(*claims.columns, *[f"last_{k}" for k in kinds])
 
 
-def auto_downgraded(claims: DataFrame, events: DataFrame, breakup: Column, reconciled: Column) -> DataFrame:
-    """Current romantic claims become ``ex-`` where the pair's latest breakup has no later or equal reconciliation."""
+def auto_downgraded(claims: DataFrame, events: DataFrame, breakup: Column, reconciled: Column, cast: DataFrame | None = None) -> DataFrame:
+    """Current couple claims become ``ex-`` where the pair's latest breakup has no later or equal reconciliation.
+
+    Partners of the ``cast`` (``dataset, name``) are left to the rules between main characters.
+    """
     found = _latest(claims, events, {"breakup": breakup, "reconciled": reconciled})
-    over = is_current_romantic(F.col("role")) & (F.col("last_breakup") > F.coalesce("last_reconciled", F.lit(-1)))
+    over = F.lower(F.trim("role")).isin(DOWNGRADED) & (F.col("last_breakup") > F.coalesce("last_reconciled", F.lit(-1)))
+    if cast is not None:
+        found = found.join(cast.select("dataset", F.col("name").alias("partner"), F.lit(True).alias("_main")), ["dataset", "partner"], "left")
+        over = over & F.col("_main").isNull()
     changed = F.coalesce(over, F.lit(False))
     return found.select(*KEY, F.when(changed, F.concat(F.lit("ex-"), "role")).otherwise(F.col("role")).alias("role"), changed.alias("downgraded"))
 
 
-def decayed(claims: DataFrame, events: DataFrame, protected: Column, age: int = 10, silent: int = 6) -> DataFrame:
+def placed(claims: DataFrame) -> DataFrame:
+    """``dataset, owner, ep, at``: the place of each episode among those in which the owner has a state.
+
+    Ordinals jump from season to season; what is next to each other is told by these places.
+    """
+    states = claims.select("dataset", "owner", "ep").distinct()
+    return states.withColumn("at", F.row_number().over(Window.partitionBy("dataset", "owner").orderBy("ep")).cast("bigint"))
+
+
+def _as_partner_saw(claims: DataFrame) -> DataFrame:
+    """``claims`` with ``back_current`` and ``back_former`` by the partner's latest state up to the episode (false if there is none)."""
+    asked = claims.select("dataset", F.col("partner").alias("_c"), "ep").distinct().withColumn("_state", F.lit(None).cast(claims.schema["ep"].dataType))
+    states = claims.select("dataset", F.col("owner").alias("_c"), "ep").distinct().withColumn("_state", F.col("ep"))
+    w = Window.partitionBy("dataset", "_c").orderBy("ep").rangeBetween(Window.unboundedPreceding, 0)
+    known = asked.unionByName(states).withColumn("_last", F.max("_state").over(w)).filter(F.col("_state").isNull()).drop("_state")
+    back = claims.groupBy(*KEY).agg(F.max(is_current_romantic(F.col("role")) | F.lower("role").isin(PROTECTED)).alias("back_current"), F.max(is_former(F.col("role"))).alias("back_former"))
+    back = back.select("dataset", F.col("owner").alias("_c"), F.col("ep").alias("_last"), F.col("partner").alias("owner"), "back_current", "back_former")
+    dated = claims.withColumn("_c", F.col("partner")).join(known, ["dataset", "_c", "ep"]).join(back, ["dataset", "_c", "_last", "owner"], "left")
+    return dated.drop("_c", "_last").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("back_current", "back_former")})
+
+
+def decayed(claims: DataFrame, cast: DataFrame, mentions: DataFrame, settled: DataFrame, age: int = 10, silent: int = 6) -> DataFrame:
     """Decay pass: claims rewritten to ``ex-`` or ``former `` with the ``rule`` that did it (null: none).
 
-    Former and protected claims and roles that aren't romantic stay. Then, in this order: the
-    partner lists the owner as a former one; a claim at least ``age`` episodes old isn't returned;
-    neither side of the pair has been mentioned for more than ``silent`` episodes and the claim
-    isn't returned. Dating roles get ``ex-``, other romantic ones ``former ``.
+    Only roles that fade are touched, not those of spouses and the engaged, and none that the owner
+    lists as a couple role in both neighbouring states. A partner of the ``cast`` (``dataset,
+    name``), unless the role is one-sided, is asked: ``listed_as_ex`` where their latest state says
+    so, ``not_returned`` where the role is at least ``age`` old and isn't returned. Others are
+    ``forgotten`` if the owner's archive last named them more than ``silent`` ago (``mentions``:
+    ``dataset, owner, partner, ep``; never named is no silence). Evidence of a marriage up to then
+    (``settled``, the same columns) shields. Encounters become ``former ``, all else ``ex-``.
     """
-    back = pointing_back(claims)
-    since = Window.partitionBy("dataset", "owner", "partner").orderBy("ep").rowsBetween(Window.unboundedPreceding, 0)
-    facts = _latest(back.withColumn("_age", F.col("ep") - F.min("ep").over(since)), events, {"seen": F.lit(True)})
-    quiet = F.col("ep") - F.coalesce("last_seen", F.lit(0)) > silent
+    role = F.lower(F.trim("role"))
+    fades = F.coalesce(~role.rlike("^(ex-|late-|former[ -])"), F.lit(False)) & ~role.rlike("^(" + "|".join(PROTECTED) + ")( |$)") & role.rlike("^(" + "|".join(TRANSIENT) + ")")
+    since = Window.partitionBy("dataset", "owner", "partner", "role").orderBy("ep").rowsBetween(Window.unboundedPreceding, 0)
+    rows = _as_partner_saw(claims).withColumn("_age", F.col("ep") - F.min("ep").over(since))
+    rows = rows.join(cast.select("dataset", F.col("name").alias("partner"), F.lit(True).alias("_main")), ["dataset", "partner"], "left")
+    # places of the owner's states with a couple role for the partner, before and after
+    states = placed(claims)
+    couple = claims.filter((couple_tier(F.col("role")) > 0)).select(*KEY).distinct().join(states, ["dataset", "owner", "ep"]).drop("ep")
+    for side, step in (("_before", 1), ("_after", -1)):
+        beside = couple.select("dataset", "owner", "partner", (F.col("at") + step).alias("at"), F.lit(True).alias(side))
+        states_beside = states.join(beside, ["dataset", "owner", "at"]).drop("at")
+        rows = rows.join(states_beside, KEY, "left")
+    told = mentions.select("dataset", "owner", "partner", "ep", F.lit("seen").alias("_k")).unionByName(settled.select("dataset", "owner", "partner", "ep", F.lit("settled").alias("_k")))
+    w = Window.partitionBy("dataset", "owner", "partner").orderBy("ep").rangeBetween(Window.unboundedPreceding, 0)
+    both = rows.unionByName(told, allowMissingColumns=True)
+    for kind in ("seen", "settled"):
+        both = both.withColumn(f"_last_{kind}", F.max(F.when(F.col("_k") == kind, F.col("ep"))).over(w))
+    main = F.col("_main").isNotNull() & (F.col("partner") != F.col("owner")) & ~role.isin(ONE_SIDED)
     rule = (
-        F.when(~is_current_romantic(F.col("role")) | protected, None)
-        .when(F.col("back_former"), "listed_as_ex")
-        .when((F.col("_age") >= age) & ~F.col("back_current"), "not_returned")
-        .when(quiet & ~F.col("back_current"), "forgotten")
+        F.when(~fades | (F.col("_before").isNotNull() & F.col("_after").isNotNull()) | F.col("_last_settled").isNotNull(), None)
+        .when(main & F.col("back_former"), "listed_as_ex")
+        .when(main & (F.col("_age") >= age) & ~F.col("back_current"), "not_returned")
+        .when(~main & (F.col("ep") - F.col("_last_seen") > silent), "forgotten")
     )
-    prefix = F.when(couple_tier(F.col("role")) > 0, "ex-").otherwise("former ")
-    facts = facts.withColumn("rule", rule)
+    facts = both.filter(F.col("_k").isNull()).withColumn("rule", rule)
+    prefix = F.when(role.isin(FADES_TO_FORMER), "former ").otherwise("ex-")
     return facts.select(*KEY, F.when(F.col("rule").isNotNull(), F.concat(prefix, "role")).otherwise(F.col("role")).alias("role"), "rule")
 
 
@@ -198,51 +253,55 @@ def evidenced_tiers(claims: DataFrame, events: DataFrame, engaged: Column, marri
 
 
 def stays(claims: DataFrame) -> DataFrame:
-    """Runs of consecutive episodes in which an owner lists a partner romantically, and whether ever returned."""
-    romantic = pointing_back(claims).filter(is_current_romantic(F.col("role"))).groupBy(*KEY).agg(F.max("back_current").alias("returned"), F.max("role").alias("role"))
-    island = F.col("ep") - F.row_number().over(Window.partitionBy("dataset", "owner", "partner").orderBy("ep"))
-    return romantic.withColumn("_i", island).groupBy("dataset", "owner", "partner", "_i").agg(
-        F.min("ep").alias("start"), F.max("ep").alias("stop"), F.count(F.lit(1)).alias("length"), F.max("returned").alias("returned"), F.max_by("role", "ep").alias("role")
+    """Runs of an owner's consecutive states that list a partner in one romantic role: ``dataset, owner, partner, role,
+    start, stop, length, returned``; start and stop are places among the owner's states (see :func:`placed`)."""
+    romantic = pointing_back(claims).filter(is_current_romantic(F.col("role"))).groupBy(*KEY, F.lower(F.trim("role")).alias("role")).agg(F.max("back_current").alias("returned"))
+    run = ["dataset", "owner", "partner", "role"]
+    at = romantic.join(placed(claims), ["dataset", "owner", "ep"])
+    island = F.col("at") - F.row_number().over(Window.partitionBy(*run).orderBy("at"))
+    return at.withColumn("_i", island).groupBy(*run, "_i").agg(
+        F.min("at").alias("start"), F.max("at").alias("stop"), F.count(F.lit(1)).alias("length"), F.max("returned").alias("returned")
     ).drop("_i")
 
 
+def _episodes(runs: DataFrame, claims: DataFrame) -> DataFrame:
+    """A row for each episode of a run, by the owner's own states."""
+    return runs.withColumn("at", F.explode(F.sequence("start", "stop"))).join(placed(claims), ["dataset", "owner", "at"])
+
+
 def short_stays(claims: DataFrame, longest: int = 3, window: int = 2) -> DataFrame:
-    """Unreturned runs of at most ``longest`` episodes that correct themselves.
+    """Unreturned runs of at most ``longest`` states that correct themselves.
 
-    Within ``window`` episodes after the run the owner, who has a state there, doesn't list the
-    partner or lists a former role; the end of the owner's timeline counts as a correction.
+    In one of the owner's next ``window`` states the partner isn't listed in that role; a run that
+    ends with the owner's last state counts as corrected.
     """
-    runs = stays(claims).filter((F.col("length") <= longest) & ~F.col("returned"))
-    states = claims.select("dataset", "owner", "ep").distinct()
-    after = runs.select("dataset", "owner", "partner", "start", "stop", F.explode(F.sequence(F.col("stop") + 1, F.col("stop") + window)).alias("ep"))
-    after = after.join(states.withColumn("_state", F.lit(True)), ["dataset", "owner", "ep"], "left")
-    listed = claims.groupBy(*KEY).agg(F.max(is_current_romantic(F.col("role"))).alias("_current"))
-    after = after.join(listed, KEY, "left")
-    gone = F.col("_state").isNotNull() & ~F.coalesce("_current", F.lit(False))
-    last = states.groupBy("dataset", "owner").agg(F.max("ep").alias("_last"))
-    ended = after.groupBy("dataset", "owner", "partner", "start", "stop").agg(F.max(gone).alias("_gone")).join(last, ["dataset", "owner"])
-    return ended.filter(F.col("_gone") | (F.col("stop") >= F.col("_last"))).select("dataset", "owner", "partner", "start", "stop")
+    runs = stays(claims).filter((F.col("length") <= longest) & ~F.col("returned")).drop("length", "returned")
+    after = runs.withColumn("at", F.explode(F.sequence(F.col("stop") + 1, F.col("stop") + window))).join(placed(claims), ["dataset", "owner", "at"])
+    listed = claims.select(*KEY, F.lower(F.trim("role")).alias("role"), F.lit(True).alias("_listed")).distinct()
+    after = after.join(listed, [*KEY, "role"], "left")
+    run = ["dataset", "owner", "partner", "role", "start", "stop"]
+    held = after.groupBy(*run).agg(F.min(F.col("_listed").isNotNull()).alias("_held"))
+    return runs.join(held, run, "left").filter(~F.coalesce("_held", F.lit(False))).select(*run)
 
 
 def without_short_stays(claims: DataFrame, **how) -> DataFrame:
     """Claims of short stays become ``friend``."""
-    demote = short_stays(claims, **how).select("dataset", "owner", "partner", F.explode(F.sequence("start", "stop")).alias("ep")).withColumn("_demote", F.lit(True))
-    out = claims.join(demote, KEY, "left")
-    return out.select(*KEY, F.when(F.col("_demote") & is_current_romantic(F.col("role")), "friend").otherwise(F.col("role")).alias("role"))
+    demote = _episodes(short_stays(claims, **how), claims).select(*KEY, F.col("role").alias("_role")).distinct().withColumn("_demote", F.lit(True))
+    out = claims.withColumn("_role", F.lower(F.trim("role"))).join(demote, [*KEY, "_role"], "left")
+    return out.select(*KEY, F.when(F.col("_demote"), "friend").otherwise(F.col("role")).alias("role"))
 
 
 def propagated(claims: DataFrame, least: int = 2) -> DataFrame:
     """Claims with those added that the other side of a run lacks.
 
-    For each episode of a romantic run of at least ``least`` the partner, if a state is there and
-    lists the owner neither romantically nor as a former one, gets the inverse role; the partner's
-    plain ``friend`` entry of the owner goes.
+    For each episode of a romantic run of at least ``least`` states the partner, if a state is there
+    and lists the owner neither romantically nor as a former one, gets the inverse role; the
+    partner's plain ``friend`` entry of the owner goes.
     """
     inverse = F.create_map(*[F.lit(x) for pair in ROLE_INVERSE.items() for x in pair])
-    runs = stays(claims).filter(F.col("length") >= least)
-    wanted = runs.select(
-        "dataset", F.explode(F.sequence("start", "stop")).alias("ep"), F.col("partner").alias("owner"), F.col("owner").alias("partner"), F.try_element_at(inverse, F.col("role")).alias("role")
-    ).filter("role is not null")
+    wanted = _episodes(stays(claims).filter(F.col("length") >= least), claims)
+    wanted = wanted.select("dataset", "ep", F.col("partner").alias("owner"), F.col("owner").alias("partner"), F.try_element_at(inverse, F.col("role")).alias("role")).filter("role is not null")
+    wanted = wanted.groupBy(*KEY).agg(F.max("role").alias("role"))
     states = claims.select("dataset", "owner", "ep").distinct()
     has = claims.filter(is_current_romantic(F.col("role")) | is_former(F.col("role"))).select(*KEY).distinct()
     added = wanted.join(states, ["dataset", "owner", "ep"], "left_semi").join(has, KEY, "left_anti").select(*KEY, "role")
@@ -267,24 +326,57 @@ def restored(claims: DataFrame, ended: DataFrame) -> DataFrame:
     return claims.select(*KEY, "role").withColumn("restored", F.lit(False)).unionByName(missing.select(*KEY, "role").withColumn("restored", F.lit(True)))
 
 
-def gap_filled(claims: DataFrame, longest: int = 8) -> DataFrame:
-    """Claims with couple roles written into gaps, on both sides where the other has a state there.
+def gaps(claims: DataFrame, longest: int = 8, ahead: int = 3, broken: DataFrame | None = None) -> DataFrame:
+    """Gaps in a bond that goes on: ``dataset, owner, partner, role, back_role, start, stop`` by places of the owner's states.
 
-    A gap lies between two claims of the same couple role of a pair with at most ``longest``
-    episodes between; an episode is filled if the owner has a state there and doesn't list the partner.
+    A gap is at most ``longest`` of the owner's states in which neither side lists the other in a
+    couple role. Before it the owner does, and the partner too if they have states of their own.
+    Within ``ahead`` states from its end both (or the owner, of an outsider) list such a role of no
+    lower tier again. ``broken`` (``dataset, a, b, ep``, the pair in order) are breakups: one after
+    the state before the gap, up to the one after it, forbids filling.
     """
-    couple = claims.filter(couple_tier(F.col("role")) > 0).select(*KEY, "role").distinct()
-    w = Window.partitionBy("dataset", "owner", "partner").orderBy("ep")
-    gaps = couple.withColumns({"_next": F.lead("ep").over(w), "_role": F.lead("role").over(w)}).filter((F.col("_role") == F.col("role")) & (F.col("_next") - F.col("ep")).between(2, longest + 1))
-    inside = gaps.select("dataset", "owner", F.explode(F.sequence(F.col("ep") + 1, F.col("_next") - 1)).alias("ep"), "partner", "role")
-    inverse = F.create_map(*[F.lit(x) for pair in ROLE_INVERSE.items() for x in pair])
-    other = swapped(inside, F.try_element_at(inverse, F.col("role")).alias("role"))
+    couple = claims.withColumn("_t", couple_tier(F.col("role"))).filter("_t > 0").groupBy(*KEY).agg(F.min(F.struct(F.lower("role").alias("role"), F.col("_t").alias("tier"))).alias("own"))
+    mains = claims.select("dataset", F.col("owner").alias("partner")).distinct().withColumn("_main", F.lit(True))
+    back = swapped(couple, F.col("own").alias("back"))
+    both = couple.join(back, KEY, "full").join(placed(claims), ["dataset", "owner", "ep"]).join(mains, ["dataset", "partner"], "left")
+    w = Window.partitionBy("dataset", "owner", "partner").orderBy("at")
+    main = F.col("_main").isNotNull()
+    later = both.withColumns({f"_l{i}": F.lead(F.struct("at", "ep", "own", "back"), i).over(w) for i in range(1, ahead + 1)})
+    first = F.col("_l1")
+    found = later.filter(F.col("own").isNotNull() & (~main | F.col("back").isNotNull()) & (first["at"] - F.col("at")).between(2, longest + 1))
+
+    def resumed(c: Column) -> Column:
+        again = (c["at"] < first["at"] + ahead) & (c["own"]["tier"] >= F.col("own.tier"))
+        return F.coalesce(again & (~main | (c["back"]["tier"] >= F.col("back.tier"))), F.lit(False))
+
+    any_of = resumed(first)
+    for i in range(2, ahead + 1):
+        any_of = any_of | resumed(F.col(f"_l{i}"))
+    found = found.filter(any_of)
+    if broken is not None:
+        pair = found.withColumns({"a": F.least("owner", "partner"), "b": F.greatest("owner", "partner"), "_from": F.col("ep"), "_to": first["ep"]})
+        told = broken.groupBy("dataset", "a", "b").agg(F.sort_array(F.collect_set("ep")).alias("_eps"))
+        pair = pair.join(told, ["dataset", "a", "b"], "left")
+        found = pair.filter(~F.coalesce(F.exists("_eps", lambda e: (e > F.col("_from")) & (e <= F.col("_to"))), F.lit(False)))
+    return found.select("dataset", "owner", "partner", F.col("own.role").alias("role"), F.when(main, F.col("back.role")).alias("back_role"), (F.col("at") + 1).alias("start"), (first["at"] - 1).alias("stop"))
+
+
+def gap_filled(claims: DataFrame, longest: int = 8, ahead: int = 3, broken: DataFrame | None = None) -> DataFrame:
+    """Claims with the roles of :func:`gaps` written into their episodes, on both sides where the other has a state.
+
+    What else a side lists of the other there gives way. Where both sides' gaps name an episode, the
+    one of the owner whose name comes first holds.
+    """
+    inside = _episodes(gaps(claims, longest, ahead, broken), claims)
+    first = F.col("owner") < F.col("partner")
+    own = inside.select(*KEY, "role", F.when(first, 1).otherwise(0).alias("_own"))
+    other = inside.filter("back_role is not null").select("dataset", "ep", F.col("partner").alias("owner"), F.col("owner").alias("partner"), F.col("back_role").alias("role"), F.when(first, 1).otherwise(0).alias("_own"))
     states = claims.select("dataset", "owner", "ep").distinct()
-    wanted = inside.withColumn("_own", F.lit(1)).unionByName(other.withColumn("_own", F.lit(0)))
-    added = wanted.join(states, ["dataset", "owner", "ep"], "left_semi").join(claims.select(*KEY).distinct(), KEY, "left_anti")
-    # a role from the owner's own timeline comes before one from the partner's
-    added = added.groupBy(*KEY).agg(F.max(F.struct("_own", "role"))["role"].alias("role"))
-    return claims.select(*KEY, "role").withColumn("filled", F.lit(False)).unionByName(added.withColumn("filled", F.lit(True)))
+    added = own.unionByName(other).join(states, ["dataset", "owner", "ep"], "left_semi").groupBy(*KEY).agg(F.max(F.struct("_own", "role"))["role"].alias("role"))
+    same = claims.select(*KEY, F.lower("role").alias("role"))
+    added = added.join(same, [*KEY, "role"], "left_anti")
+    kept = claims.select(*KEY, "role").join(added, KEY, "left_anti")
+    return kept.withColumn("filled", F.lit(False)).unionByName(added.select(*KEY, "role").withColumn("filled", F.lit(True)))
 
 
 def normalised_entry(entry: Column) -> Column:
