@@ -8,6 +8,8 @@ Windows say all that reads one character only; this is for the rules that don't.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import deque
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,10 +18,11 @@ from dramaturg.operators.relations import FAMILY, ROLE_INVERSE, ROLE_PRIORITY, T
 from dramaturg.operators.state import GATES
 
 # Words that don't tell one description from another.
-STOP_WORDS = frozenset(
-    "a an the and or but of to in on at by for with as is are was were be been has have had his her their its this that these those from into about "
-    "over under more most less than so such very often sometimes always never also still yet just only".split()
-)
+STOP_WORDS = {
+    "a", "an", "the", "and", "or", "but", "of", "to", "in", "on", "at", "by", "for", "with", "as", "is", "are", "was", "were", "be", "been", "has", "have", "had", "his",
+    "her", "their", "its", "this", "that", "these", "those", "from", "into", "about", "over", "under", "more", "most", "less", "than", "so", "such", "very", "often",
+    "sometimes", "always", "never", "also", "still", "yet", "just", "only",
+}
 EXPIRY, RECENT_MEDIUM, KEPT_LENGTH, KEPT_WORDS, DECAY_AGE = 8, 20, 0.8, 0.5, 10
 COUPLE = {r for roles in TIERS.values() for r in roles}
 
@@ -77,38 +80,54 @@ def deduped(entries: list[tuple[str, str]]) -> list[tuple[str, str]]:
 
 
 class Timeline:
-    """The states of one data set's characters while its episodes are folded."""
+    """The states of one data set's characters while its episodes are folded.
+
+    Evidence is looked up by pair and happening, or by id; time only goes forward, so what expires
+    and what a character has seen lately are kept as queues. The fold takes time in proportion to
+    the evidence and proposals.
+    """
 
     def __init__(self, evidence: list[dict], cast: set):
         self.cast = {f"U{c}" for c in cast}
         self.evidence = {e["event_id"]: e | {"status": "active"} for e in evidence}
-        self.of: dict = {}
-        for e in sorted(evidence, key=lambda e: (e["ep"], e["event_id"])):
-            self.of.setdefault(e["character"], []).append(e["event_id"])
+        ordered = sorted(self.evidence.values(), key=lambda e: (e["ep"], e["event_id"]))
+        self.happened: dict = {}
+        for e in ordered:
+            self.happened.setdefault((frozenset((f"U{e['character']}", f"U{e['partner']}")), e["happening"]), []).append(e["ep"])
+        medium = [e for e in ordered if e["significance"] == "medium"]
+        self.to_come, self.to_expire, self.lately = deque(medium), deque(medium), {}
         self.persona: dict = {}
         self.version: dict = {}
         self.since: dict = {}
 
-    def expire(self, ep: int) -> None:
-        for e in self.evidence.values():
-            if e["status"] == "active" and e["significance"] == "medium" and ep - e["ep"] > EXPIRY:
+    def go_to(self, ep: int) -> None:
+        """Medium evidence up to ``ep`` is seen, what is too old by then expires."""
+        while self.to_come and self.to_come[0]["ep"] <= ep:
+            e = self.to_come.popleft()
+            self.lately.setdefault(e["character"], []).append(e)
+        while self.to_expire and ep - self.to_expire[0]["ep"] > EXPIRY:
+            e = self.to_expire.popleft()
+            if e["status"] == "active":
                 e["status"] = "expired"
 
-    def citable(self, character, ep: int, resistance: str) -> set:
-        """Active evidence: all high, the latest medium. Harder fields may cite all high evidence of the past."""
-        past = [self.evidence[i] for i in self.of.get(character, []) if self.evidence[i]["ep"] <= ep]
-        active = [e for e in past if e["status"] == "active"]
-        medium = [e["event_id"] for e in active if e["significance"] == "medium"][-RECENT_MEDIUM:]
-        high = [e["event_id"] for e in (active if resistance == "low" else past) if e["significance"] == "high"]
-        return {*medium, *high}
+    def citable(self, ids: list, character, ep: int, resistance: str) -> list:
+        """Those of ``ids`` that are active evidence: all high, the latest medium. Harder fields may cite all high evidence of the past."""
+        active = self.lately[character] = [e for e in self.lately.get(character, []) if e["status"] == "active"]
+        medium = {e["event_id"] for e in active[-RECENT_MEDIUM:]}
+
+        def may(i) -> bool:
+            e = self.evidence.get(i)
+            if e is None or e["character"] != character or e["ep"] > ep:
+                return False
+            return i in medium or (e["significance"] == "high" and (e["status"] == "active" or resistance != "low"))
+
+        return [i for i in dict.fromkeys(ids) if may(i)]
 
     def told(self, a: str, b: str, happening: str, low: int, high: int) -> int | None:
         """The latest episode in a range in which evidence of either tells this of the two."""
-        eps = [
-            e["ep"] for e in self.evidence.values()
-            if e["happening"] == happening and low <= e["ep"] <= high and {f"U{e['character']}", f"U{e['partner']}"} == {a, b}
-        ]
-        return max(eps, default=None)
+        eps = self.happened.get((frozenset((a, b)), happening), [])
+        at = bisect_right(eps, high)
+        return eps[at - 1] if at and eps[at - 1] >= low else None
 
     def relationships(self, name: str) -> list[tuple[str, str]]:
         return parsed(self.persona.get((name, "relationships"), {}).get("value", ""))
@@ -133,11 +152,10 @@ class Timeline:
             out.append((role, name))
         return out
 
-    def decide(self, p: dict) -> tuple[str, str | None]:
-        """The first reason to reject a proposal and None, or ``accepted`` and the value to write."""
+    def decide(self, p: dict, ids: list) -> tuple[str, str | None]:
+        """The first reason to reject a proposal that may cite ``ids`` and None, or ``accepted`` and the value to write."""
         character, ep, field, r = p["character"], p["ep"], p["field"], p["resistance"]
         me, now = f"U{character}", self.persona.get((f"U{character}", field))
-        ids = [i for i in dict.fromkeys(p["cited"]) if i in self.citable(character, ep, r)]
         if not ids:
             return "no_evidence", None
         if r not in GATES:
@@ -212,15 +230,15 @@ def folded(evidence: list[dict], proposals: list[dict]) -> list[tuple]:
     log: list[tuple] = []
     names = sorted(line.cast, key=lambda n: (len(n), n))
     for ep in sorted({e["ep"] for e in evidence} | set(at)):
-        line.expire(ep)
+        line.go_to(ep)
         for p in at.get(ep, []):
-            outcome, value = line.decide(p)
+            ids = line.citable(p["cited"], p["character"], ep, p["resistance"])
+            outcome, value = line.decide(p, ids)
             version = None
             if value is not None:
                 version = line.write(f"U{p['character']}", p["field"], value, ep)
-                for i in p["cited"]:
-                    if i in line.citable(p["character"], ep, p["resistance"]):
-                        line.evidence[i]["status"] = "consumed"
+                for i in ids:
+                    line.evidence[i]["status"] = "consumed"
             log.append((p["character"], ep, len(log), p["proposal_id"], p["field"], outcome, version, value))
         for kind, rule in (("auto_ex", line.auto_ex), ("decay", line.decay)):
             changed = [(n, v) for n in names if (v := rule(n, ep)) is not None]

@@ -39,6 +39,30 @@ def test_evidence_expires_and_is_consumed():
     assert [g[2] for g in got] == ["accepted", "no_evidence", "accepted", "no_evidence"]
 
 
+def test_only_what_could_be_cited_is_consumed():
+    ev = [seen(i, 1, "medium") for i in range(25)]
+    line = F.Timeline(ev, {1})
+    line.go_to(1)
+    assert line.citable(list(range(25)), 1, 1, "low") == list(range(5, 25))
+    # the first five weren't among the latest twenty, so they are left for the next proposal
+    got = outcomes(ev, [wish(1, "a", list(range(25)), i=0), wish(1, "b", list(range(25)), field="food", i=1), wish(1, "c", list(range(25)), field="music", i=2)])
+    assert [g[2] for g in got] == ["accepted", "accepted", "no_evidence"]
+
+
+def test_time_grows_with_the_rows():
+    import time
+
+    def took(n):
+        ev = [seen(i, i // 20, "medium" if i % 3 else "high", i % 7, i % 5, ("romance", "breakup")[i % 2]) for i in range(n)]
+        asked = [rel(e, f"girlfriend is U{e % 5}, friend is U{e % 7}", list(range(20 * e, 20 * e + 5)), (20 * e) % 7, e) for e in range(n // 20)]
+        began = time.process_time()
+        F.folded(ev, asked)
+        return time.process_time() - began
+
+    took(2000)
+    assert took(32_000) < 8 * took(8_000) + 1
+
+
 def rel(ep, value, cited, character=1, i=0):
     return wish(ep, value, cited, "relationships", "low", character, "replacement", i)
 
