@@ -46,14 +46,19 @@ def _frequent(lines: DataFrame) -> tuple[list[list[int]], DataFrame]:
     return [sorted(r["token"] for r in often if r["count"] << share >= total) for share in _SHARES], counts.filter(F.col("count") >= _CROWD).select("token")
 
 
+def _prefix_length(percent: int) -> Column:
+    """Of so many tokens of a line, in order of rarity, every similar line has one among its own."""
+    return F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
+
+
 def _with_prefix(lines: DataFrame, frequent: list[list[int]], percent: int) -> DataFrame:
-    """``lines`` with ``prefix``: the first tokens of each line in order of rarity.
+    """``lines`` with ``prefix``: the first tokens of each line in order of rarity, and one more.
 
     Tokens in no class come first, then those of each class that aren't in the next one. Inside a
     class the order is that of hashes, in which ``tokens`` are already. Only lines that are short
     of rarer tokens look for frequent ones.
     """
-    length = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
+    length = _prefix_length(percent) + 1
     frequent = [f for f in frequent if f]
     if not frequent:
         return lines.withColumn("prefix", F.slice("tokens", F.lit(1), length))
@@ -73,7 +78,7 @@ def _bitmaps() -> list[Column]:
 
 
 def _joined(x: DataFrame, y: DataFrame, percent: int, order: Column) -> DataFrame:
-    """Distinct pairs ``x, y`` of lines that share a token and pass all filters; of two settled lines none.
+    """Distinct pairs ``x, y`` of lines that share a token (or a pair of them) and pass all filters.
 
     Length and positional filter: of the tokens before the shared one at most min(i, j) are shared,
     and after it at most as many as the shorter rest has; that must be enough. Bitmap filter: sets
@@ -87,13 +92,12 @@ def _joined(x: DataFrame, y: DataFrame, percent: int, order: Column) -> DataFram
     n, m = F.shiftright("x_m", 32), F.shiftright("y_m", 32)
     i, j = place("x"), place("y")
     # the order of the tests is that of their cost and power
-    open_ = F.col("x_m").bitwiseOR(F.col("y_m")).bitwiseAND(F.lit(1)) == 1
     fits = F.least(n, m) * 100 >= F.greatest(n, m) * percent
     could = (F.least(i, j) + F.least(n - i, m - j)) * (100 + percent) >= (n + m) * percent
     whole, second = F.col("x_b").bitwiseXOR(F.col("y_b")), F.col("x_c").bitwiseXOR(F.col("y_c"))
     few = lambda bits: bits * (100 + percent) <= (n + m) * (100 - percent)
     halves = (n <= _LONG) | (m <= _LONG) | few(F.bit_count(second) + F.bit_count(whole.bitwiseXOR(second)))
-    pairs = x.join(y, "token").filter(order & fits & could & few(F.bit_count(whole)) & halves & open_)
+    pairs = x.join(y, "token").filter(order & fits & could & few(F.bit_count(whole)) & halves)
     return pairs.select(F.least("x_r", "y_r").alias("x"), F.greatest("x_r", "y_r").alias("y")).distinct()
 
 
@@ -132,8 +136,10 @@ def line_duplicates(docs: DataFrame, percent: int = 80, heads: int = 2, slices:
     5. Sets of which a prefix token is that of many lines are first compared with a few early ones
        of them (``heads`` a token). Most members of a large family of near copies are settled there.
     6. Sets not yet removed are compared with all sets that share a prefix token and pass the
-       length, positional and bitmap filters (all three lose nothing). The index is made and joined
-       in ``slices`` of its tokens, one after the other, so that only a part of it is on disk.
+       length, positional and bitmap filters (all three lose nothing). A token of many lines counts
+       only together with a second one: similar sets share two of the first n - ceil(t n) + 2, so
+       such lines meet by pairs of tokens. The index is made and joined in ``slices`` of its keys,
+       one after the other, so that only a part of it is on disk.
     Both comparisons are on whole token sets, read again for the lines concerned only.
     """
     with tidy_shuffles(docs.sparkSession):
@@ -165,18 +171,28 @@ def _line_duplicates(docs: DataFrame, percent: int, heads: int, slices: int, id_
         return of.select("token", "r", m.alias("m"), "b", "c", *more)
 
     able = firsts.filter(F.col("n") >= least)
-    few = able.select("line", "r", "n", "b", "c", F.lit(True).alias("open"), F.posexplode("prefix").alias("i", "token")).join(_named(crowded), "token")
+    crowded = _named(crowded)
+    first = F.slice("prefix", F.lit(1), _prefix_length(percent))
+    few = able.select("line", "r", "n", "b", "c", F.lit(True).alias("open"), F.posexplode(first).alias("i", "token")).join(crowded, "token")
     few = entries(few, "line")
     salt = F.pmod(F.xxhash64("r"), F.lit(heads))
     early = few.groupBy("token", salt.alias("salt")).agg(F.min(F.struct("line", "r", "m", "b", "c")).alias("e")).select("token", "e.*")
     near = cut(_joined(early, few, percent, F.col("x_r") != F.col("y_r")))
     settled = cut(_confirm(near, firsts, lines, percent))
     marked = able.join(_named(settled.withColumn("settled", F.lit(True))), "r", "left").withColumn("open", F.col("settled").isNull())
-    each = entries(marked.select("r", "n", "b", "c", "open", F.posexplode("prefix").alias("i", "token")))
+    each = marked.select("r", "n", "b", "c", "open", "prefix", F.posexplode(first).alias("i", "token"))
+    if percent * least > 100:  # any two similar sets share two tokens
+        each = each.join(crowded.withColumn("crowded", F.lit(True)), "token", "left")
+        alone = F.array(F.struct(F.col("token").alias("key"), F.col("i").alias("at")))
+        second = F.transform(F.slice("prefix", F.col("i") + 2, F.size("prefix")), lambda t, k: F.struct(F.xxhash64("token", t).alias("key"), (F.col("i") + 1 + k).alias("at")))
+        each = each.select("r", "n", "b", "c", "open", F.inline(F.when(F.col("crowded"), second).otherwise(alone)).alias("token", "i"))
+    each = entries(each)
     pairs = []
     for part in range(slices):
         some = each.filter(F.pmod("token", F.lit(slices)) == part)
-        pairs.append(cut(_joined(some, some, percent, F.col("x_r") < F.col("y_r"))))
+        # an open line meets all others, one that is open too only in one order
+        is_open = lambda m: F.col(m).bitwiseAND(F.lit(1)) == 1
+        pairs.append(cut(_joined(some.filter(is_open("m")), some, percent, (F.col("x_r") < F.col("y_r")) | ~is_open("y_m"))))
     rest = cut(reduce(DataFrame.unionAll, pairs).distinct().join(near, ["x", "y"], "left_anti"))
     similar = settled.unionAll(_confirm(rest, firsts, lines, percent)).distinct().withColumn("similar", F.lit(True))
     decided = firsts.select("r", "s0", "s1", "n", F.col("line").alias("first")).join(similar, "r", "left")

@@ -532,3 +532,29 @@ def test_pipeline_keeps_what_its_stages_decide(spark):
     assert out.shard.between(0, 23).all() and all(texts[r.doc_id] == r.text for r in out.itertuples())
     by = [sum(len((r.text or "").encode()) + 8 for r in out[out.shard == s].itertuples()) for s in range(24)]
     assert max(by) - min(by) <= 2 * max(len((t or "").encode()) + 8 for t in texts.values())
+
+
+@pytest.mark.parametrize("crowd", [2, 1000])
+def test_lines_of_crowded_tokens_meet_by_pairs(spark, monkeypatch, crowd):
+    """Few words make every token crowded; families of near copies and unrelated lines against brute force."""
+    import random
+
+    monkeypatch.setattr(line_dedup, "_CROWD", crowd)
+    draw, vocabulary = random.Random(4), [f"w{i}" for i in range(25)]
+    rows = []
+    for i in range(120):
+        lines = []
+        for _ in range(4):
+            line = draw.sample(vocabulary, draw.randint(1, 14))
+            lines.append(" ".join(line))
+            if draw.random() < 0.5:
+                line[draw.randrange(len(line))] = draw.choice(vocabulary)
+                lines.append(" ".join(line))
+        rows.append((i, "\n".join(lines)))
+    got = {r["doc_id"]: r["_removed"] for r in line_dedup.without_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    flat = [(i, p, frozenset(line.split())) for i, t in rows for p, line in enumerate(t.split("\n"))]
+    want = {i: [] for i, _ in rows}
+    for k, (i, p, tokens) in enumerate(flat):
+        if any(10 * len(tokens & before) >= 8 * len(tokens | before) for _, _, before in flat[:k]):
+            want[i].append(p)
+    assert got == want and sum(map(len, want.values())) > 100
