@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Marks of private use, in place of the first and the second name.
-ONE, TWO = "", ""
+ONE, TWO = "\ue000", "\ue001"
 _SENTENCE_ENDS = r"(?<=[.!?])\s+|;\s*"
 
 # What sentences say in each case. Words of a bond and of its end.

@@ -93,3 +93,15 @@ def scene_fingerprint(context: Column, lines: int = 2) -> Column:
     """First hex digits of the SHA-1 of the first non-empty context lines."""
     head = F.slice(F.filter(F.transform(F.split(context, "\n"), lambda x: F.trim(x)), lambda x: x != ""), 1, lines)
     return F.substring(F.sha1(F.array_join(head, "\n").cast("binary")), 1, 16)
+
+
+def chat_entry(messages: Column, name: Column, reference: Column, answering: str = "assistant", others: str = "用户") -> Column:
+    """``context, target`` of a chat: turns by ``answering`` are labelled with the character's name, all other turns
+    with ``others``; blank turns are left out. Null if there is no context, name or target.
+
+    ``messages`` is a list of records with ``role`` and ``text``.
+    """
+    told = F.filter(messages, lambda m: F.coalesce(F.trim(m["text"]), F.lit("")) != "")
+    lines = F.transform(told, lambda m: F.concat(F.when(m["role"] == answering, name).otherwise(F.lit(others)), F.lit(": "), F.trim(m["text"])))
+    whole = (F.size(told) > 0) & (F.trim(name) != "") & (F.trim(reference) != "")
+    return F.when(whole, F.struct(F.array_join(lines, "\n").alias("context"), F.trim(reference).alias("target")))

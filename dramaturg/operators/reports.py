@@ -72,25 +72,30 @@ def quota_sample(rows: DataFrame, quotas: DataFrame, method: str, stratum: str,
     return chosen.withColumn("filler", F.lit(False)).unionByName(rest.withColumn("filler", F.lit(True)))
 
 
-def drawn_with_replacement(sizes: DataFrame, name: str, n: str, weight: str, draws: int, batch: int, seed: int) -> DataFrame:
+def drawn_with_replacement(sizes: DataFrame, name: str, n: str, weight: str, draws: int, batch: int, seed: int, cells: int = 1024) -> DataFrame:
     """``draw, batch, name, row``: data sets by weight, rows uniformly inside; an incomplete last batch isn't drawn.
 
-    Draws are numbered rows with hashes as random numbers; the data set is found in an array of
-    cumulative weights (one entry a data set), so draws are made in parallel.
+    Draws are numbered rows with hashes as random numbers. Each data set owns a range of numbers as
+    long as its share of the weights; ranges are dealt to ``cells``, so draws find theirs by an
+    equality join, whatever the number of data sets. Data sets without rows or weight aren't drawn.
     """
     spark = sizes.sparkSession
-    table = sizes.agg(F.sort_array(F.collect_list(F.struct(F.col(name).alias("name"), F.col(n).alias("n"), F.col(weight).cast("double").alias("w")))).alias("t")).first()["t"]
-    total, at, steps = sum(r["w"] for r in table), 0.0, []
-    for r in table:
-        at += r["w"]
-        steps.append((r["name"], r["n"], at / total))
     uniform = lambda salt: F.pmod(F.xxhash64("draw", F.lit(seed), F.lit(salt)), F.lit(1 << 40)) / float(1 << 40)
-    chosen = F.lit(None)
-    for name_, size, upto in reversed(steps):
-        here = F.struct(F.lit(name_).alias("name"), F.lit(size).cast("bigint").alias("n"))
-        chosen = F.when(F.col("_u") < upto, here).otherwise(here if chosen is None or upto == steps[-1][2] else chosen)
-    made = spark.range(draws // batch * batch).withColumnRenamed("id", "draw").withColumn("_u", uniform(1)).withColumn("_c", chosen)
-    return made.select("draw", F.floor(F.col("draw") / batch).alias("batch"), F.col("_c.name").alias(name), F.floor(uniform(2) * F.col("_c.n")).alias("row"))
+    some = sizes.select(F.col(name).alias("_name"), F.col(n).cast("bigint").alias("_n"), F.col(weight).cast("double").alias("_w")).filter("_n > 0 and _w > 0")
+    # one row a data set: the table of ranges is small beside the draws
+    upto = Window.orderBy("_name").rowsBetween(Window.unboundedPreceding, 0)
+    total = F.sum("_w").over(Window.orderBy("_name").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    ranges = some.withColumns({"_high": F.sum("_w").over(upto) / total, "_at": F.row_number().over(Window.orderBy("_name"))})
+    ranges = ranges.withColumn("_low", F.coalesce(F.lag("_high").over(Window.orderBy("_name")), F.lit(0.0)))
+    ranges = ranges.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_low") * cells), F.least(F.floor(F.col("_high") * cells), F.lit(cells - 1)))))
+    made = spark.range(draws // batch * batch).withColumnRenamed("id", "draw").withColumn("_u", uniform(1)).withColumn("_cell", F.floor(F.col("_u") * cells))
+    drawn = made.join(ranges, "_cell").filter((F.col("_u") >= F.col("_low")) & (F.col("_u") < F.col("_high")))
+    return drawn.select("draw", F.floor(F.col("draw") / batch).alias("batch"), F.col("_name").alias(name), F.floor(uniform(2) * F.col("_n")).alias("row"))
+
+
+def first_rows(rows: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows in an order that tells all rows apart: a limit for trying things out, the same on every run."""
+    return rows.orderBy(*order).limit(n)
 
 
 def batches(rows: DataFrame, by: str, order: list[str], size: int) -> DataFrame:

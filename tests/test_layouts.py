@@ -103,4 +103,8 @@ def test_weighted_draws_are_as_asked(spark):
     assert len(rows) == 20_000 and abs(share - 0.75) < 0.02 and {r["row"] for r in rows if r["name"] == "a"} == set(range(10))
     assert max(r["row"] for r in rows) < 1000 and max(r["batch"] for r in rows) == 199
     again = R.drawn_with_replacement(sizes, "name", "n", "w", 20_050, 100, 3).filter(F.col("draw") < 5).collect()
-    assert again == rows[:5]
+    assert sorted(again) == sorted(rows)[:5]
+    many = spark.range(2000).select(F.col("id").cast("string").alias("name"), (F.col("id") % 7).alias("n"), (F.col("id") % 3).cast("double").alias("w"))
+    found = R.drawn_with_replacement(many, "name", "n", "w", 30_000, 100, 3).collect()
+    assert len(found) == 30_000 and len({r["name"] for r in found}) == sum(i % 7 > 0 and i % 3 > 0 for i in range(2000))
+    assert R.first_rows(many, ["name"], 3).count() == 3
