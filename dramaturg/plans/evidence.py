@@ -133,3 +133,60 @@ def borrowed_partner_votes(spark, sf_dir):
     cast = scenes.select("dataset").distinct().select("dataset", F.explode(F.array(*map(F.lit, NAMES[:4]))).alias("name"))
     changes = _changes(spark, sf_dir, guest(F.col("event_id")), "boyfriend")
     return C.borrowed_by_votes(changes, scenes, cast)
+
+
+#: Days, high evidence and rest by tier; a character of the table has little high evidence.
+CITED_GATES = {"low": (0, 1, 2), "moderate": (3, 0, 3), "core": (6, 2, 16)}
+_EVENT = """ev AS (SELECT user_id // 40 AS dataset, user_id AS "character", CAST(day(ts) AS INT) AS ep, event_id, event_type, value,
+  's' || lpad(CAST(1 + day(ts) // 16 AS VARCHAR), 2, '0') || '_e' || lpad(CAST(day(ts) AS VARCHAR), 2, '0') || '_c' || CASE WHEN event_id < 10 THEN '0' ELSE '' END || event_id AS scene_id FROM events),
+t AS (SELECT dataset, "character", ep, scene_id, event_id, CASE WHEN value >= 150 THEN 'high' ELSE 'medium' END AS sig,
+  CASE WHEN event_type = 'purchase' THEN 'consumed' WHEN value < 150 AND ep < 6 THEN 'expired' ELSE 'active' END AS status FROM ev WHERE event_type <> 'signup' AND value >= 40)"""
+
+
+@query(f"""WITH {_EVENT}, p AS (SELECT dataset, "character", ep, event_id AS proposal_id, CASE event_id % 5 WHEN 0 THEN 'mood' WHEN 1 THEN 'goal' WHEN 2 THEN 'belief' WHEN 3 THEN 'food' ELSE 'shadow' END AS field,
+  CASE event_id % 5 WHEN 0 THEN 'low' WHEN 1 THEN 'moderate' WHEN 2 THEN 'core' WHEN 3 THEN 'low' END AS resistance, CASE WHEN event_id % 3 > 0 THEN ep - event_id % 7 END AS updated_at, event_id // 5 % 7 AS way,
+  CASE event_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 9 WHEN 2 THEN 29 WHEN 3 THEN 3 ELSE 2 END AS reach FROM ev WHERE event_type = 'signup'),
+m AS (SELECT *, count(*) FILTER (status = 'active' AND sig = 'medium') OVER (PARTITION BY dataset, "character" ORDER BY ep, scene_id ROWS UNBOUNDED PRECEDING) AS nth FROM t),
+c AS (SELECT p.*, m.scene_id, m.ep AS scene_ep, m.sig FROM p JOIN m ON m.dataset = p.dataset AND m."character" = p."character" AND m.ep BETWEEN p.ep - p.reach AND p.ep
+  WHERE m.event_id % 6 <> 5 AND ((m.sig = 'high' AND (m.status = 'active' OR p.resistance IN ('moderate', 'core')))
+    OR (m.sig = 'medium' AND m.status = 'active' AND m.nth > (SELECT count(*) FROM t x WHERE x.dataset = p.dataset AND x."character" = p."character" AND x.sig = 'medium' AND x.status = 'active' AND x.ep <= p.ep) - 20))),
+g AS (SELECT proposal_id, string_agg(scene_id, ',' ORDER BY scene_id) AS ids, count(DISTINCT scene_ep) AS episodes, count(*) FILTER (sig = 'high') AS high, count(*) FILTER (sig = 'medium') AS medium FROM c GROUP BY 1)
+SELECT p.dataset, p."character", p.ep, p.proposal_id, field, coalesce(ids, '') AS ids, CASE WHEN ids IS NULL THEN 'no_evidence' WHEN resistance IS NULL THEN 'no_field'
+  WHEN resistance = 'low' AND high < 1 AND medium < 2 THEN 'few_events' WHEN resistance = 'moderate' AND episodes < 3 OR resistance = 'core' AND episodes < 6 THEN 'few_episodes' WHEN resistance = 'core' AND high < 2 THEN 'few_high'
+  WHEN p.ep - updated_at < CASE resistance WHEN 'low' THEN 2 WHEN 'moderate' THEN 3 ELSE 16 END THEN 'cooldown'
+  WHEN way = 0 THEN 'empty' WHEN way = 1 THEN 'too_short' WHEN way = 2 THEN 'forgets' WHEN way = 3 THEN 'no_change' ELSE 'accepted' END AS decision
+FROM p LEFT JOIN g USING (proposal_id)""")
+def update_gate_cited(spark, sf_dir):
+    """Proposals that cite scenes in four ways of writing: ids allowed by tier, thresholds, rest, and the value's own checks."""
+    from dramaturg.operators import gate as G
+
+    e = read(spark, sf_dir, "events")
+    day = F.dayofmonth("ts")
+    two = lambda c: F.when(F.length(c.cast("string")) < 2, F.lpad(c.cast("string"), 2, "0")).otherwise(c.cast("string"))
+    scene = F.concat(F.lit("s"), two(F.floor(1 + day / 16)), F.lit("_e"), two(day), F.lit("_c"), two(F.col("event_id")))
+    e = e.select(F.floor(F.col("user_id") / 40).alias("dataset"), F.col("user_id").alias("character"), day.alias("ep"), "event_id", "event_type", "value", scene.alias("scene_id"))
+    told = e.filter("event_type <> 'signup' and value >= 40")
+    status = F.when(F.col("event_type") == "purchase", "consumed").when((F.col("value") < 150) & (F.col("ep") < 6), "expired").otherwise("active")
+    evidence = told.select("dataset", "character", "scene_id", "ep", F.when(F.col("value") >= 150, "high").otherwise("medium").alias("significance"), status.alias("status"))
+    i = F.col("event_id")
+    n, way = i % 5, F.floor(i / 5) % 7
+    old = F.lit("walks along the harbour at night")
+    new = (
+        F.when(way == 0, "  ").when(way == 1, "walks").when(way == 2, "entirely different pastimes and meals").when(way == 3, F.concat(F.lit(" "), old)).when(way == 4, F.concat(old, F.lit(", chess"))).otherwise("chess")
+    )
+    asked = e.filter("event_type = 'signup'").select(
+        "dataset", "character", "ep", i.alias("proposal_id"), F.element_at(F.array(*map(F.lit, ["mood", "goal", "belief", "food", "shadow"])), (n + 1).cast("int")).alias("field"),
+        F.when(n.isin(0, 3), "low").when(n == 1, "moderate").when(n == 2, "core").alias("resistance"), F.when(i % 3 > 0, F.col("ep") - i % 7).alias("updated_at"),
+        F.when(way == 6, "").otherwise(old).alias("old_value"), new.alias("new_value"), F.when(way == 5, "replacement").when(way == 4, "incremental").alias("merge_type"),
+        F.when(n == 0, 1).when(n == 1, 9).when(n == 2, 29).when(n == 3, 3).otherwise(2).alias("reach"),
+    )
+    # each way of writing an id, and one that names none
+    written = (
+        F.when(i % 6 == 0, F.col("scene_id")).when(i % 6 == 1, F.upper(F.replace("scene_id", F.lit("_e"), F.lit("E")))).when(i % 6 == 2, F.concat(F.lit("Scene "), F.replace("scene_id", F.lit("_"), F.lit("-"))))
+        .when(i % 6 == 3, F.concat(F.lit("see "), F.replace("scene_id", F.lit("_"), F.lit(" ")), F.lit(", twice "), F.col("scene_id"))).when(i % 6 == 4, F.concat(F.lit("scene="), F.col("scene_id"))).otherwise("none")
+    )
+    ids = told.select("dataset", "character", F.col("ep").alias("_ep"), "scene_id", written.alias("_w"))
+    reach = asked.select("dataset", "character", "proposal_id", F.explode(F.sequence(F.col("ep") - F.col("reach"), "ep")).alias("_ep"))
+    cited = reach.join(ids, ["dataset", "character", "_ep"]).groupBy("proposal_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("scene_id", "_w"))), lambda s: s["_w"]).alias("cited"))
+    asked = asked.drop("reach").join(cited, "proposal_id", "left").withColumn("cited", F.coalesce("cited", F.array().cast("array<string>")))
+    return G.decided(asked, evidence, CITED_GATES).withColumn("ids", F.array_join("ids", ","))
