@@ -15,6 +15,8 @@ _LAST = 2**63 - 1
 _SHARES = (17, 15, 13, 11)
 #: Lines with one token from which on they may be too many to be compared with each other.
 _CROWD = 128
+#: Lines with one token from which on they meet by pairs of tokens only; so an entry of the index meets a bounded number of others by a token.
+_DENSE = 4096
 #: Rows (a few longs each) that a broadcast may have.
 _NAMED = 500_000
 #: Lines of more tokens carry a second bitmap.
@@ -35,7 +37,7 @@ def _plain(text: Column) -> Column:
 
 
 def _frequent(lines: DataFrame) -> tuple[list[list[int]], DataFrame]:
-    """The tokens of each class of frequency, the largest class first, and all of ``_CROWD`` lines or more.
+    """The tokens of each class of frequency, the largest class first, and ``token, dense`` of all of ``_CROWD`` lines or more.
 
     All tokens of all lines are counted. The classes are bounded; the crowded tokens stay a table.
     """
@@ -43,7 +45,7 @@ def _frequent(lines: DataFrame) -> tuple[list[list[int]], DataFrame]:
     counts = cut(counts.filter(F.col("count") > 1))
     total = lines.agg(F.sum("n").alias("n")).first()["n"] or 0
     often = counts.filter(F.col("count") * (1 << _SHARES[0]) >= total).collect()
-    return [sorted(r["token"] for r in often if r["count"] << share >= total) for share in _SHARES], counts.filter(F.col("count") >= _CROWD).select("token")
+    return [sorted(r["token"] for r in often if r["count"] << share >= total) for share in _SHARES], counts.filter(F.col("count") >= min(_CROWD, _DENSE)).select("token", (F.col("count") >= _DENSE).alias("dense"))
 
 
 def _prefix_length(percent: int) -> Column:
@@ -171,9 +173,8 @@ def _line_duplicates(docs: DataFrame, percent: int, heads: int, slices: int, id_
         return of.select("token", "r", m.alias("m"), "b", "c", *more)
 
     able = firsts.filter(F.col("n") >= least)
-    crowded = _named(crowded)
     first = F.slice("prefix", F.lit(1), _prefix_length(percent))
-    few = able.select("line", "r", "n", "b", "c", F.lit(True).alias("open"), F.posexplode(first).alias("i", "token")).join(crowded, "token")
+    few = able.select("line", "r", "n", "b", "c", F.lit(True).alias("open"), F.posexplode(first).alias("i", "token")).join(_named(crowded.select("token")), "token")
     few = entries(few, "line")
     salt = F.pmod(F.xxhash64("r"), F.lit(heads))
     early = few.groupBy("token", salt.alias("salt")).agg(F.min(F.struct("line", "r", "m", "b", "c")).alias("e")).select("token", "e.*")
@@ -182,10 +183,10 @@ def _line_duplicates(docs: DataFrame, percent: int, heads: int, slices: int, id_
     marked = able.join(_named(settled.withColumn("settled", F.lit(True))), "r", "left").withColumn("open", F.col("settled").isNull())
     each = marked.select("r", "n", "b", "c", "open", "prefix", F.posexplode(first).alias("i", "token"))
     if percent * least > 100:  # any two similar sets share two tokens
-        each = each.join(crowded.withColumn("crowded", F.lit(True)), "token", "left")
+        each = each.join(_named(crowded.filter("dense")), "token", "left")
         alone = F.array(F.struct(F.col("token").alias("key"), F.col("i").alias("at")))
         second = F.transform(F.slice("prefix", F.col("i") + 2, F.size("prefix")), lambda t, k: F.struct(F.xxhash64("token", t).alias("key"), (F.col("i") + 1 + k).alias("at")))
-        each = each.select("r", "n", "b", "c", "open", F.inline(F.when(F.col("crowded"), second).otherwise(alone)).alias("token", "i"))
+        each = each.select("r", "n", "b", "c", "open", F.inline(F.when(F.col("dense"), second).otherwise(alone)).alias("token", "i"))
     each = entries(each)
     pairs = []
     for part in range(slices):

@@ -534,12 +534,13 @@ def test_pipeline_keeps_what_its_stages_decide(spark):
     assert max(by) - min(by) <= 2 * max(len((t or "").encode()) + 8 for t in texts.values())
 
 
-@pytest.mark.parametrize("crowd", [2, 1000])
-def test_lines_of_crowded_tokens_meet_by_pairs(spark, monkeypatch, crowd):
+@pytest.mark.parametrize(("crowd", "dense"), [(2, 2), (2, 60), (1000, 40), (1000, 1000)])
+def test_lines_of_dense_tokens_meet_by_pairs(spark, monkeypatch, crowd, dense):
     """Few words make every token crowded; families of near copies and unrelated lines against brute force."""
     import random
 
     monkeypatch.setattr(line_dedup, "_CROWD", crowd)
+    monkeypatch.setattr(line_dedup, "_DENSE", dense)
     draw, vocabulary = random.Random(4), [f"w{i}" for i in range(25)]
     rows = []
     for i in range(120):
