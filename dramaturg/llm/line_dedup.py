@@ -15,7 +15,7 @@ _LAST = 2**63 - 1
 _SHARES = (17, 15, 13, 11)
 #: Lines with one token from which on they may be too many to be compared with each other.
 _CROWD = 128
-#: Lines with one token from which on they meet by pairs of tokens only; so an entry of the index meets a bounded number of others by a token.
+#: Lines with one prefix token from which on they meet by pairs of tokens only; so an entry of the index meets a bounded number of others by a token.
 _DENSE = 4096
 #: Rows (a few longs each) that a broadcast may have.
 _NAMED = 500_000
@@ -37,7 +37,7 @@ def _plain(text: Column) -> Column:
 
 
 def _frequent(lines: DataFrame) -> tuple[list[list[int]], DataFrame]:
-    """The tokens of each class of frequency, the largest class first, and ``token, dense`` of all of ``_CROWD`` lines or more.
+    """The tokens of each class of frequency, the largest class first, and all of ``_CROWD`` lines or more.
 
     All tokens of all lines are counted. The classes are bounded; the crowded tokens stay a table.
     """
@@ -45,7 +45,7 @@ def _frequent(lines: DataFrame) -> tuple[list[list[int]], DataFrame]:
     counts = cut(counts.filter(F.col("count") > 1))
     total = lines.agg(F.sum("n").alias("n")).first()["n"] or 0
     often = counts.filter(F.col("count") * (1 << _SHARES[0]) >= total).collect()
-    return [sorted(r["token"] for r in often if r["count"] << share >= total) for share in _SHARES], counts.filter(F.col("count") >= min(_CROWD, _DENSE)).select("token", (F.col("count") >= _DENSE).alias("dense"))
+    return [sorted(r["token"] for r in often if r["count"] << share >= total) for share in _SHARES], counts.filter(F.col("count") >= _CROWD).select("token")
 
 
 def _prefix_length(percent: int) -> Column:
@@ -80,7 +80,7 @@ def _bitmaps() -> list[Column]:
 
 
 def _joined(x: DataFrame, y: DataFrame, percent: int, order: Column) -> DataFrame:
-    """Distinct pairs ``x, y`` of lines that share a token (or a pair of them) and pass all filters.
+    """Distinct pairs ``x, y`` of lines that share a token (or a pair of them) and pass all filters; of two settled lines none.
 
     Length and positional filter: of the tokens before the shared one at most min(i, j) are shared,
     and after it at most as many as the shorter rest has; that must be enough. Bitmap filter: sets
@@ -94,12 +94,13 @@ def _joined(x: DataFrame, y: DataFrame, percent: int, order: Column) -> DataFram
     n, m = F.shiftright("x_m", 32), F.shiftright("y_m", 32)
     i, j = place("x"), place("y")
     # the order of the tests is that of their cost and power
+    open_ = F.col("x_m").bitwiseOR(F.col("y_m")).bitwiseAND(F.lit(1)) == 1
     fits = F.least(n, m) * 100 >= F.greatest(n, m) * percent
     could = (F.least(i, j) + F.least(n - i, m - j)) * (100 + percent) >= (n + m) * percent
     whole, second = F.col("x_b").bitwiseXOR(F.col("y_b")), F.col("x_c").bitwiseXOR(F.col("y_c"))
     few = lambda bits: bits * (100 + percent) <= (n + m) * (100 - percent)
     halves = (n <= _LONG) | (m <= _LONG) | few(F.bit_count(second) + F.bit_count(whole.bitwiseXOR(second)))
-    pairs = x.join(y, "token").filter(order & fits & could & few(F.bit_count(whole)) & halves)
+    pairs = x.join(y, "token").filter(order & fits & could & few(F.bit_count(whole)) & halves & open_)
     return pairs.select(F.least("x_r", "y_r").alias("x"), F.greatest("x_r", "y_r").alias("y")).distinct()
 
 
@@ -174,7 +175,7 @@ def _line_duplicates(docs: DataFrame, percent: int, heads: int, slices: int, id_
 
     able = firsts.filter(F.col("n") >= least)
     first = F.slice("prefix", F.lit(1), _prefix_length(percent))
-    few = able.select("line", "r", "n", "b", "c", F.lit(True).alias("open"), F.posexplode(first).alias("i", "token")).join(_named(crowded.select("token")), "token")
+    few = able.select("line", "r", "n", "b", "c", F.lit(True).alias("open"), F.posexplode(first).alias("i", "token")).join(_named(crowded), "token")
     few = entries(few, "line")
     salt = F.pmod(F.xxhash64("r"), F.lit(heads))
     early = few.groupBy("token", salt.alias("salt")).agg(F.min(F.struct("line", "r", "m", "b", "c")).alias("e")).select("token", "e.*")
@@ -182,8 +183,9 @@ def _line_duplicates(docs: DataFrame, percent: int, heads: int, slices: int, id_
     settled = cut(_confirm(near, firsts, lines, percent))
     marked = able.join(_named(settled.withColumn("settled", F.lit(True))), "r", "left").withColumn("open", F.col("settled").isNull())
     each = marked.select("r", "n", "b", "c", "open", "prefix", F.posexplode(first).alias("i", "token"))
-    if percent * least > 100:  # any two similar sets share two tokens
-        each = each.join(_named(crowded.filter("dense")), "token", "left")
+    dense = cut(able.select(F.explode(first).alias("token")).groupBy("token").count().filter(F.col("count") >= _DENSE).select("token", F.lit(True).alias("dense")))
+    if percent * least > 100 and not dense.isEmpty():  # any two similar sets share two tokens
+        each = each.join(_named(dense), "token", "left")
         alone = F.array(F.struct(F.col("token").alias("key"), F.col("i").alias("at")))
         second = F.transform(F.slice("prefix", F.col("i") + 2, F.size("prefix")), lambda t, k: F.struct(F.xxhash64("token", t).alias("key"), (F.col("i") + 1 + k).alias("at")))
         each = each.select("r", "n", "b", "c", "open", F.inline(F.when(F.col("dense"), second).otherwise(alone)).alias("token", "i"))
@@ -191,9 +193,7 @@ def _line_duplicates(docs: DataFrame, percent: int, heads: int, slices: int, id_
     pairs = []
     for part in range(slices):
         some = each.filter(F.pmod("token", F.lit(slices)) == part)
-        # an open line meets all others, one that is open too only in one order
-        is_open = lambda m: F.col(m).bitwiseAND(F.lit(1)) == 1
-        pairs.append(cut(_joined(some.filter(is_open("m")), some, percent, (F.col("x_r") < F.col("y_r")) | ~is_open("y_m"))))
+        pairs.append(cut(_joined(some, some, percent, F.col("x_r") < F.col("y_r"))))
     rest = cut(reduce(DataFrame.unionAll, pairs).distinct().join(near, ["x", "y"], "left_anti"))
     similar = settled.unionAll(_confirm(rest, firsts, lines, percent)).distinct().withColumn("similar", F.lit(True))
     decided = firsts.select("r", "s0", "s1", "n", F.col("line").alias("first")).join(similar, "r", "left")
