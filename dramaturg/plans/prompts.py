@@ -85,9 +85,9 @@ def descriptor_lists(spark, sf_dir):
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 0 ELSE 1 END AS learned, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE 'neutral' END AS emotion,
-  CAST(CASE WHEN p_size = 0 THEN 3 ELSE least(10, greatest(1, p_size - 5)) END AS INT) AS intensity, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE CAST(p_size AS VARCHAR) END AS job FROM part WHERE p_size <> 5""")
+  CAST(CASE WHEN p_size = 5 THEN 3 ELSE least(10, greatest(1, p_size - 5)) END AS INT) AS intensity, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE CAST(p_size AS VARCHAR) END AS job FROM part""")
 def coerced_updates(spark, sf_dir):
-    p = read(spark, sf_dir, "part").filter("p_size <> 5")
+    p = read(spark, sf_dir, "part")
     learned = F.when(F.col("p_size") % 3 == 0, '""').otherwise(F.concat(F.lit('"'), "p_brand", F.lit('", ""')))
     emotion = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit('"'), "p_brand", F.lit('"'))).otherwise("null")
     text = F.concat(F.lit('{"session": {"learned_info": ['), learned, F.lit(']}, "moment": {"emotion": '), emotion, F.lit(', "emotion_intensity": '), (F.col("p_size") - 5).cast("string"), F.lit("}}"))
