@@ -38,6 +38,11 @@ def summary(rows: DataFrame, by: list[str], value: str, digits: int = 4) -> Data
     )
 
 
+def exact_mean(value: str, digits: int = 6) -> Column:
+    """Mean of values of at most ``digits`` decimals, the same in whatever order rows come, so that equal samples have equal means."""
+    return F.try_divide(F.sum(F.col(value).cast(f"decimal(18,{digits})")).cast("double"), F.count(value))
+
+
 def pairs(rows: DataFrame, key: list[str], method: str, value: str, baseline: str) -> DataFrame:
     """``method, delta`` for every key that both the method and the baseline have."""
     base = rows.filter(F.col(method) == baseline).select(*key, F.col(value).alias("_base"))

@@ -96,13 +96,14 @@ def min_count_roles(spark, sf_dir):
     return read(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("role")).agg(F.count(F.lit(1)).alias("n")).filter("n >= 100")
 
 
-_DELTAS = """m AS (SELECT user_id, event_type AS method, avg(value) AS v FROM events GROUP BY 1, 2),
-d AS (SELECT a.user_id, a.method, a.v - b.v AS delta FROM m a JOIN m b USING (user_id) WHERE b.method = 'view' AND a.method <> 'view')"""
+# sums in decimals don't depend on the order of rows, and gaps that agree to nine digits tie
+_DELTAS = """m AS (SELECT user_id, event_type AS method, sum(value::DECIMAL(18, 6))::DOUBLE / count(value) AS v FROM events GROUP BY 1, 2),
+d AS (SELECT a.user_id, a.method, round(a.v - b.v, 9) AS delta FROM m a JOIN m b USING (user_id) WHERE b.method = 'view' AND a.method <> 'view')"""
 
 
 def _deltas(spark, sf_dir):
-    means = read(spark, sf_dir, "events").groupBy("user_id", F.col("event_type").alias("method")).agg(F.avg("value").alias("v"))
-    return E.pairs(means, ["user_id"], "method", "v", "view")
+    means = read(spark, sf_dir, "events").groupBy("user_id", F.col("event_type").alias("method")).agg(E.exact_mean("value").alias("v"))
+    return E.pairs(means, ["user_id"], "method", "v", "view").withColumn("delta", F.round("delta", 9))
 
 
 @query(f"""WITH {_DELTAS} SELECT method, count(*) AS n, round(avg(delta), 6) AS delta, round(avg(delta) / stddev_samp(delta), 6) AS cohen_d,
