@@ -72,11 +72,12 @@ def with_evidence(pool: DataFrame, scenes: DataFrame) -> DataFrame:
     """``pool`` with ``evidence``: cited scenes in the order of citation, those that aren't there marked missing.
 
     ``scenes``: ``scene_id, summary, significance``. An update that cites nothing has an empty list.
-    Updates with one ``update_id`` (the same change told twice) share their evidence.
+    Updates with one ``update_id`` (the same change told twice) share their evidence: all that either
+    cites, by place of citation, then by id.
     """
     cited = pool.select("update_id", F.posexplode("evidence_ids").alias("_at", "scene_id"))
-    found = cited.join(scenes.select("scene_id", "summary", "significance"), "scene_id", "left").groupBy("update_id", "_at").agg(F.first(F.struct("scene_id", "summary", "significance")).alias("_s"))
-    entry = F.struct("_at", F.col("_s.scene_id"), F.coalesce("_s.summary", F.lit("")).alias("summary"), "_s.significance", F.col("_s.summary").isNull().alias("missing"))
+    found = cited.join(scenes.select("scene_id", "summary", "significance"), "scene_id", "left").groupBy("update_id", "_at", "scene_id").agg(F.min(F.struct("summary", "significance")).alias("_s"))
+    entry = F.struct("_at", "scene_id", F.coalesce("_s.summary", F.lit("")).alias("summary"), "_s.significance", F.col("_s.summary").isNull().alias("missing"))
     told = found.groupBy("update_id").agg(F.sort_array(F.collect_set(entry)).alias("_e"))
     parts = F.transform("_e", lambda e: F.struct(e["scene_id"].alias("scene_id"), e["summary"].alias("summary"), e["significance"].alias("significance"), e["missing"].alias("missing")))
     none = F.array().cast("array<struct<scene_id:bigint,summary:string,significance:string,missing:boolean>>")

@@ -73,15 +73,18 @@ def field_update_pool(spark, sf_dir):
     return _pool(spark, sf_dir)
 
 
-@query(f"""WITH {_POOL}, c AS (SELECT update_id, any_value(evidence_ids) AS ids FROM p GROUP BY update_id HAVING len(any_value(evidence_ids)) > 0),
-e AS (SELECT update_id, unnest(ids) AS scene_id, generate_subscripts(ids, 1) AS at_place FROM c)
-SELECT update_id, string_agg(scene_id || ':' || coalesce(p_name, '') || CASE WHEN p_name IS NULL THEN '!' ELSE '' END, ',' ORDER BY at_place) AS told FROM e LEFT JOIN part ON p_partkey = scene_id GROUP BY update_id""")
+@query(f"""WITH {_POOL}, c AS (SELECT update_id, unnest(evidence_ids) AS scene_id, generate_subscripts(evidence_ids, 1) AS at_place FROM p),
+e AS (SELECT DISTINCT update_id, scene_id, at_place FROM c)
+SELECT update_id, string_agg(scene_id || ':' || coalesce(p_name, '') || CASE WHEN p_name IS NULL THEN '!' ELSE '' END, ',' ORDER BY at_place, scene_id) AS told FROM e LEFT JOIN part ON p_partkey = scene_id GROUP BY update_id""")
 def pool_evidence(spark, sf_dir):
-    """Cited ids of the pool with what they say, parts standing for scenes; those that aren't there are marked."""
+    """Cited ids of the pool with what they say, parts standing for scenes; those that aren't there are marked.
+
+    An update told more than once has all that was cited for it.
+    """
     scenes = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("scene_id"), F.col("p_name").alias("summary"), F.col("p_brand").alias("significance"))
-    rows = P.with_evidence(_pool(spark, sf_dir).filter(F.size("evidence_ids") > 0).dropDuplicates(["update_id"]), scenes)
+    rows = P.with_evidence(_pool(spark, sf_dir).filter(F.size("evidence_ids") > 0).select("update_id", "evidence_ids"), scenes)
     told = F.array_join(F.transform("evidence", lambda e: F.concat(e["scene_id"].cast("string"), F.lit(":"), e["summary"], F.when(e["missing"], "!").otherwise(""))), ",")
-    return rows.select("update_id", told.alias("told"))
+    return rows.select("update_id", told.alias("told")).distinct()
 
 
 @query("""SELECT p_partkey, 'I am ' || upper(p_name) AS name, CASE WHEN p_size % 3 > 0 THEN [upper(p_brand), NULL, 'X'] END AS tags, upper(p_type) AS deep, p_size AS n, 'key' AS key FROM part""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dramaturg.operators import pool
 from dramaturg.plans import evaluation
 
 
@@ -13,3 +14,13 @@ def test_equal_samples_in_another_order_tie(spark, tmp_path):
     assert evaluation.paired_comparison(spark, str(tmp_path)).first()["ties"] == 1
     got = evaluation.wilcoxon_w(spark, str(tmp_path)).first()
     assert (got["n"], got["w_plus"], got["w_minus"]) == (3, 4.5, 1.5)
+
+
+def test_an_update_told_twice_has_all_that_was_cited(spark):
+    told = [("a", [3, 9]), ("a", [3, 1]), ("b", [2, 2]), ("c", [])]
+    scenes = spark.createDataFrame([(1, "one", "s"), (2, "two", "s"), (3, "three", "s")], "scene_id bigint, summary string, significance string")
+    want = {"a": [(3, False), (1, False), (9, True)], "b": [(2, False), (2, False)], "c": []}
+    for rows in (told, told[::-1]):
+        got = pool.with_evidence(spark.createDataFrame(rows, "update_id string, evidence_ids array<bigint>").repartition(2), scenes).collect()
+        assert len(got) == 4
+        assert all([(e["scene_id"], e["missing"]) for e in r["evidence"]] == want[r["update_id"]] for r in got)
