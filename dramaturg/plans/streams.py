@@ -27,11 +27,11 @@ def _events(spark, sf_dir):
     return read(spark, sf_dir, "events").withColumnRenamed("user_id", "character").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _run(rows, name, make, late_days: int = 0, **how):
+def _run(rows, name, make, late_days: int = 0, files: int | None = None, **how):
     """The stream over the rows in parts, and at last a row by which all days of the table are over, ``late_days`` of delay included."""
     end = F.date_add(F.to_date(F.max("ts")), 1 + late_days).cast("timestamp")
     last = ending(rows, "ts", end, character=-1, event_id=-1, kind="end")
-    return Arrivals(rows, by_time(rows, "ts", PARTS), PARTS, name, last).run(make, **how)
+    return Arrivals(rows, by_time(rows, "ts", PARTS), PARTS, name, last, files).run(make, **how)
 
 
 @query("""WITH e AS (SELECT event_id, user_id AS "character", ts, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS day, value,
@@ -51,7 +51,7 @@ def evidence_expiry_stream(spark, sf_dir):
 def scene_batches_stream(spark, sf_dir):
     """Batches of twelve over triggers of a bounded number of files; all parts are there, a day waits until it is over."""
     rows = _events(spark, sf_dir).select("character", "event_id", "ts")
-    return _run(rows, "scenes", lambda arriving: V.scene_batches(arriving, 12, "12 days"), 12, restart=False, files_per_trigger=2)
+    return _run(rows, "scenes", lambda arriving: V.scene_batches(arriving, 12, "12 days"), 12, files=2, restart=False, files_per_trigger=2)
 
 
 def _gate_sql() -> str:
