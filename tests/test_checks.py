@@ -95,3 +95,23 @@ def test_rater_mismatch(spark):
 def test_sessions(spark):
     e = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:10:00"), (1, "2024-01-01 02:00:00")], "u int, t string").withColumn("t", F.to_timestamp("t"))
     assert sorted(r["n"] for r in sessions(e, "u", "t").collect()) == [1, 2]
+
+
+def test_top_k_is_bounded_in_memory_and_keeps_ties_over_tiles():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    base = np.random.default_rng(1).normal(size=(500, 8))
+    vectors = np.tile(base, (8, 1))  # each vector comes eight times
+    ids, queries = np.arange(4000), np.arange(0, 4000, 4)
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(list(vectors))], names=["vec_id", "embedding"])
+    matrix = vectors[queries] / np.linalg.norm(vectors[queries], axis=1, keepdims=True)
+    tracemalloc.start()
+    got = list(retrieval._best(iter([batch]), queries, matrix, None, 5))[0].to_pandas()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24e6  # all products at once are 32 MB, their order as much again
+    found = got.groupby("query_id")["vec_id"].apply(sorted)
+    assert all(found[q] == [i for i in range(q % 500, 4000, 500) if i != q][:5] for q in queries)
