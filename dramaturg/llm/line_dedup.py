@@ -13,8 +13,8 @@ _LAST = 2**63 - 1
 #: Classes of frequency: a token is in class c if it holds at least one of 2**_SHARES[c] of all
 #: occurrences, so that a class lists at most 2**_SHARES[c] tokens. The other tokens are the rarest.
 _SHARES = (17, 15, 13, 11)
-#: Lines with one token from which on they may be too many to be compared with each other.
-_CROWD = 128
+#: Lines with the same three tokens at an end of their order of hashes from which on they may be a family of near copies.
+_CROWD = 8
 #: Lines with one prefix token from which on they meet by pairs of tokens only; so an entry of the index meets a bounded number of others by a token.
 _DENSE = 4096
 #: Rows (a few longs each) that a broadcast may have.
@@ -37,15 +37,15 @@ def _plain(text: Column) -> Column:
 
 
 def _frequent(lines: DataFrame) -> tuple[list[list[int]], DataFrame]:
-    """The tokens of each class of frequency, the largest class first, and all of ``_CROWD`` lines or more.
+    """The tokens of each class of frequency, the largest class first, and all of ``_DENSE`` lines or more.
 
-    All tokens of all lines are counted. The classes are bounded; the crowded tokens stay a table.
+    All tokens of all lines are counted. The classes are bounded; the tokens of many lines stay a table.
     """
     counts = lines.select(F.explode("tokens").alias("token")).groupBy("token").count()
     counts = cut(counts.filter(F.col("count") > 1))
     total = lines.agg(F.sum("n").alias("n")).first()["n"] or 0
     often = counts.filter(F.col("count") * (1 << _SHARES[0]) >= total).collect()
-    return [sorted(r["token"] for r in often if r["count"] << share >= total) for share in _SHARES], counts.filter(F.col("count") >= _CROWD).select("token")
+    return [sorted(r["token"] for r in often if r["count"] << share >= total) for share in _SHARES], counts.filter(F.col("count") >= _DENSE).select("token")
 
 
 def _prefix_length(percent: int) -> Column:
@@ -53,6 +53,16 @@ def _prefix_length(percent: int) -> Column:
     return F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
 
 
+def _shared_prefix(least: Column, percent: int) -> Column:
+    """As :func:`_prefix_length`, of those similar lines only that have ``least`` tokens or more: sets of n and m tokens share t / (1 + t) (n + m) of them."""
+    return F.col("n") - F.ceil((F.col("n") + least) * percent / (100 + percent)).cast("int") + 1
+
+
+def _size_class(n: Column, percent: int) -> Column:
+    """Sizes by powers of 1 / t: those of similar lines are in one class or in two next to each other."""
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(100 / percent))).cast("int") if percent < 100 else n
+
+
 def _with_prefix(lines: DataFrame, frequent: list[list[int]], percent: int) -> DataFrame:
     """``lines`` with ``prefix``: the first tokens of each line in order of rarity, and one more.
 
@@ -79,29 +89,34 @@ def _bitmaps() -> list[Column]:
     return [F.expr(f"aggregate(tokens, 0L, (a, t) -> {flip})").alias("b"), F.when(F.col("n") > _LONG, second).otherwise(F.lit(0)).alias("c")]
 
 
-def _joined(x: DataFrame, y: DataFrame, percent: int, order: Column) -> DataFrame:
-    """Distinct pairs ``x, y`` of lines that share a token (or a pair of them) and pass all filters; of two settled lines none.
+def _joined(x: DataFrame, y: DataFrame, percent: int, by_size: bool) -> DataFrame:
+    """Distinct pairs of lines (``xk, xt`` and ``yk, yt``, the earlier one first) that share a ``token`` and pass all filters; none whose later line is settled.
 
     Length and positional filter: of the tokens before the shared one at most min(i, j) are shared,
     and after it at most as many as the shorter rest has; that must be enough. Bitmap filter: sets
     of similarity t differ in at most (1 - t) / (1 + t) (n + m) tokens, and each bit in which two
     bitmaps differ is due to a token of its own that only one set has. Bitmaps of two long lines
-    are compared by halves.
+    are compared by halves. ``by_size``: x is the smaller line, or the
+    earlier one of two equal sizes.
     """
-    names = ["r", "m", "b", "c"]
+    names = ["k", "t", "m", "b", "c"]
     x, y = x.select("token", *[F.col(c).alias(f"x_{c}") for c in names]), y.select("token", *[F.col(c).alias(f"y_{c}") for c in names])
     place = lambda side: F.shiftright(F.col(f"{side}_m").bitwiseAND(F.lit(0xFFFFFFFF)), 1)
     n, m = F.shiftright("x_m", 32), F.shiftright("y_m", 32)
     i, j = place("x"), place("y")
     # the order of the tests is that of their cost and power
-    open_ = F.col("x_m").bitwiseOR(F.col("y_m")).bitwiseAND(F.lit(1)) == 1
+    earlier = (F.col("x_k") < F.col("y_k")) | ((F.col("x_k") == F.col("y_k")) & (F.col("x_t") < F.col("y_t")))
+    other = (F.col("x_k") != F.col("y_k")) | (F.col("x_t") != F.col("y_t"))
+    open_ = F.when(earlier, F.col("y_m")).otherwise(F.col("x_m")).bitwiseAND(F.lit(1)) == 1
     fits = F.least(n, m) * 100 >= F.greatest(n, m) * percent
     could = (F.least(i, j) + F.least(n - i, m - j)) * (100 + percent) >= (n + m) * percent
     whole, second = F.col("x_b").bitwiseXOR(F.col("y_b")), F.col("x_c").bitwiseXOR(F.col("y_c"))
     few = lambda bits: bits * (100 + percent) <= (n + m) * (100 - percent)
     halves = (n <= _LONG) | (m <= _LONG) | few(F.bit_count(second) + F.bit_count(whole.bitwiseXOR(second)))
-    pairs = x.join(y, "token").filter(order & fits & could & few(F.bit_count(whole)) & halves & open_)
-    return pairs.select(F.least("x_r", "y_r").alias("x"), F.greatest("x_r", "y_r").alias("y")).distinct()
+    once = (n < m) | ((n == m) & earlier) if by_size else other
+    pairs = x.join(y, "token").filter(fits & few(F.bit_count(whole)) & could & once & open_ & halves)
+    swap = lambda a, b: F.when(earlier, F.col(a)).otherwise(F.col(b))
+    return pairs.select(swap("x_k", "y_k").alias("xk"), swap("x_t", "y_t").alias("xt"), swap("y_k", "x_k").alias("yk"), swap("y_t", "x_t").alias("yt")).distinct()
 
 
 def _named(named: DataFrame) -> DataFrame:
@@ -110,19 +125,17 @@ def _named(named: DataFrame) -> DataFrame:
     return F.broadcast(named) if named.count() <= _NAMED else named
 
 
-def _confirm(pairs: DataFrame, firsts: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """The later lines ``r`` of those pairs ``x, y`` whose whole token sets are similar enough.
+def _confirm(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """The later lines ``k, t`` of those pairs whose whole token sets are similar enough.
 
     The lines concerned are named by a broadcast up to a bound, so that no other set is shuffled.
     """
-    ids = pairs.select(F.col("x").alias("r")).unionAll(pairs.select(F.col("y").alias("r"))).distinct()
-    named = _named(firsts.select("r", "line.key", "line.at").join(_named(ids), "r"))
-    sets = cut(lines.select("key", "at", "tokens").join(named, ["key", "at"]).dropDuplicates(["r"]))
-    one = sets.select(F.col("r").alias("x"), F.struct("key", "at").alias("x_line"), F.col("tokens").alias("a"))
-    two = sets.select(F.col("r").alias("y"), F.struct("key", "at").alias("y_line"), F.col("tokens").alias("b"))
+    ids = pairs.select(F.col("xk").alias("key"), F.col("xt").alias("at")).unionAll(pairs.select(F.col("yk").alias("key"), F.col("yt").alias("at"))).distinct()
+    sets = cut(lines.select("key", "at", "tokens").join(_named(ids), ["key", "at"]).dropDuplicates(["key", "at"]))
+    one, two = sets.toDF("xk", "xt", "a"), sets.toDF("yk", "yt", "b")
     both = F.size(F.array_intersect("a", "b"))
-    alike = pairs.join(one, "x").join(two, "y").filter(both * 100 >= (F.size("a") + F.size("b") - both) * percent)
-    return alike.select(F.when(F.col("x_line") < F.col("y_line"), F.col("y")).otherwise(F.col("x")).alias("r")).distinct()
+    alike = pairs.join(one, ["xk", "xt"]).join(two, ["yk", "yt"]).filter(both * 100 >= (F.size("a") + F.size("b") - both) * percent)
+    return alike.select(F.col("yk").alias("k"), F.col("yt").alias("t")).distinct()
 
 
 def line_duplicates(docs: DataFrame, percent: int = 80, heads: int = 2, slices: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,13 +149,16 @@ def line_duplicates(docs: DataFrame, percent: int = 80, heads: int = 2, slices:
     2. All tokens are counted; bounded lists say which hold a large share of all occurrences.
     3. Sets of similarity t share one of their first n - ceil(t n) + 1 tokens in order of rarity.
     4. Lines of equal token sets become one, the first of them (combined on the map side).
-    5. Sets of which a prefix token is that of many lines are first compared with a few early ones
-       of them (``heads`` a token). Most members of a large family of near copies are settled there.
-    6. Sets not yet removed are compared with all sets that share a prefix token and pass the
-       length, positional and bitmap filters (all three lose nothing). A token of many lines counts
-       only together with a second one: similar sets share two of the first n - ceil(t n) + 2, so
-       such lines meet by pairs of tokens. The index is made and joined in ``slices`` of its keys,
-       one after the other, so that only a part of it is on disk.
+    5. Sets are first compared with the first ones (``heads``) of ``_CROWD`` or more that have the
+       same three tokens at the start or at the end of their order of hashes. Most members of a large family
+       of near copies are settled there.
+    6. Sets not yet removed are compared with all earlier sets that share a prefix token and pass the
+       length, positional and bitmap filters (all three lose nothing). Of two sets the smaller one
+       needs a shorter prefix, since t / (1 + t) of both sizes must be shared, and they meet by
+       token and class of sizes: a set is listed under its own class and the next one. A token of
+       many lines counts only together with a second one: similar sets share two of one token more
+       each. The index is made and joined in ``slices`` of its keys, one after the other, so that
+       only a part of it is on disk.
     Both comparisons are on whole token sets, read again for the lines concerned only.
     """
     with tidy_shuffles(docs.sparkSession):
@@ -155,49 +171,64 @@ def _line_duplicates(docs: DataFrame, percent: int, heads: int, slices: int, id_
     lines = rows.select("key", "hash", F.posexplode(F.split("text", "\n")).alias("place", "line")).select("key", "hash", "place", line_tokens(F.col("line")).alias("tokens"))
     lines = lines.select("*", F.size("tokens").alias("n"), F.xxhash64("tokens").alias("s0"), F.xxhash64(F.lit("second"), F.col("tokens")).alias("s1"))
     # few tokens make most occurrences: with a dictionary for each file a token takes two or three bytes
-    lines = lines_table = written(lines, "line-tokens", {"parquet.dictionary.page.size": str(32 << 20)})
+    lines = lines_table = written(lines, "line-tokens", {"parquet.dictionary.page.size": str(32 << 20), "compression": "lz4_raw"})
     at = F.shiftleft(F.col("place").cast("bigint"), 32).bitwiseOR(F.col("hash").bitwiseAND(F.lit(0xFFFFFFFF)))
     lines = lines.filter("n > 0").withColumn("at", at)
     # below this many tokens only equal sets are similar enough
     least = 1 if percent < 50 else -(-100 // (100 - percent)) - 1 if percent < 100 else _LAST
-    frequent, crowded = _frequent(lines)
+    frequent, often = _frequent(lines)
     prefixed = _with_prefix(lines, frequent, percent)
-    firsts = prefixed.select("key", "at", "s0", "s1", "n", *_bitmaps(), "prefix").groupBy("s0", "s1", "n").agg(
-        F.min(F.struct("key", "at")).alias("line"), F.first("b").alias("b"), F.first("c").alias("c"), F.first("prefix").alias("prefix")
+    size = _size_class(F.col("n"), percent)
+    ends = [F.xxhash64(F.slice("tokens", start, 3), size).alias(c) for c, start in (("q0", F.lit(1)), ("q1", -F.least("n", F.lit(3))))]
+    firsts = prefixed.select("key", "at", "s0", "s1", "n", *_bitmaps(), *ends, "prefix").groupBy("s0", "s1", "n").agg(
+        F.min(F.struct("key", "at")).alias("line"), *[F.first(c).alias(c) for c in ("b", "c", "q0", "q1", "prefix")]
     )
-    # a written table: the lists of tokens stay out of all later plans, and the numbers of its rows are fixed
-    firsts = firsts_table = written(firsts.withColumn("r", F.monotonically_increasing_id()), "line-firsts")
+    # a written table: the lists of tokens stay out of all later plans
+    firsts = firsts_table = written(firsts.select("s0", "s1", "n", F.col("line.key").alias("k"), F.col("line.at").alias("t"), "b", "c", "q0", "q1", "prefix"), "line-firsts")
 
-    def entries(of: DataFrame, *more: str) -> DataFrame:
+    def entries(of: DataFrame) -> DataFrame:
         """One row for each ``i, token`` of ``of``; ``m`` is n, i and whether the line is open in one long."""
         m = F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.shiftleft(F.col("i").cast("bigint"), 1)).bitwiseOR(F.col("open").cast("bigint"))
-        return of.select("token", "r", m.alias("m"), "b", "c", *more)
+        return of.select("token", "k", "t", m.alias("m"), "b", "c")
 
     able = firsts.filter(F.col("n") >= least)
+    few = entries(able.select("k", "t", "n", "b", "c", F.lit(True).alias("open"), F.lit(0).alias("i"), F.explode(F.array("q0", "q1")).alias("token")))
+    early = few.groupBy("token", F.pmod(F.xxhash64("k", "t"), F.lit(heads)).alias("salt")).agg(F.min(F.struct("k", "t", "m", "b", "c")).alias("e"), F.count(F.lit(1)).alias("lines"))
+    near = cut(_joined(_named(early.filter(F.col("lines") >= _CROWD).select("token", "e.*")), few, percent, by_size=False))
+    settled = cut(_confirm(near, lines, percent))
+    marked = able.join(_named(settled.withColumn("settled", F.lit(True))), ["k", "t"], "left").withColumn("open", F.col("settled").isNull())
     first = F.slice("prefix", F.lit(1), _prefix_length(percent))
-    few = able.select("line", "r", "n", "b", "c", F.lit(True).alias("open"), F.posexplode(first).alias("i", "token")).join(_named(crowded), "token")
-    few = entries(few, "line")
-    salt = F.pmod(F.xxhash64("r"), F.lit(heads))
-    early = few.groupBy("token", salt.alias("salt")).agg(F.min(F.struct("line", "r", "m", "b", "c")).alias("e")).select("token", "e.*")
-    near = cut(_joined(early, few, percent, F.col("x_r") != F.col("y_r")))
-    settled = cut(_confirm(near, firsts, lines, percent))
-    marked = able.join(_named(settled.withColumn("settled", F.lit(True))), "r", "left").withColumn("open", F.col("settled").isNull())
-    each = marked.select("r", "n", "b", "c", "open", "prefix", F.posexplode(first).alias("i", "token"))
-    dense = cut(able.select(F.explode(first).alias("token")).groupBy("token").count().filter(F.col("count") >= _DENSE).select("token", F.lit(True).alias("dense")))
-    if percent * least > 100 and not dense.isEmpty():  # any two similar sets share two tokens
-        each = each.join(_named(dense), "token", "left")
-        alone = F.array(F.struct(F.col("token").alias("key"), F.col("i").alias("at")))
-        second = F.transform(F.slice("prefix", F.col("i") + 2, F.size("prefix")), lambda t, k: F.struct(F.xxhash64("token", t).alias("key"), (F.col("i") + 1 + k).alias("at")))
-        each = each.select("r", "n", "b", "c", "open", F.inline(F.when(F.col("dense"), second).otherwise(alone)).alias("token", "i"))
-    each = entries(each)
+    dense = None
+    if percent * least > 100:  # any two similar sets share two tokens
+        counted = able.select(F.explode(first).alias("token")).join(_named(often), "token").groupBy("token").count()
+        dense = cut(counted.filter(F.col("count") >= _DENSE).select("token", F.lit(True).alias("dense")))
+        dense = None if dense.isEmpty() else _named(dense)
+
+    def listed(part: int, length: Column, under: Column) -> DataFrame:
+        """Entries by the first ``length`` tokens of each line (by pairs of dense ones with one token more), for partners of the class ``under``."""
+        each = marked.withColumns({"length": length, "under": under}).filter("under is not null and length > 0")
+        columns = ["k", "t", "n", "b", "c", "open", "under"]
+        each = each.select(*columns, "length", "prefix", F.posexplode(F.slice("prefix", F.lit(1), F.col("length"))).alias("i", "token"))
+        each = each.filter(F.pmod("token", F.lit(slices)) == part)
+        if dense is not None:
+            each = each.join(dense, "token", "left")
+            alone = F.array(F.struct(F.col("token").alias("key"), F.col("i").alias("at")))
+            rest = F.slice("prefix", F.col("i") + 2, F.col("length") - F.col("i"))
+            second = F.transform(rest, lambda t, k: F.struct(F.xxhash64("token", t).alias("key"), (F.col("i") + 1 + k).alias("at")))
+            each = each.select(*columns, F.inline(F.when(F.col("dense"), second).otherwise(alone)).alias("token", "i"))
+        return entries(each.withColumn("token", F.xxhash64("token", "under")))
+
+    # no more than the smallest size of the next class, to which the line is listed if a similar one can be as large
+    above = F.greatest(F.floor(F.pow(F.lit(100 / percent), size + 1)), "n") if percent < 100 else F.col("n") + 1
+    reaches = _size_class(F.floor(F.col("n") * 100 / percent), percent) > size
     pairs = []
     for part in range(slices):
-        some = each.filter(F.pmod("token", F.lit(slices)) == part)
-        pairs.append(cut(_joined(some, some, percent, F.col("x_r") < F.col("y_r"))))
-    rest = cut(reduce(DataFrame.unionAll, pairs).distinct().join(near, ["x", "y"], "left_anti"))
-    similar = settled.unionAll(_confirm(rest, firsts, lines, percent)).distinct().withColumn("similar", F.lit(True))
-    decided = firsts.select("r", "s0", "s1", "n", F.col("line").alias("first")).join(similar, "r", "left")
-    decided = cut(decided.select("s0", "s1", "n", "first", F.coalesce("similar", F.lit(False)).alias("similar")))
+        smaller = listed(part, _shared_prefix(F.col("n"), percent), size).unionAll(listed(part, _shared_prefix(above, percent), F.when(reaches, size + 1)))
+        pairs.append(cut(_joined(smaller, listed(part, _prefix_length(percent), size), percent, by_size=True)))
+    rest = cut(reduce(DataFrame.unionAll, pairs).distinct().join(near, ["xk", "xt", "yk", "yt"], "left_anti"))
+    similar = settled.unionAll(_confirm(rest, lines, percent)).distinct().withColumn("similar", F.lit(True))
+    decided = firsts.select("k", "t", "s0", "s1", "n").join(similar, ["k", "t"], "left")
+    decided = cut(decided.select("s0", "s1", "n", F.struct(F.col("k").alias("key"), F.col("t").alias("at")).alias("first"), F.coalesce("similar", F.lit(False)).alias("similar")))
     line = F.struct("key", "at")
     gone = lines.select("key", "hash", "place", "at", "s0", "s1", "n").join(decided, ["s0", "s1", "n"]).filter(F.col("similar") | (line != F.col("first")))
     removed = cut(gone.groupBy("key", "hash").agg(F.array_sort(F.collect_set("place")).alias("removed")))

@@ -559,3 +559,19 @@ def test_lines_of_dense_tokens_meet_by_pairs(spark, monkeypatch, crowd, dense):
         if any(10 * len(tokens & before) >= 8 * len(tokens | before) for _, _, before in flat[:k]):
             want[i].append(p)
     assert got == want and sum(map(len, want.values())) > 100
+
+
+def test_lines_meet_by_token_and_size(spark, monkeypatch):
+    """Lines of one vocabulary and very different sizes, and a family of near copies: the joins bring together those of like size only."""
+    import random
+
+    draw, vocabulary, meetings = random.Random(5), [f"w{i}" for i in range(300)], []
+    rows = [(i, " ".join(draw.sample(vocabulary, 10 + i % 150))) for i in range(300)]
+    rows += [(300 + i, " ".join([f"b{k}" if k != i else f"own{i}" for k in range(40)])) for i in range(40)]
+    joined = line_dedup._joined
+    monkeypatch.setattr(line_dedup, "_joined", lambda x, y, *rest, **more: meetings.append(x.select("token").join(y.select("token"), "token").count()) or joined(x, y, *rest, **more))
+    got = {r["doc_id"]: r["_removed"] for r in line_dedup.without_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    sets = [frozenset(t.split()) for _, t in rows]
+    want = {i: [0] if any(10 * len(s & t) >= 8 * len(s | t) for t in sets[:i]) else [] for i, s in enumerate(sets)}
+    assert got == want and sum(map(len, want.values())) >= 39
+    assert sum(meetings) < 100_000, meetings
