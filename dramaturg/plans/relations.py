@@ -258,5 +258,5 @@ def correction_pipeline(spark, sf_dir):
     from dramaturg.operators.steps import changed, run_steps
     from dramaturg.sources.scratch import cut
 
-    before = claims(spark, sf_dir)
+    before = cut(claims(spark, sf_dir))  # read by the first step and by the comparison
     return changed(before, run_steps(before, _steps(spark, sf_dir), cut)[0])

@@ -31,3 +31,8 @@ def test_corrections_leave_no_short_stay_or_unbacked_tier(spark):
     found = P.QUERIES["correction_pipeline"](spark, DATA).collect()
     assert found and all(r["old_role"] != r["new_role"] for r in found)
     assert any(r["old_role"] is None for r in found) and any(r["new_role"] is None for r in found)
+
+
+def test_corrections_make_the_claims_once(spark):
+    """The comparison at the end reads the claims as they were made for the first step."""
+    assert P.QUERIES["correction_pipeline"](spark, DATA).inputFiles() == []
