@@ -41,10 +41,11 @@ def _frequent(lines: DataFrame) -> tuple[list[list[int]], DataFrame]:
 
     All tokens of all lines are counted. The classes are bounded; the tokens of many lines stay a table.
     """
-    counts = lines.select(F.explode("tokens").alias("token")).groupBy("token").count()
-    counts = cut(counts.filter(F.col("count") > 1))
     total = lines.agg(F.sum("n").alias("n")).first()["n"] or 0
-    often = counts.filter(F.col("count") * (1 << _SHARES[0]) >= total).collect()
+    counts = lines.select(F.explode("tokens").alias("token")).groupBy("token").count()
+    large = F.col("count") * (1 << _SHARES[0]) >= total
+    counts = cut(counts.filter((F.col("count") > 1) & (large | (F.col("count") >= _DENSE))))
+    often = counts.filter(large).collect()
     return [sorted(r["token"] for r in often if r["count"] << share >= total) for share in _SHARES], counts.filter(F.col("count") >= _DENSE).select("token")
 
 
@@ -68,18 +69,21 @@ def _with_prefix(lines: DataFrame, frequent: list[list[int]], percent: int) -> D
 
     Tokens in no class come first, then those of each class that aren't in the next one. Inside a
     class the order is that of hashes, in which ``tokens`` are already. Only lines that are short
-    of rarer tokens look for frequent ones.
+    of rarer tokens look for frequent ones, and only among the tokens left, class by class.
     """
     length = _prefix_length(percent) + 1
     frequent = [f for f in frequent if f]
     if not frequent:
         return lines.withColumn("prefix", F.slice("tokens", F.lit(1), length))
-    # as text: a column for each of some ten thousand literals would take the driver seconds
-    listed = [f"t IN ({', '.join(f'{t}L' for t in f)})" for f in frequent]
-    parted = lines.withColumn("rare", F.expr(f"filter(tokens, t -> NOT {listed[0]})"))
-    classes = [F.expr(f"filter(tokens, t -> {own} AND NOT {but})") for own, but in zip(listed, [*listed[1:], "false"], strict=True)]
-    ordered = F.when(F.size("rare") >= length, F.col("rare")).otherwise(F.concat("rare", *classes))
-    return parted.withColumn("prefix", F.slice(ordered, F.lit(1), length)).drop("rare")
+    parted = lines.withColumns({"left": F.col("tokens"), "ordered": F.array().cast("array<bigint>")})
+    for f in frequent:
+        # as text: a column for each of some ten thousand literals would take the driver seconds
+        rarer = F.expr(f"filter(left, t -> NOT t IN ({', '.join(f'{t}L' for t in f)}))")
+        parted = parted.withColumn("rarer", F.when(F.size("ordered") < length, rarer))
+        parted = parted.withColumn("ordered", F.when(F.col("rarer").isNull(), F.col("ordered")).otherwise(F.concat("ordered", "rarer")))
+        parted = parted.withColumn("left", F.when(F.size("ordered") < length, F.array_except("left", "rarer")))
+    ordered = F.when(F.col("left").isNull(), F.col("ordered")).otherwise(F.concat("ordered", "left"))
+    return parted.withColumn("prefix", F.slice(ordered, F.lit(1), length)).drop("left", "ordered", "rarer")
 
 
 def _bitmaps() -> list[Column]:
@@ -170,8 +174,8 @@ def _line_duplicates(docs: DataFrame, percent: int, heads: int, slices: int, id_
     rows = docs.select(key.alias("key"), _plain(F.col(text_col)).alias("text"), F.xxhash64(text_col).alias("hash"))
     lines = rows.select("key", "hash", F.posexplode(F.split("text", "\n")).alias("place", "line")).select("key", "hash", "place", line_tokens(F.col("line")).alias("tokens"))
     lines = lines.select("*", F.size("tokens").alias("n"), F.xxhash64("tokens").alias("s0"), F.xxhash64(F.lit("second"), F.col("tokens")).alias("s1"))
-    # few tokens make most occurrences: with a dictionary for each file a token takes two or three bytes
-    lines = lines_table = written(lines, "line-tokens", {"parquet.dictionary.page.size": str(32 << 20), "compression": "lz4_raw"})
+    # few tokens make most occurrences: with dictionaries a token takes about three bytes; those of small row groups stay in the processor's cache
+    lines = lines_table = written(lines, "line-tokens", {"parquet.block.size": str(2 << 20), "parquet.dictionary.page.size": str(32 << 20), "compression": "lz4_raw"})
     at = F.shiftleft(F.col("place").cast("bigint"), 32).bitwiseOR(F.col("hash").bitwiseAND(F.lit(0xFFFFFFFF)))
     lines = lines.filter("n > 0").withColumn("at", at)
     # below this many tokens only equal sets are similar enough
@@ -204,33 +208,43 @@ def _line_duplicates(docs: DataFrame, percent: int, heads: int, slices: int, id_
         dense = cut(counted.filter(F.col("count") >= _DENSE).select("token", F.lit(True).alias("dense")))
         dense = None if dense.isEmpty() else _named(dense)
 
-    def listed(part: int, length: Column, under: Column) -> DataFrame:
-        """Entries by the first ``length`` tokens of each line (by pairs of dense ones with one token more), for partners of the class ``under``."""
-        each = marked.withColumns({"length": length, "under": under}).filter("under is not null and length > 0")
-        columns = ["k", "t", "n", "b", "c", "open", "under"]
-        each = each.select(*columns, "length", "prefix", F.posexplode(F.slice("prefix", F.lit(1), F.col("length"))).alias("i", "token"))
+    # no more than the smallest size of the next class, to which the line is listed if a similar one can be as large
+    above = F.greatest(F.floor(F.pow(F.lit(100 / percent), size + 1)), "n") if percent < 100 else F.col("n") + 1
+    reaches = _size_class(F.floor(F.col("n") * 100 / percent), percent) > size
+    columns = ["k", "t", "n", "b", "c", "open", "size"]
+
+    def listed(part: int, length: Column, next_length: Column | None = None) -> DataFrame:
+        """Entries by the first ``length`` tokens of each line (by pairs of dense ones with one token more), for partners of its class; those by the first ``next_length`` for partners of the next class too.
+
+        No function with a lambda: the rows would leave generated code.
+        """
+        each = marked.withColumns({"length": length, "size": size, "next": F.lit(0) if next_length is None else next_length})
+        each = each.select(*columns, "length", "next", "prefix", F.posexplode(F.slice("prefix", F.lit(1), F.greatest("length", F.lit(0)))).alias("i", "token"))
         each = each.filter(F.pmod("token", F.lit(slices)) == part)
+        reach = F.col("i") + 1
         if dense is not None:
             each = each.join(dense, "token", "left")
-            alone = F.array(F.struct(F.col("token").alias("key"), F.col("i").alias("at")))
-            rest = F.slice("prefix", F.col("i") + 2, F.col("length") - F.col("i"))
-            second = F.transform(rest, lambda t, k: F.struct(F.xxhash64("token", t).alias("key"), (F.col("i") + 1 + k).alias("at")))
-            each = each.select(*columns, F.inline(F.when(F.col("dense"), second).otherwise(alone)).alias("token", "i"))
+            partners = F.when(F.col("dense"), F.slice("prefix", F.col("i") + 2, F.col("length") - F.col("i"))).otherwise(F.array("token"))
+            each = each.select(*columns, "next", "dense", "token", "i", F.posexplode(partners).alias("j", "partner"))
+            at = F.when(F.col("dense"), F.col("i") + 1 + F.col("j")).otherwise(F.col("i"))
+            reach = F.when(F.col("dense"), F.col("i")).otherwise(F.col("i") + 1)
+            each = each.select(*columns, "next", "dense", F.when(F.col("dense"), F.xxhash64("token", "partner")).otherwise(F.col("token")).alias("token"), at.alias("i"))
+        if next_length is None:
+            each = each.withColumn("under", F.col("size"))
+        else:
+            each = each.select(*columns, "token", "i", F.explode(F.when(reach <= F.col("next"), F.array("size", F.col("size") + 1)).otherwise(F.array("size"))).alias("under"))
         return entries(each.withColumn("token", F.xxhash64("token", "under")))
 
-    # no more than the smallest size of the next class, to which the line is listed if a similar one can be as large
-    above = F.greatest(F.floor(F.pow(F.lit(100 / percent), size + 1)), "n") if percent < 100 else F.col("n") + 1
-    reaches = _size_class(F.floor(F.col("n") * 100 / percent), percent) > size
     pairs = []
     for part in range(slices):
-        smaller = listed(part, _shared_prefix(F.col("n"), percent), size).unionAll(listed(part, _shared_prefix(above, percent), F.when(reaches, size + 1)))
-        pairs.append(cut(_joined(smaller, listed(part, _prefix_length(percent), size), percent, by_size=True)))
+        smaller = listed(part, _shared_prefix(F.col("n"), percent), F.when(reaches, _shared_prefix(above, percent)).otherwise(F.lit(0)))
+        pairs.append(cut(_joined(smaller, listed(part, _prefix_length(percent)), percent, by_size=True)))
     rest = cut(reduce(DataFrame.unionAll, pairs).distinct().join(near, ["xk", "xt", "yk", "yt"], "left_anti"))
     similar = settled.unionAll(_confirm(rest, lines, percent)).distinct().withColumn("similar", F.lit(True))
     decided = firsts.select("k", "t", "s0", "s1", "n").join(similar, ["k", "t"], "left")
     decided = cut(decided.select("s0", "s1", "n", F.struct(F.col("k").alias("key"), F.col("t").alias("at")).alias("first"), F.coalesce("similar", F.lit(False)).alias("similar")))
     line = F.struct("key", "at")
-    gone = lines.select("key", "hash", "place", "at", "s0", "s1", "n").join(decided, ["s0", "s1", "n"]).filter(F.col("similar") | (line != F.col("first")))
+    gone = lines.select("key", "hash", "place", "at", "s0", "s1", "n").join(decided.hint("shuffle_hash"), ["s0", "s1", "n"]).filter(F.col("similar") | (line != F.col("first")))
     removed = cut(gone.groupBy("key", "hash").agg(F.array_sort(F.collect_set("place")).alias("removed")))
     dropped(lines_table, firsts_table)
     return removed
@@ -249,11 +263,11 @@ def without_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", te
     gone = line_duplicates(docs, percent, id_col=id_col, text_col=text_col).toDF(gone_key, gone_hash, "_removed")
     key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST))
     d = docs.withColumns({key_: key, hash_: F.xxhash64(text_col)})
-    d = d.join(gone, (F.col(key_) == F.col(gone_key)) & (F.col(hash_) == F.col(gone_hash)), "left").drop(key_, hash_, gone_key, gone_hash)
+    d = d.join(gone.hint("shuffle_hash"), (F.col(key_) == F.col(gone_key)) & (F.col(hash_) == F.col(gone_hash)), "left").drop(key_, hash_, gone_key, gone_hash)
     d = d.withColumn("_removed", F.coalesce("_removed", F.array().cast("array<int>")))
     all_ = F.split(text_col, "\n")
     kept = F.array_join(F.filter(all_, lambda line, i: ~F.array_contains("_removed", i)), "\n")
-    n_lines = F.length(text_col) - F.length(F.replace(text_col, F.lit("\n"), F.lit(""))) + 1
+    n_lines = F.octet_length(text_col) - F.octet_length(F.replace(text_col, F.lit("\n"), F.lit(""))) + 1
     return d.withColumn("_lines", F.coalesce(n_lines, F.lit(0))).withColumn(text_col, F.when(F.size("_removed") > 0, kept).otherwise(F.col(text_col)))
 
 

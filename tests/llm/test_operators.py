@@ -575,3 +575,19 @@ def test_lines_meet_by_token_and_size(spark, monkeypatch):
     want = {i: [0] if any(10 * len(s & t) >= 8 * len(s | t) for t in sets[:i]) else [] for i, s in enumerate(sets)}
     assert got == want and sum(map(len, want.values())) >= 39
     assert sum(meetings) < 100_000, meetings
+
+
+def test_line_index_stays_in_generated_code(spark, monkeypatch):
+    """Each side of a slice's join reads the sets once, and lists dense tokens' pairs without lambdas, which leave generated code."""
+    monkeypatch.setattr(line_dedup, "_DENSE", 2)
+    joined, plans = line_dedup._joined, []
+
+    def seen(x, y, *rest, by_size, **more):
+        if by_size:
+            plans.extend(side._jdf.queryExecution().optimizedPlan().toString() for side in (x, y))
+        return joined(x, y, *rest, by_size=by_size, **more)
+
+    monkeypatch.setattr(line_dedup, "_joined", seen)
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "a b c d e f g h i k"), (3, "a b x y z")], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["_removed"] for r in line_dedup.without_lines(docs).collect()} == {1: [], 2: [0], 3: []}
+    assert plans and all("lambda" not in p and p.count("Relation [") == 1 for p in plans)
