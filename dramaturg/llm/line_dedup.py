@@ -21,6 +21,8 @@ _DENSE = 4096
 _NAMED = 500_000
 #: Lines of more tokens carry a second bitmap.
 _LONG = 80
+#: Of tables whose longs are hashes: dictionaries of them cost more than they save.
+_HASHES = {"parquet.block.size": str(2 << 20), "parquet.enable.dictionary": "false", "compression": "zstd", "parquet.compression.codec.zstd.level": "1"}
 
 
 def line_tokens(line: Column) -> Column:
@@ -30,16 +32,17 @@ def line_tokens(line: Column) -> Column:
 
 
 def _plain(text: Column) -> Column:
-    """The text with every white space but the line feed as a space."""
+    """The text with every white space but the line feed as a space; texts without any are only searched once."""
+    plain = text
     for sign in "\t\x0b\x0c\r":
-        text = F.replace(text, F.lit(sign), F.lit(" "))
-    return text
+        plain = F.replace(plain, F.lit(sign), F.lit(" "))
+    return F.when(text.rlike(r"[\t\x0B\f\r]"), plain).otherwise(text)
 
 
 def _frequent(lines: DataFrame) -> tuple[list[list[int]], DataFrame]:
     """The tokens of each class of frequency, the largest class first, and all of ``_DENSE`` lines or more.
 
-    All tokens of all lines are counted. The classes are bounded; the tokens of many lines stay a table.
+    All tokens of all ``lines`` are counted. The classes are bounded; the tokens of many lines stay a table.
     """
     total = lines.agg(F.sum("n").alias("n")).first()["n"] or 0
     counts = lines.select(F.explode("tokens").alias("token")).groupBy("token").count()
@@ -118,7 +121,8 @@ def _joined(x: DataFrame, y: DataFrame, percent: int, by_size: bool) -> DataFram
     few = lambda bits: bits * (100 + percent) <= (n + m) * (100 - percent)
     halves = (n <= _LONG) | (m <= _LONG) | few(F.bit_count(second) + F.bit_count(whole.bitwiseXOR(second)))
     once = (n < m) | ((n == m) & earlier) if by_size else other
-    pairs = x.join(y, "token").filter(fits & few(F.bit_count(whole)) & could & once & open_ & halves)
+    # both sides are dealt by token, of which none has many lines: tables of them need no sort
+    pairs = (x.hint("shuffle_hash") if by_size else x).join(y, "token").filter(fits & few(F.bit_count(whole)) & could & once & open_ & halves)
     swap = lambda a, b: F.when(earlier, F.col(a)).otherwise(F.col(b))
     return pairs.select(swap("x_k", "y_k").alias("xk"), swap("x_t", "y_t").alias("xt"), swap("y_k", "x_k").alias("yk"), swap("y_t", "x_t").alias("yt")).distinct()
 
@@ -129,6 +133,18 @@ def _named(named: DataFrame) -> DataFrame:
     return F.broadcast(named) if named.count() <= _NAMED else named
 
 
+def _first_lines(lines: DataFrame) -> DataFrame:
+    """Of lines with equal token sets the first one only, as it is.
+
+    Most sets have one line. Those of more are found and named by a few longs, so that lists of tokens are neither sorted nor shuffled.
+    """
+    sets = ["s0", "s1", "n"]
+    narrow = lines.select(*sets, "key", "at", "row")
+    copied = _named(narrow.groupBy(*sets).agg(F.count(F.lit(1)).alias("lines"), F.min("key").alias("least")).filter("lines > 1").select(*sets, "least"))
+    named = narrow.join(copied, sets).filter("key = least").groupBy(*sets).agg(F.min(F.struct("at", "row")).alias("first"))
+    return lines.join(_named(named.select(*sets, F.col("first.row").alias("kept"))), sets, "left").filter("kept IS NULL OR kept = row").drop("kept")
+
+
 def _confirm(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """The later lines ``k, t`` of those pairs whose whole token sets are similar enough.
 
@@ -150,9 +166,9 @@ def line_duplicates(docs: DataFrame, percent: int = 80, heads: int = 2, slices:
     similarity of at least ``percent`` hundredths.
 
     1. Texts are tokenised once, to a table of lines with their hashed token sets.
-    2. All tokens are counted; bounded lists say which hold a large share of all occurrences.
-    3. Sets of similarity t share one of their first n - ceil(t n) + 1 tokens in order of rarity.
-    4. Lines of equal token sets become one, the first of them (combined on the map side).
+    2. Lines of equal token sets become one, the first of them; only sets of several lines are named.
+    3. All their tokens are counted; bounded lists say which hold a large share of all occurrences.
+    4. Sets of similarity t share one of their first n - ceil(t n) + 1 tokens in order of rarity.
     5. Sets are first compared with the first ones (``heads``) of ``_CROWD`` or more that have the
        same three tokens at the start or at the end of their order of hashes. Most members of a large family
        of near copies are settled there.
@@ -174,21 +190,19 @@ def _line_duplicates(docs: DataFrame, percent: int, heads: int, slices: int, id_
     rows = docs.select(key.alias("key"), _plain(F.col(text_col)).alias("text"), F.xxhash64(text_col).alias("hash"))
     lines = rows.select("key", "hash", F.posexplode(F.split("text", "\n")).alias("place", "line")).select("key", "hash", "place", line_tokens(F.col("line")).alias("tokens"))
     lines = lines.select("*", F.size("tokens").alias("n"), F.xxhash64("tokens").alias("s0"), F.xxhash64(F.lit("second"), F.col("tokens")).alias("s1"))
-    # few tokens make most occurrences: with dictionaries a token takes about three bytes; those of small row groups stay in the processor's cache
-    lines = lines_table = written(lines, "line-tokens", {"parquet.block.size": str(2 << 20), "parquet.dictionary.page.size": str(32 << 20), "compression": "lz4_raw"})
+    lines = lines_table = written(lines.withColumn("row", F.monotonically_increasing_id()), "line-tokens", _HASHES)
     at = F.shiftleft(F.col("place").cast("bigint"), 32).bitwiseOR(F.col("hash").bitwiseAND(F.lit(0xFFFFFFFF)))
     lines = lines.filter("n > 0").withColumn("at", at)
     # below this many tokens only equal sets are similar enough
     least = 1 if percent < 50 else -(-100 // (100 - percent)) - 1 if percent < 100 else _LAST
-    frequent, often = _frequent(lines)
-    prefixed = _with_prefix(lines, frequent, percent)
+    distinct = _first_lines(lines)
+    frequent, often = _frequent(distinct)
+    prefixed = _with_prefix(distinct, frequent, percent)
     size = _size_class(F.col("n"), percent)
     ends = [F.xxhash64(F.slice("tokens", start, 3), size).alias(c) for c, start in (("q0", F.lit(1)), ("q1", -F.least("n", F.lit(3))))]
-    firsts = prefixed.select("key", "at", "s0", "s1", "n", *_bitmaps(), *ends, "prefix").groupBy("s0", "s1", "n").agg(
-        F.min(F.struct("key", "at")).alias("line"), *[F.first(c).alias(c) for c in ("b", "c", "q0", "q1", "prefix")]
-    )
     # a written table: the lists of tokens stay out of all later plans
-    firsts = firsts_table = written(firsts.select("s0", "s1", "n", F.col("line.key").alias("k"), F.col("line.at").alias("t"), "b", "c", "q0", "q1", "prefix"), "line-firsts")
+    firsts = prefixed.select("s0", "s1", "n", F.col("key").alias("k"), F.col("at").alias("t"), *_bitmaps(), *ends, "prefix")
+    firsts = firsts_table = written(firsts, "line-firsts", _HASHES)
 
     def entries(of: DataFrame) -> DataFrame:
         """One row for each ``i, token`` of ``of``; ``m`` is n, i and whether the line is open in one long."""

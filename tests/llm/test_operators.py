@@ -591,3 +591,16 @@ def test_line_index_stays_in_generated_code(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "a b c d e f g h i k"), (3, "a b x y z")], "doc_id bigint, text string")
     assert {r["doc_id"]: r["_removed"] for r in line_dedup.without_lines(docs).collect()} == {1: [], 2: [0], 3: []}
     assert plans and all("lambda" not in p and p.count("Relation [") == 1 for p in plans)
+
+
+def test_first_lines_leave_lists_of_tokens_in_place(spark):
+    """One line of each token set, the first of them, also where a row repeats id and text; lists of tokens are neither sorted nor shuffled."""
+    rows = [(1, 1, 2, 5, 7, 10), (1, 1, 2, 4, 9, 11), (1, 1, 2, 4, 8, 12), (1, 1, 2, 4, 8, 13), (2, 2, 2, 6, 1, 14), (3, 3, 1, 2, 2, 15), (3, 3, 1, 3, 1, 16)]
+    lines = spark.createDataFrame(rows, "s0 bigint, s1 bigint, n int, key bigint, at bigint, row bigint").withColumn("tokens", F.array("s0", "s1"))
+    first = line_dedup._first_lines(lines)
+    assert sorted((r["key"], r["at"]) for r in first.collect()) == [(2, 2), (4, 8), (6, 1)]
+    plan = first._jdf.queryExecution().executedPlan().toString()
+    assert first.columns == lines.columns and "SortAggregate" not in plan and "Exchange hashpartitioning" not in plan
+    texts = [(1, "a b c d e f"), (2, "a\x0bb\tc\x0cd\re f"), (3, "a b\x0bc")]
+    got = line_dedup.without_lines(spark.createDataFrame(texts, "doc_id bigint, text string"))
+    assert {r["doc_id"]: r["_removed"] for r in got.collect()} == {1: [], 2: [0], 3: []}
